@@ -64,18 +64,31 @@ def value_positions(df: DataFrame, by: Sequence[str], value: str, *then: str) ->
     )
 
 
-def with_average_rank(
-    df: DataFrame, by: Sequence[str], value: str, rank: str, total: str | None = None
+def with_average_ranks(
+    df: DataFrame, by: Sequence[str], ranks: dict[str, str], total: str | None = None
 ) -> DataFrame:
-    """Add the 1-based rank of ``value`` in its group, ties sharing their average rank.
+    """Add the 1-based rank in its group of every column in ``ranks`` (column: name of its rank).
 
-    Null values get a null rank and do not count. ``total`` also adds the group's count.
+    Ties share their average rank; null values get a null rank and do not count. ``total`` also
+    adds the count of the first column. All positions are taken from ``df`` itself, not from a
+    table that already carries joins.
     """
-    positions = value_positions(df, by, value)
-    kept = [(F.col("below") + (F.col("n") + 1) / 2).alias(rank)]
-    if total:
-        kept.append(F.col("total").alias(total))
-    return df.join(positions.select(*by, value, *kept), [*by, value], "left")
+    ranked = df
+    for value, rank in ranks.items():
+        kept = [(F.col("below") + (F.col("n") + 1) / 2).alias(rank)]
+        if total:
+            kept.append(F.col("total").alias(total))
+            total = None
+        positions = value_positions(df, by, value).select(*by, value, *kept)
+        ranked = ranked.join(positions, [*by, value], "left")
+    return ranked
+
+
+def with_average_rank(
+    df: DataFrame, by: Sequence[str], value: str, rank: str, total: str | None = None
+) -> DataFrame:
+    """``with_average_ranks`` for one column."""
+    return with_average_ranks(df, by, {value: rank}, total)
 
 
 def with_ordinal(

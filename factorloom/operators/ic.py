@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.frames import DATE, full, so_far, trailing
 from factorloom.functions.numeric import correlation, div
-from factorloom.functions.ranks import with_average_rank
+from factorloom.functions.ranks import with_average_ranks
 from factorloom.operators.xsection import CELL, FACTOR, VALUE
 
 LABEL = "label"
@@ -20,7 +20,7 @@ def rank_correlation(
 ) -> DataFrame:
     """Spearman correlation per group over pairwise complete rows, with the number of pairs ``n``."""
     pairs = df.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = with_average_rank(with_average_rank(pairs, by, x, "_rx"), by, y, "_ry")
+    ranked = with_average_ranks(pairs, by, {x: "_rx", y: "_ry"})
     rho = correlation(F.col("_rx"), F.col("_ry"), min_count=min_count)
     return ranked.groupBy(*by).agg(rho.alias(out), F.count(F.lit(1)).alias("n"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.calendar import date_index
 from factorloom.functions.frames import DATE, INSTRUMENT, so_far
 from factorloom.functions.numeric import div
+from factorloom.functions.ranks import group_quantiles
 
 # Price and volume columns, which are never filled forward.
 NEVER_FILLED = ("open", "high", "low", "close", "volume", "amount", "pre_close")
@@ -167,3 +168,18 @@ def tradability(
         "liquidity",
         F.coalesce(next_open < limit, F.lit(False)).alias("next_open_buyable"),
     )
+
+
+def tradable_universe(
+    flags: DataFrame, masks: dict[str, Column] | None = None, liquidity_quantile: float = 0.2
+) -> DataFrame:
+    """``(instrument, datetime)`` of seasoned, liquid names whose next open can be bought.
+
+    ``flags`` comes from ``tradability``. ``masks`` are further exclusions by name, such as
+    special treatment or suspension. Liquid means at or above the date's quantile.
+    """
+    floors = group_quantiles(flags, [DATE], "liquidity", {"_floor": liquidity_quantile})
+    kept = F.col("is_seasoned") & F.col("next_open_buyable") & (F.col("liquidity") >= F.col("_floor"))
+    for excluded in (masks or {}).values():
+        kept &= ~F.coalesce(excluded, F.lit(False))
+    return flags.join(floors, DATE).where(kept).select(INSTRUMENT, DATE)

@@ -247,7 +247,7 @@ def cluster_factors(distances: DataFrame, threshold: float = CLUSTER_DISTANCE) -
         rows = [(names[i], c) for c, group in enumerate(sorted(members, key=min)) for i in group]
         return pd.DataFrame(rows, columns=["factor", "cluster"])
 
-    return distances.groupBy(F.lit(0)).applyInPandas(merge, "factor string, cluster bigint")
+    return distances.groupBy().applyInPandas(merge, "factor string, cluster bigint")
 
 
 # --- ring 6: representatives ----------------------------------------------------------
@@ -263,7 +263,8 @@ def representatives(metrics: DataFrame, per_cluster: int = 2) -> DataFrame:
     score = F.lit(0.0)
     for name, weight in CHOICE_WEIGHTS.items():
         raw = F.coalesce(F.col(name), F.lit(missing.get(name, 0.0)))
-        x = raw if name in missing else F.abs(raw)
+        # Rounding keeps summation noise from being stretched to the whole range.
+        x = F.round(raw if name in missing else F.abs(raw), 12)
         low, high = F.min(x).over(cluster), F.max(x).over(cluster)
         score = score + weight * F.when(high == low, 0.5).otherwise(div(x - low, high - low))
     best_first = Window.partitionBy("cluster").orderBy(F.desc("score"), FACTOR)
@@ -281,23 +282,15 @@ def representatives(metrics: DataFrame, per_cluster: int = 2) -> DataFrame:
 def signal_weights(summary: DataFrame) -> DataFrame:
     """Weights of the three composites: equal, by absolute IC, by IC ratio."""
     whole = Window.partitionBy()
-    n = F.count(F.lit(1)).over(whole)
     abs_ic, icir = F.abs("ic_mean"), F.col("icir")
-    return summary.select(
-        FACTOR,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("portfolio"), w.alias("weight"))
-                    for name, w in {
-                        "equal_weight": 1 / n.cast("double"),
-                        "ic_weight": abs_ic / F.greatest(F.sum(abs_ic).over(whole), F.lit(1e-8)),
-                        "icir_weight": icir / F.greatest(F.abs(F.sum(icir).over(whole)), F.lit(1e-8)),
-                    }.items()
-                ]
-            )
-        ),
+    weighted = summary.withColumns(
+        {
+            "equal_weight": 1 / F.count(F.lit(1)).over(whole).cast("double"),
+            "ic_weight": abs_ic / F.greatest(F.sum(abs_ic).over(whole), F.lit(1e-8)),
+            "icir_weight": icir / F.greatest(F.abs(F.sum(icir).over(whole)), F.lit(1e-8)),
+        }
     )
+    return weighted.unpivot([FACTOR], ["equal_weight", "ic_weight", "icir_weight"], "portfolio", "weight")
 
 
 def composite_signals(long: DataFrame, weights: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries; importing a query module registers its queries."""
 
-from factorloom.plans import factor_queries, label_queries, screening_queries  # noqa: F401
+from factorloom.plans import factor_queries, ingest_queries, label_queries, portfolio_queries, screening_queries  # noqa: F401
 from factorloom.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

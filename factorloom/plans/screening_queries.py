@@ -149,7 +149,7 @@ _BUCKET = {
 
 
 def groups_sql(mode: str = "even") -> str:
-    return f"{_RANKED}, g AS (SELECT factor, {_BUCKET[mode]}::BIGINT AS bucket, avg(label) AS mean_label, count(label) AS n FROM rk GROUP BY 1, 2)"
+    return f"{_RANKED}, g AS (SELECT factor, ({_BUCKET[mode]})::BIGINT AS bucket, avg(label) AS mean_label, count(label) AS n FROM rk GROUP BY 1, 2)"
 
 
 def _group_query(name: str, mode: str) -> None:
@@ -261,8 +261,8 @@ def _norm(c: str, weight: float) -> str:
     return f"{weight}::DOUBLE * CASE WHEN max({c}) {w} = min({c}) {w} THEN 0.5 ELSE ({c} - min({c}) {w}) / (max({c}) {w} - min({c}) {w}) END"
 
 
-CHOICE_SQL = f"""m0 AS (SELECT factor, CASE WHEN factor LIKE 'K%' THEN 0 ELSE 1 END::BIGINT AS cluster, abs(icir) AS icir,
-  abs(monotonicity) AS monotonicity, abs(long_short) AS long_short, win_rate AS stability_score FROM prof),
+CHOICE_SQL = f"""m0 AS (SELECT factor, CASE WHEN factor LIKE 'K%' THEN 0 ELSE 1 END::BIGINT AS cluster, round(abs(icir), 12) AS icir,
+  round(abs(monotonicity), 12) AS monotonicity, round(abs(long_short), 12) AS long_short, round(win_rate, 12) AS stability_score FROM prof),
 m1 AS (SELECT factor, cluster, {' + '.join(_norm(c, w) for c, (w, _) in _MEASURES.items())} AS score FROM m0),
 m2 AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, factor) AS rank_in_cluster FROM m1),
 chosen AS (SELECT * FROM m2 WHERE rank_in_cluster <= 2)"""

@@ -19,19 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly bars per instrument: open, high, low, close, volume, amount."""
+def _monthly(lines: DataFrame, instrument: str) -> DataFrame:
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    order = F.struct(*_LINE_ORDER)
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("instrument"),
+    priced = lines.select(
+        F.col(instrument).cast("bigint").alias("instrument"),
         F.to_date(F.trunc("l_shipdate", "month")).alias("datetime"),
         price.alias("price"),
-        order.alias("line"),
+        F.struct(*_LINE_ORDER).alias("line"),
         "l_quantity",
         "l_extendedprice",
     )
-    return lines.groupBy("instrument", "datetime").agg(
+    return priced.groupBy("instrument", "datetime").agg(
         F.min_by("price", "line").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
@@ -41,11 +39,29 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly bars per instrument: open, high, low, close, volume, amount."""
+    return _monthly(table(spark, sf_dir, "lineitem"), "l_suppkey")
+
+
+def basket_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly bars per nation: the fixed, short asset list of the rotation study."""
+    lines = table(spark, sf_dir, "lineitem").join(
+        table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")
+    )
+    return _monthly(lines, "s_nationkey")
+
+
 def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(instrument, datetime, close)`` only."""
     return bars(spark, sf_dir).select("instrument", "datetime", "close")
 
 
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(instrument, datetime, price)`` on a log scale: unit prices jump too much to be compounded."""
+    return bars(spark, sf_dir).select("instrument", "datetime", (F.log("close") + 10).alias("price"))
+
+
 def _quarterly(spark: SparkSession, sf_dir: str):
     quarter = F.to_date(F.trunc("l_shipdate", "quarter"))
     report = F.date_sub(F.add_months(quarter, 3), 1)
@@ -57,7 +73,7 @@ def income(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _quarterly(spark, sf_dir)
         .groupBy("symbol", "rpt_date")
-        .agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("net_prof"))
+        .agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("net_prof"))
         .select("symbol", F.date_add("rpt_date", 45).alias("pub_date"), "rpt_date", "net_prof")
     )
 
