@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.frames import DATE, INSTRUMENT
@@ -23,14 +24,19 @@ SEED = 42
 
 
 def elastic_net(train: DataFrame, features: Sequence[str], label: str, alpha: float = 0.01, l1_ratio: float = 0.2) -> Model:
-    """Median imputation, standardisation, elastic net."""
+    """Median imputation, standardisation, elastic net. A feature without any training value is zero."""
+    clean = train.withColumns({f: finite(F.col(f)) for f in features})
+    known = clean.agg(*[F.count(f).alias(f) for f in features]).first()
+    empty = [f for f in features if known[f] == 0]
+    filled = [f for f in features if f not in empty]
+    zeros = ", ".join(["*", *[f"coalesce({f}, 0.0D) AS {f}_imputed" for f in empty]])
     stages = [
-        Imputer(strategy="median", inputCols=list(features), outputCols=[f"{f}_imputed" for f in features]),
-        VectorAssembler(inputCols=[f"{f}_imputed" for f in features], outputCol="raw", handleInvalid="keep"),
+        SQLTransformer(statement=f"SELECT {zeros} FROM __THIS__"),
+        Imputer(strategy="median", inputCols=filled, outputCols=[f"{f}_imputed" for f in filled]),
+        VectorAssembler(inputCols=[f"{f}_imputed" for f in features], outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
         LinearRegression(labelCol=label, regParam=alpha, elasticNetParam=l1_ratio, standardization=False, maxIter=100),
     ]
-    clean = train.withColumns({f: finite(F.col(f)) for f in features})
     return Pipeline(stages=stages).fit(clean)
 
 
@@ -71,7 +77,7 @@ MODELS: dict[str, Trainer] = {
 
 def predict(model: Model, rows: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """``(datetime, instrument, *keep, prediction)``; a classifier's score is the probability of the top."""
-    linear = len(model.stages) == 4
+    linear = isinstance(model.stages[-1], LinearRegressionModel)
     clean = rows.withColumns({f: finite(F.col(f)) for f in features}) if linear else zero_missing(rows, features)
     scored = model.transform(clean)
     score = vector_to_array("probability")[1] if "probability" in scored.columns else F.col("prediction")
@@ -82,8 +88,6 @@ def feature_importance(model: Model, features: Sequence[str], top: int = 20) ->
     """The ``top`` features by absolute importance or coefficient."""
     fitted = model.stages[-1]
     values = fitted.coefficients if hasattr(fitted, "coefficients") else fitted.featureImportances
-    from pyspark.sql import SparkSession
-
     entries = [F.struct(F.lit(f).alias("feature"), F.lit(float(v)).alias("importance")) for f, v in zip(features, values.toArray())]
     table = SparkSession.active().range(1).select(F.inline(F.array(*entries)))
     return table.orderBy(F.desc(F.abs("importance")), "feature").limit(top)
@@ -95,29 +99,28 @@ def permutation_importance(
     """Drop of the pooled rank IC when one feature's values are shuffled, mean over ``shuffles``.
 
     A shuffle orders the rows by a seeded hash of their key and takes each row's value from the
-    row at the same place of a second ordering. All features and shuffles are scored in one
-    pass over a table tagged by feature and shuffle.
+    row at the same place of a second ordering: one join per shuffle serves all features.
     """
     rows = zero_missing(rows, features).select(DATE, INSTRUMENT, label, *features)
 
-    def placed(salt: str, index: str) -> DataFrame:
+    def placed(salt: str) -> DataFrame:
         # 52 bits of the hash, exact as a double; equal hashes are ordered by the row key.
         key = F.pmod(F.xxhash64(DATE, INSTRUMENT, F.lit(salt)), F.lit(1 << 52)).cast("double")
-        total = "_total"
         keyed = rows.withColumns({"_h": key, "_k": F.concat_ws("|", F.col(INSTRUMENT), F.col(DATE))})
-        return with_ordinal(keyed, [], "_h", "_k", index, total).drop("_h", "_k", total)
-
-    base = placed(f"{seed}", "_place")
-    tagged = [rows.select("*", F.lit("").alias("_feature"), F.lit(0).alias("_round"))]
-    for r in range(shuffles):
-        donors = placed(f"{seed}/{r}", "_place").select("_place", *[F.col(f).alias(f"_s_{f}") for f in features])
-        mixed = base.join(donors, "_place")
-        for feature in features:
-            columns = [F.col(f"_s_{f}" if f == feature else f).alias(f) for f in features]
-            tagged.append(mixed.select(DATE, INSTRUMENT, label, *columns, F.lit(feature).alias("_feature"), F.lit(r).alias("_round")))
-    scored = tagged[0]
-    for t in tagged[1:]:
-        scored = scored.unionByName(t)
+        return with_ordinal(keyed, [], "_h", "_k", "_place", "_total")
+
+    def variant(shuffled: str, i: int) -> Column:
+        values = [F.col(f"_s_{f}" if f == shuffled else f).alias(f) for f in features]
+        return F.struct(F.lit(shuffled).alias("_feature"), F.lit(i).alias("_round"), *values)
+
+    base = placed(f"{seed}").select("_place", DATE, INSTRUMENT, label, *features)
+    unshuffled = base.select(DATE, INSTRUMENT, label, F.lit("").alias("_feature"), F.lit(0).alias("_round"), *features)
+    parts = [unshuffled]
+    for i in range(shuffles):
+        donors = placed(f"{seed}/{i}").select("_place", *[F.col(f).alias(f"_s_{f}") for f in features])
+        variants = F.inline(F.array(*[variant(f, i) for f in features]))
+        parts.append(base.join(donors, "_place").select(DATE, INSTRUMENT, label, variants))
+    scored = reduce(DataFrame.unionByName, parts)
     predictions = predict(model, scored, features, ("_feature", "_round", label))
     ics = rank_correlation(predictions, ["_feature", "_round"], "prediction", label)
     base_ic = F.max(F.when(F.col("_feature") == "", F.col("ic"))).over(Window.partitionBy())
@@ -138,10 +141,7 @@ def walk_forward(
         model = trainer(window.where(F.col("role") == "train"), features, label)
         scored = window.where(F.col("role") != "train")
         parts.append(predict(model, scored, features, ("window_id", "role", label)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- choice for live use --------------------------------------------------------------

@@ -1,6 +1,14 @@
 """All registered queries; importing a query module registers its queries."""
 
-from factorloom.plans import factor_queries, ingest_queries, label_queries, portfolio_queries, screening_queries  # noqa: F401
+from factorloom.plans import (  # noqa: F401
+    factor_queries,
+    ingest_queries,
+    label_queries,
+    model_queries,
+    portfolio_queries,
+    rotation_queries,
+    screening_queries,
+)
 from factorloom.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
