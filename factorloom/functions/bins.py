@@ -7,9 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.functions.calendar import join_dates
 from factorloom.functions.ranks import group_quantiles
 
 
+def _join_groups(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
+    if len(by) == 1:
+        return join_dates(df, per_group, by[0], "left")
+    return df.join(per_group, list(by), "left")
+
+
 def with_quantile_bin(df: DataFrame, by: Sequence[str], value: str, bins: int, out: str) -> DataFrame:
     """Add the equal-count bin 0..bins-1 of ``value`` in its group; repeated edges merge bins.
 
@@ -20,7 +27,7 @@ def with_quantile_bin(df: DataFrame, by: Sequence[str], value: str, bins: int, o
     edges = edges.select(*by, F.array_distinct(F.array(*names)).alias("_edges"))
     below = F.size(F.filter("_edges", lambda e: e < F.col(value))).cast("bigint")
     bin_ = F.when(F.col(value).isNotNull(), F.greatest(below - 1, F.lit(0).cast("bigint")))
-    return df.join(edges, list(by), "left").withColumn(out, bin_).drop("_edges")
+    return _join_groups(df, edges, by).withColumn(out, bin_).drop("_edges")
 
 
 def with_width_bin(df: DataFrame, by: Sequence[str], value: str, bins: int, out: str) -> DataFrame:
@@ -31,7 +38,7 @@ def with_width_bin(df: DataFrame, by: Sequence[str], value: str, bins: int, out:
     total = below[0]
     for b in below[1:]:
         total = total + b
-    return df.join(span, list(by), "left").withColumn(out, total).drop("_min", "_max")
+    return _join_groups(df, span, by).withColumn(out, total).drop("_min", "_max")
 
 
 def with_zero_aware_bin(df: DataFrame, by: Sequence[str], value: str, bins: int, out: str) -> DataFrame:

@@ -17,9 +17,20 @@ def date_index(df: DataFrame, date: str = DATE, index: str = "date_idx") -> Data
     return dates.withColumn(index, F.row_number().over(Window.orderBy(date)).cast("bigint") - 1)
 
 
+def join_dates(df: DataFrame, per_date: DataFrame, date: str = DATE, how: str = "inner") -> DataFrame:
+    """Join a table that has one row per date.
+
+    With a ``date`` key it is broadcast: the type allows four million days, a few dozen
+    megabytes at most, and rows need not move. Timestamps have no such bound, so there the
+    strategy is left to the optimizer.
+    """
+    small = F.broadcast(per_date) if dict(per_date.dtypes)[date] == "date" else per_date
+    return df.join(small, date, how)
+
+
 def with_date_index(df: DataFrame, date: str = DATE, index: str = "date_idx") -> DataFrame:
     """Attach the position of each row's date in the table's own calendar."""
-    return df.join(date_index(df, date, index), date)
+    return join_dates(df, date_index(df, date, index), date)
 
 
 def month_end_dates(df: DataFrame, date: str = DATE, period: str = "month") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.calendar import date_index, with_date_index
+from factorloom.functions.calendar import date_index, join_dates, with_date_index
 from factorloom.functions.frames import DATE, INSTRUMENT, so_far
 from factorloom.functions.numeric import div
 
@@ -30,11 +30,8 @@ def returns_from_label(panel: DataFrame, label: str = "label_1d") -> DataFrame:
     index = date_index(panel)
     ahead = index.select((F.col("date_idx") + 1).alias("_next"), F.col(DATE).alias("_from"))
     moved = ahead.join(index.withColumnRenamed("date_idx", "_next"), "_next").select("_from", F.col(DATE).alias("_to"))
-    return (
-        panel.select(INSTRUMENT, F.col(DATE).alias("_from"), F.col(label).alias("ret"))
-        .join(moved, "_from")
-        .select(INSTRUMENT, F.col("_to").alias(DATE), "ret")
-    )
+    rows = panel.select(INSTRUMENT, F.col(DATE).alias("_from"), F.col(label).alias("ret"))
+    return join_dates(rows, moved, "_from").select(INSTRUMENT, F.col("_to").alias(DATE), "ret")
 
 
 def common_dates(returns: DataFrame, signals: DataFrame) -> DataFrame:
@@ -52,8 +49,7 @@ def topk_weights(signals: DataFrame, days: DataFrame, topk: int, shift: int = 1,
     """
     best = Window.partitionBy("day").orderBy(F.desc(signal), INSTRUMENT)
     held = (
-        signals.where(F.col(signal).isNotNull())
-        .join(days, DATE)
+        join_dates(signals.where(F.col(signal).isNotNull()), days)
         .select((F.col("day") + shift).alias("day"), INSTRUMENT, signal)
         .withColumn("_place", F.row_number().over(best))
         .where(F.col("_place") <= topk)
@@ -84,7 +80,7 @@ def topk_backtest(
     """
     days = common_dates(returns, signals)
     weights = topk_weights(signals, days, topk, shift, signal)
-    on_days = returns.join(days, DATE).select("day", INSTRUMENT, "ret")
+    on_days = join_dates(returns, days).select("day", INSTRUMENT, "ret")
     benchmark = on_days.groupBy("day").agg(F.avg("ret").alias("benchmark"))
     gross = (
         weights.join(on_days, ["day", INSTRUMENT], "left")

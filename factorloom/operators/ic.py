@@ -90,4 +90,6 @@ def direction(daily: DataFrame, by: Sequence[str] = (FACTOR,)) -> DataFrame:
 
 def oriented(signals: DataFrame, validation_ic: DataFrame, value: str = VALUE) -> DataFrame:
     """Flip the signals whose validation IC is negative."""
-    return signals.join(direction(validation_ic), FACTOR).withColumn(value, F.col(value) * F.col("direction"))
+    # One row per factor column of the panel: a few hundred at most.
+    flips = F.broadcast(direction(validation_ic))
+    return signals.join(flips, FACTOR).withColumn(value, F.col(value) * F.col("direction"))

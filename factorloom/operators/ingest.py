@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.calendar import date_index
+from factorloom.functions.calendar import date_index, join_dates
 from factorloom.functions.frames import DATE, INSTRUMENT, so_far
 from factorloom.functions.numeric import div
 from factorloom.functions.ranks import group_quantiles
@@ -182,4 +182,4 @@ def tradable_universe(
     kept = F.col("is_seasoned") & F.col("next_open_buyable") & (F.col("liquidity") >= F.col("_floor"))
     for excluded in (masks or {}).values():
         kept &= ~F.coalesce(excluded, F.lit(False))
-    return flags.join(floors, DATE).where(kept).select(INSTRUMENT, DATE)
+    return join_dates(flags, floors).where(kept).select(INSTRUMENT, DATE)

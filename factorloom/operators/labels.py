@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from factorloom.functions.bins import with_quantile_bin
+from factorloom.functions.calendar import join_dates
 from factorloom.functions.frames import DATE, INSTRUMENT, full, history
 from factorloom.functions.numeric import clip, div
 from factorloom.functions.ranks import group_quantiles, with_ordinal
@@ -62,7 +63,7 @@ def winsorised_label(df: DataFrame, label: str, lower: float = 0.01, upper: floa
     """Clip the label to its per-date quantiles; a date with fewer than two labels gets null."""
     edges = group_quantiles(df, [DATE], label, {"_lo": lower, "_hi": upper})
     clipped = F.when(F.col("total") >= 2, clip(F.col(label), F.col("_lo"), F.col("_hi")))
-    return df.join(edges, DATE, "left").withColumn(label, clipped).drop("_lo", "_hi", "total")
+    return join_dates(df, edges, how="left").withColumn(label, clipped).drop("_lo", "_hi", "total")
 
 
 def rank_label(df: DataFrame, label: str, bins: int = 5, min_names: int = 30, out: str = "rank_label") -> DataFrame:
@@ -96,7 +97,7 @@ def binary_label(
     enough = F.coalesce(F.col("total"), F.lit(0)) >= min_names
     low, high = F.coalesce(x <= F.col("_bottom"), F.lit(False)), F.coalesce(x >= F.col("_top"), F.lit(False))
     return (
-        df.join(edges, DATE, "left")
+        join_dates(df, edges, how="left")
         .withColumn(out, F.when(enough, F.when(high & ~low, 1.0).otherwise(0.0)))
         .withColumn(mask, enough & (low | high))
         .drop("_bottom", "_top", "total")

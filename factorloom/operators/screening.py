@@ -295,7 +295,8 @@ def signal_weights(summary: DataFrame) -> DataFrame:
 
 def composite_signals(long: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted sum of the factors per name; null where any factor is missing."""
-    joined = long.join(weights, FACTOR)
+    # Three rows per factor column; joining by shuffle would put a whole factor into one task.
+    joined = long.join(F.broadcast(weights), FACTOR)
     complete = F.count(F.lit(1)) == F.count(VALUE)
     return joined.groupBy("portfolio", DATE, INSTRUMENT).agg(
         F.when(complete, F.sum(F.col(VALUE) * F.col("weight"))).alias("signal"), F.first(LABEL).alias(LABEL)

@@ -8,6 +8,7 @@ from factorloom.plans import (  # noqa: F401
     portfolio_queries,
     rotation_queries,
     screening_queries,
+    streaming_queries,
 )
 from factorloom.plans.registry import QUERIES
 

@@ -6,6 +6,7 @@ column selections reach the files; nothing is listed or opened by the driver.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,10 +74,12 @@ def scan_export_csv(
     """Read per-symbol CSV files whose headers drift: order may differ and columns may be absent.
 
     Each file is matched to ``fields`` by its own header line: rows are read as text, and the
-    header joins on the file path. Values must not contain commas. ``encoding`` may be ``GBK``.
+    header joins on the file path. Values must not contain commas. ``encoding`` may be ``GBK``:
+    Spark's own decoders do not know it, but its commas and line ends are single ASCII bytes,
+    so lines are split as bytes and decoded afterwards.
     """
     lines = (
-        spark.read.option("encoding", encoding)
+        spark.read.option("encoding", "ISO-8859-1")
         .option("header", False)
         .option("sep", "\u0001")
         .option("quote", "")
@@ -84,6 +87,12 @@ def scan_export_csv(
         .csv(directory)
         .select("line", F.col("_metadata.file_path").alias("path"))
     )
+
+    @F.pandas_udf(T.StringType())
+    def decoded(line: pd.Series) -> pd.Series:
+        return line.str.encode("latin-1").str.decode(encoding)
+
+    lines = lines.withColumn("line", decoded("line"))
     names = F.split(F.trim("line"), ",")
     is_header = F.array_contains(names, "symbol")
     headers = lines.where(is_header).select("path", names.alias("names"))

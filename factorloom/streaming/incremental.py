@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 
-def read_bars(spark: SparkSession, directory: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
+def read_bars(
+    spark: SparkSession, directory: str, schema: T.StructType, pattern: str = "*.parquet", files_per_trigger: int | None = None
+) -> DataFrame:
     """Stream the Parquet files appearing in a directory."""
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(directory)
@@ -27,23 +29,31 @@ def first_arrivals(stream: DataFrame, keys: Sequence[str], time: str, delay: str
     return typed.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def append_table(stream: DataFrame, table_dir: str, checkpoint: str) -> DataStreamWriter:
+    """Append to a Parquet table; the sink's log keeps each batch exactly once."""
+    return stream.writeStream.format("parquet").option("path", table_dir).option("checkpointLocation", checkpoint)
+
+
 def write_with_coverage(
     stream: DataFrame, table_dir: str, coverage_dir: str, checkpoint: str, key: str, time: str
 ) -> DataStreamWriter:
-    """Append each batch to a table and its per-key last time to a coverage table.
+    """Append each batch to a table, and its last time and row count per key to a coverage table.
 
     Batch directories carry the batch id, so a batch that is retried after a failure replaces
     its own output.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{table_dir}/batch={batch_id}")
-        last = batch.groupBy(key).agg(F.max(time).alias("last_time"))
+        last = spark.read.parquet(f"{table_dir}/batch={batch_id}").groupBy(key)
+        last = last.agg(F.max(time).alias("last_time"), F.count(F.lit(1)).alias("n_events"))
         last.write.mode("overwrite").parquet(f"{coverage_dir}/batch={batch_id}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
 
 
 def coverage(spark: SparkSession, coverage_dir: str, key: str) -> DataFrame:
-    """Last time per key over all batches."""
-    return spark.read.parquet(coverage_dir).groupBy(key).agg(F.max("last_time").alias("last_time"))
+    """Last time and row count per key over all batches."""
+    batches = spark.read.parquet(coverage_dir).groupBy(key)
+    return batches.agg(F.max("last_time").alias("last_time"), F.sum("n_events").alias("n_events"))

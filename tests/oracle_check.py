@@ -92,8 +92,9 @@ def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("names", nargs="*")
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--dir", help="table directory, instead of a scale factor")
     args = parser.parse_args()
-    sf_dir = f"/root/testdata/sf{args.sf}"
+    sf_dir = args.dir or f"/root/testdata/sf{args.sf}"
     spark, con = session(), connect(sf_dir)
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracle = entry.queries(), entry.oracle_sql()
