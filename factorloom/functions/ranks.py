@@ -121,27 +121,24 @@ def group_quantiles(
     value: str,
     probabilities: dict[str, float],
     interpolation: str = "linear",
+    median: str | None = None,
 ) -> DataFrame:
     """Exact quantiles per group, one column per entry of ``probabilities``, plus the count ``total``.
 
     ``interpolation`` is ``linear`` (between neighbouring order statistics) or ``nearest``.
+    ``median`` names an additional median, which is always interpolated linearly.
     """
-    positions = value_positions(df, by, value)
-    low_at, high_at, picks = {}, {}, [F.max("total").alias("total")]
-    for name, p in probabilities.items():
+    wanted = {name: (p, interpolation == "nearest") for name, p in probabilities.items()}
+    if median:
+        wanted[median] = (0.5, False)
+    picks, quantiles = [F.max("total").alias("total")], []
+    for name, (p, nearest) in wanted.items():
         at = (F.col("total") - 1) * F.lit(float(p))
-        if interpolation == "nearest":
-            low_at[name] = high_at[name] = F.floor(at + 0.5)
-        else:
-            low_at[name], high_at[name] = F.floor(at), F.ceil(at)
-        for side, index in (("lo", low_at[name]), ("hi", high_at[name])):
+        below, above = (F.floor(at + 0.5),) * 2 if nearest else (F.floor(at), F.ceil(at))
+        for side, index in (("lo", below), ("hi", above)):
             holds = (F.col("below") <= index) & (index < F.col("below") + F.col("n"))
             picks.append(F.max(F.when(holds, F.col(value))).alias(f"_{side}_{name}"))
-    picked = positions.groupBy(*by).agg(*picks)
-    quantiles = []
-    for name, p in probabilities.items():
-        at = (F.col("total") - 1) * F.lit(float(p))
-        weight = F.lit(0.0) if interpolation == "nearest" else at - F.floor(at)
+        weight = F.lit(0.0) if nearest else at - F.floor(at)
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         quantiles.append((low + (high - low) * weight).alias(name))
-    return picked.select(*by, "total", *quantiles)
+    return value_positions(df, by, value).groupBy(*by).agg(*picks).select(*by, "total", *quantiles)

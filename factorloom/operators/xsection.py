@@ -54,6 +54,26 @@ def impute_median(long: DataFrame) -> DataFrame:
     )
 
 
+def winsorise_and_impute(
+    long: DataFrame, lower: float = 0.01, upper: float = 0.99, interpolation: str = "linear"
+) -> DataFrame:
+    """``impute_median(winsorise(long))`` from one set of quantiles.
+
+    Clipping the outer thirds leaves the median where it was, so both edges and the median come
+    from the same ordering. Only of two values both are clipped, and the median is their middle.
+    """
+    if lower > 1 / 3 or upper < 2 / 3:
+        return impute_median(winsorise(long, lower, upper, interpolation))
+    low, middle, high = F.col("_lo"), F.col("_mid"), F.col("_hi")
+    edges = group_quantiles(long, CELL, VALUE, {"_lo": lower, "_hi": upper}, interpolation, median="_mid")
+    median = F.when(F.col("total") == 2, low + (high - low) * 0.5).otherwise(middle)
+    return (
+        long.join(edges, CELL, "left")
+        .withColumn(VALUE, F.coalesce(clip(F.col(VALUE), low, high), median))
+        .drop("_lo", "_mid", "_hi", "total")
+    )
+
+
 def rank_transform(long: DataFrame) -> DataFrame:
     """Average rank over count, mapped to (-1, 1]."""
     ranked = with_average_rank(long, CELL, VALUE, "_rank", "_total")
@@ -85,9 +105,11 @@ def preprocess(
     interpolation: str = "linear",
 ) -> DataFrame:
     """Winsorise, impute the median, then transform. Screening leaves out the imputation."""
-    if winsorise_at:
+    if winsorise_at and impute:
+        long = winsorise_and_impute(long, *winsorise_at, interpolation)
+    elif winsorise_at:
         long = winsorise(long, *winsorise_at, interpolation)
-    if impute:
+    elif impute:
         long = impute_median(long)
     return TRANSFORMS[transform](long)
 

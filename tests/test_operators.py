@@ -298,3 +298,13 @@ def test_rank_ic_of_a_monotone_factor_is_one(spark):
     df = spark.createDataFrame(rows, "datetime date, instrument string, factor string, value double, label double")
     assert [r.ic for r in ic.daily_rank_ic(df).collect()] == pytest.approx([1.0] * 3)
     assert ic.daily_rank_ic(df, min_names=7).count() == 0
+
+
+def test_winsorise_and_impute_in_one_step_equals_two_steps(spark):
+    rng = np.random.default_rng(9)
+    rows = [(day(n), f"S{i}", "f", None if i == n else float(v)) for n in (1, 2, 3, 4, 40) for i, v in enumerate(rng.standard_normal(n + 1))]
+    long = spark.createDataFrame(rows, "datetime date, instrument string, factor string, value double")
+    for edges in ((0.01, 0.99), (0.2, 0.7), (0.45, 0.55)):
+        once = xsection.winsorise_and_impute(long, *edges).orderBy("datetime", "instrument").toPandas()["value"]
+        twice = xsection.impute_median(xsection.winsorise(long, *edges)).orderBy("datetime", "instrument").toPandas()["value"]
+        np.testing.assert_allclose(once, twice, rtol=1e-12)
