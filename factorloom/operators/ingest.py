@@ -82,9 +82,10 @@ def assemble_daily(
 def on_calendar_grid(df: DataFrame, key: str = INSTRUMENT, date: str = DATE) -> DataFrame:
     """A row for every key on every date of the table, values carried forward.
 
-    The cross product is the result itself: calendar times instruments.
+    Each key gets the list of dates, which is bounded by the calendar, and is expanded in place.
     """
-    grid = df.select(date).distinct().crossJoin(df.select(key).distinct())
+    dates = df.select(date).distinct().agg(F.collect_list(date)).scalar()
+    grid = df.select(key).distinct().withColumn("_dates", dates).select(key, F.explode("_dates").alias(date))
     values = [c for c in df.columns if c not in (key, date)]
     return forward_fill(grid.join(df, [key, date], "left"), values, key, date)
 

@@ -106,7 +106,7 @@ def walk_forward_windows(
 
 def window_dates(panel: DataFrame, windows: DataFrame) -> DataFrame:
     """``(window_id, role, datetime)``: every calendar date of each window's ranges."""
-    dates = panel.select(DATE).distinct()
+    dates = panel.select(DATE).distinct().agg(F.collect_list(DATE)).scalar()
     roles = windows.select(
         "window_id",
         F.inline(
@@ -118,8 +118,8 @@ def window_dates(panel: DataFrame, windows: DataFrame) -> DataFrame:
             )
         ),
     )
-    inside = (F.to_date(F.col(DATE)) >= F.col("_from")) & (F.to_date(F.col(DATE)) <= F.col("_to"))
-    return roles.join(dates, inside).select("window_id", "role", DATE)
+    inside = F.filter("_dates", lambda d: (F.to_date(d) >= F.col("_from")) & (F.to_date(d) <= F.col("_to")))
+    return roles.withColumn("_dates", dates).select("window_id", "role", F.explode(inside).alias(DATE))
 
 
 def window_rows(panel: DataFrame, windows: DataFrame, label: str) -> DataFrame:
