@@ -58,5 +58,8 @@ def map_rows(df: DataFrame, rows: Callable[[], Callable[..., Iterator[tuple]]],
 
 
 def content_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Tells rows with one ``doc_id`` but different texts apart; equal rows share it."""
-    return F.xxhash64(F.col(text), F.length(text)).alias("content_key")
+    """Hash of a row's ``doc_id`` and text: only repeated rows share it, so joins by it have no hot key.
+
+    Joins compare ``doc_id`` as well, so equal hashes of different documents do no harm.
+    """
+    return F.xxhash64(F.col(doc_id), F.col(text), F.length(text)).alias("content_key")
