@@ -87,6 +87,20 @@ def kept_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     )
 
 
+def without_shared_lines(docs: DataFrame, min_documents: int = 10, min_points: int = 1) -> DataFrame:
+    """All rows and columns of ``docs``, the text without its shared lines; ``n_chars``, where there is one, follows it.
+
+    Texts that lose no line stay as they are, null included.
+    """
+    out = kept_lines(docs, drop_bitmaps(docs, min_documents, min_points))
+    changed = F.col("n_dropped") > 0
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(changed, F.length("kept").cast(kind)).otherwise(F.col("row.n_chars"))
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
 def line_dedup(docs: DataFrame, min_documents: int = 10, min_points: int = 1) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256`` of every document."""
     docs = docs.select("doc_id", "text")

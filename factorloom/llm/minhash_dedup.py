@@ -101,8 +101,8 @@ def sketches(docs: DataFrame, size: int, bands: int = BANDS, rows: int = BAND_RO
 
 def _buckets(nodes: DataFrame) -> DataFrame:
     """``bucket, node, n_shingles``, one row per band, without Python."""
-    bands = F.expr("transform(sequence(0, length(bands) div 8 - 1), i -> conv(hex(substring(bands, i * 8 + 1, 8)), 16, -10))")
-    return nodes.select("node", "n_shingles", F.explode(bands).cast("long").alias("bucket"))
+    bands = F.expr("transform(sequence(0, length(bands) div 8 - 1), i -> cast(conv(hex(substring(bands, i * 8 + 1, 8)), 16, -10) as bigint))")
+    return nodes.select("node", "n_shingles", F.explode(bands).alias("bucket"))
 
 
 def _candidate_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int) -> DataFrame:

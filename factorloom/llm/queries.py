@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import bpe, chat, exact_dedup, line_dedup, packing, quality_rules, secret_scan, token_counts
+from factorloom.llm import bpe, chat, exact_dedup, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts
 from factorloom.llm.shared import stored
 from factorloom.plans.registry import Query, Run
 
@@ -94,6 +94,46 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.table_turns(rows.unionByName(planted))))
 
 
+_PASSAGES = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+w AS (SELECT doc_id, p, md5(array_to_string(words[p:p + 49], ' ')) AS w
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS p FROM d)),
+gone AS (SELECT DISTINCT doc_id, c FROM (
+  SELECT doc_id, unnest(range(p, p + 50)) AS c
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY w) AS least FROM w) WHERE doc_id > least)),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS c FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY c) AS text
+         FROM each ANTI JOIN gone USING (doc_id, c) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op5_substring_dedup", _PASSAGES)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(spark, documents(spark, sf_dir), window=50)
+
+
+_NEAR = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(words[p:p + 3], ' ')) AS s
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS p FROM d WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id, a = min(b) AS kept
+FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a"""
+
+
+@query("op6_minhash_dedup", _NEAR)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op7_bpe_codec")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))

@@ -69,14 +69,14 @@ def entropy_spans(run: str, width: int, bits: float) -> Iterator[tuple[int, int]
     counts: dict[str, int] = {}
     total, start, end = 0.0, -1, -1
     for i, char in enumerate(run):
-        c = counts.get(char, 0)
-        counts[char] = c + 1
-        total += terms[c + 1] - terms[c]
         if i >= width:
             old = run[i - width]
             c = counts[old]
             counts[old] = c - 1
             total += terms[c - 1] - terms[c]
+        c = counts.get(char, 0)
+        counts[char] = c + 1
+        total += terms[c + 1] - terms[c]
         if i + 1 >= width and total <= most:
             left = i + 1 - width
             if left > end:
@@ -167,9 +167,8 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return one
 
     out = map_rows(source, rows, StructType([source.schema["row"], StructField("clean", StringType())]))
-    text = F.coalesce("clean", F.col("row.text"))
-    columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    new = {"text": F.coalesce("clean", F.col("row.text"))}
     if "n_chars" in docs.columns:
-        n = F.when(F.col("clean").isNull(), F.col("row.n_chars")).otherwise(F.length("clean"))
-        columns = [n.cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else x for c, x in zip(docs.columns, columns)]
-    return out.select(*columns)
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("clean").isNull(), F.col("row.n_chars")).otherwise(F.length("clean").cast(kind))
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,23 @@ def map_rows(df: DataFrame, rows: Callable[[], Callable[..., Iterator[tuple]]],
     return df.mapInArrow(run, schema)
 
 
+def map_arrays(df: DataFrame, rows: Callable[[], Callable[..., tuple | None]], schema: StructType) -> DataFrame:
+    """As ``map_rows``, for functions that return a tuple of numpy arrays: one result row per place in them."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = rows()
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                columns = [c.to_pylist() for c in batch.slice(start, SLICE).columns]
+                out = [arrays for values in zip(*columns) if (arrays := one(*values)) is not None]
+                if out:
+                    joined = [pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), arrow)]
+                    yield pa.RecordBatch.from_arrays(joined, schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def content_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Hash of a row's ``doc_id`` and text: only repeated rows share it, so joins by it have no hot key.
 
