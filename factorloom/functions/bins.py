@@ -34,10 +34,9 @@ def with_width_bin(df: DataFrame, by: Sequence[str], value: str, bins: int, out:
     """Add the equal-width bin 0..bins-1 of ``value`` between its group's minimum and maximum."""
     span = df.groupBy(*by).agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
     step = (F.col("_max") - F.col("_min")) / bins
-    below = [(F.col("_min") + step * i < F.col(value)).cast("bigint") for i in range(1, bins)]
-    total = below[0]
-    for b in below[1:]:
-        total = total + b
+    total = F.when(F.col(value).isNotNull(), F.lit(0).cast("bigint"))
+    for i in range(1, bins):
+        total = total + (F.col("_min") + step * i < F.col(value)).cast("bigint")
     return _join_groups(df, span, by).withColumn(out, total).drop("_min", "_max")
 
 

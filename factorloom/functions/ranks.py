@@ -65,25 +65,67 @@ def value_positions(df: DataFrame, by: Sequence[str], value: str, *then: str) ->
 
 
 def with_average_ranks(
-    df: DataFrame, by: Sequence[str], ranks: dict[str, str], total: str | None = None
+    df: DataFrame,
+    by: Sequence[str],
+    ranks: dict[str, str],
+    total: str | None = None,
+    among: dict[str, tuple[str, Column]] | None = None,
+    pooled: bool = False,
 ) -> DataFrame:
     """Add the 1-based rank in its group of every column in ``ranks`` (column: name of its rank).
 
     Ties share their average rank; null values get a null rank and do not count. ``total`` also
-    adds the count of the first column. All positions are taken from ``df`` itself, not from a
-    table that already carries joins.
+    adds the count of the first column. ``among`` maps a column to the name of a second rank that
+    counts only the rows of a condition, from the same ordering.
+
+    The rows themselves are shuffled once per column, by group and slice; only the slices' counts
+    are joined to them. Equal values of one group stay together, so groups that span the whole
+    table (``pooled``) go through ``value_positions``, where ties collapse before the shuffle.
     """
     ranked = df
     for value, rank in ranks.items():
-        kept = [(F.col("below") + (F.col("n") + 1) / 2).alias(rank)]
-        if total:
-            kept.append(F.col("total").alias(total))
-            total = None
-        positions = value_positions(df, by, value).select(*by, value, *kept)
-        ranked = ranked.join(positions, [*by, value], "left")
+        if pooled:
+            kept = [(F.col("below") + (F.col("n") + 1) / 2).alias(rank)]
+            kept += [F.col("total").alias(total)] if total else []
+            positions = value_positions(df, by, value).select(*by, value, *kept)
+            ranked = ranked.join(positions, [*by, value], "left")
+        else:
+            counted = {rank: F.col(value).isNotNull()}
+            if among and value in among:
+                name, condition = among[value]
+                counted[name] = F.col(value).isNotNull() & condition
+            ranked = _ranked_in_slices(df, ranked, by, value, counted, total)
+        total = None
     return ranked
 
 
+def _ranked_in_slices(
+    source: DataFrame, rows: DataFrame, by: Sequence[str], value: str, counted: dict[str, Column], total: str | None
+) -> DataFrame:
+    """``rows`` with a rank among the ``counted`` rows of ``source``, which hold the same values."""
+    step = value_slice(F.col(value), dict(source.dtypes)[value]).alias("_slice")
+    ones = {name: F.when(c, 1).otherwise(0).cast("bigint") for name, c in counted.items()}
+    inside = Window.partitionBy(*by, "_slice").orderBy(value)
+    tied = Window.partitionBy(*by, "_slice", value)
+    placed = rows.withColumns({"_slice": step, **{f"_is_{n}": one for n, one in ones.items()}}).withColumns(
+        {f"_at_{n}": F.sum(f"_is_{n}").over(inside) - (F.sum(f"_is_{n}").over(tied) - 1) / 2 for n in ones}
+    )
+    slices = source.where(F.col(value).isNotNull()).groupBy(*by, step)
+    slices = slices.agg(*[F.sum(one).alias(f"_in_{n}") for n, one in ones.items()])
+    lower = Window.partitionBy(*by).orderBy("_slice")
+    first = next(iter(ones))
+    slices = slices.select(
+        *by,
+        "_slice",
+        *[(F.sum(f"_in_{n}").over(lower) - F.col(f"_in_{n}")).alias(f"_lower_{n}") for n in ones],
+        *([F.sum(f"_in_{first}").over(Window.partitionBy(*by)).alias(total)] if total else []),
+    )
+    found = placed.join(slices, [*by, "_slice"], "left")
+    final = {n: F.when(F.col(f"_is_{n}") == 1, F.col(f"_lower_{n}") + F.col(f"_at_{n}")) for n in ones}
+    out = found.withColumns(final)
+    return out.select(*rows.columns, *ones, *([total] if total else []))
+
+
 def with_average_rank(
     df: DataFrame, by: Sequence[str], value: str, rank: str, total: str | None = None
 ) -> DataFrame:

@@ -34,65 +34,76 @@ def returns_from_label(panel: DataFrame, label: str = "label_1d") -> DataFrame:
     return join_dates(rows, moved, "_from").select(INSTRUMENT, F.col("_to").alias(DATE), "ret")
 
 
-def common_dates(returns: DataFrame, signals: DataFrame) -> DataFrame:
-    """Dates present in both tables, numbered from 0 as ``day``."""
-    both = returns.select(DATE).distinct().join(signals.select(DATE).distinct(), DATE, "left_semi")
-    return date_index(both, index="day")
+def common_dates(returns: DataFrame, signals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Dates present in both tables, numbered from 0 as ``day``; with ``by``, for each series of signals on its own."""
+    both = signals.select(*by, DATE).distinct().join(returns.select(DATE).distinct(), DATE, "left_semi")
+    if not by:
+        return date_index(both, index="day")
+    # One row per series and date of the calendar.
+    return both.withColumn("day", F.row_number().over(Window.partitionBy(*by).orderBy(DATE)).cast("bigint") - 1)
 
 
-def topk_weights(signals: DataFrame, days: DataFrame, topk: int, shift: int = 1, signal: str = "signal") -> DataFrame:
-    """``(day, instrument, weight)``: equal weights on the ``topk`` largest signals of ``shift`` days before.
+def topk_weights(
+    signals: DataFrame, days: DataFrame, topk: int, shift: int = 1, signal: str = "signal", by: Sequence[str] = ()
+) -> DataFrame:
+    """``(*by, day, instrument, weight)``: equal weights on the ``topk`` largest signals of ``shift`` days before.
 
     Days with fewer than ``topk`` signals hold nothing. Ties go to the smaller instrument code.
     The limit on the row number is applied before the shuffle, so a date sends at most ``topk``
     rows per task.
     """
-    best = Window.partitionBy("day").orderBy(F.desc(signal), INSTRUMENT)
+    best = Window.partitionBy(*by, "day").orderBy(F.desc(signal), INSTRUMENT)
+    known = signals.where(F.col(signal).isNotNull())
+    dated = known.join(days, [*by, DATE]) if by else join_dates(known, days)
     held = (
-        join_dates(signals.where(F.col(signal).isNotNull()), days)
-        .select((F.col("day") + shift).alias("day"), INSTRUMENT, signal)
+        dated.select(*by, (F.col("day") + shift).alias("day"), INSTRUMENT, signal)
         .withColumn("_place", F.row_number().over(best))
         .where(F.col("_place") <= topk)
     )
-    full = held.withColumn("_held", F.count(F.lit(1)).over(Window.partitionBy("day")))
+    full = held.withColumn("_held", F.count(F.lit(1)).over(Window.partitionBy(*by, "day")))
     return (
         full.where(F.col("_held") == topk)
-        .join(days.select("day"), "day", "left_semi")
-        .select("day", INSTRUMENT, F.lit(1.0 / topk).alias("weight"))
+        .join(days.select(*by, "day"), [*by, "day"], "left_semi")
+        .select(*by, "day", INSTRUMENT, F.lit(1.0 / topk).alias("weight"))
     )
 
 
-def book_turnover(weights: DataFrame, days: DataFrame) -> DataFrame:
-    """``(day, turnover)``: half the absolute weight change against the day before, for every day."""
-    now = weights.select("day", INSTRUMENT, "weight")
-    before = weights.select((F.col("day") + 1).alias("day"), INSTRUMENT, (-F.col("weight")).alias("weight"))
-    change = now.unionByName(before).groupBy("day", INSTRUMENT).agg(F.sum("weight").alias("_change"))
-    moved = change.groupBy("day").agg((F.sum(F.abs("_change")) / 2).alias("_turnover"))
-    return days.join(moved, "day", "left").select("day", DATE, F.coalesce("_turnover", F.lit(0.0)).alias("turnover"))
+def book_turnover(weights: DataFrame, days: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, day, turnover)``: half the absolute weight change against the day before, for every day."""
+    now = weights.select(*by, "day", INSTRUMENT, "weight")
+    before = weights.select(*by, (F.col("day") + 1).alias("day"), INSTRUMENT, (-F.col("weight")).alias("weight"))
+    change = now.unionByName(before).groupBy(*by, "day", INSTRUMENT).agg(F.sum("weight").alias("_change"))
+    moved = change.groupBy(*by, "day").agg((F.sum(F.abs("_change")) / 2).alias("_turnover"))
+    joined = days.join(moved, [*by, "day"], "left")
+    return joined.select(*by, "day", DATE, F.coalesce("_turnover", F.lit(0.0)).alias("turnover"))
 
 
 def topk_backtest(
-    returns: DataFrame, signals: DataFrame, topk: int = 50, cost_bps: float = 10, shift: int = 1, signal: str = "signal"
+    returns: DataFrame,
+    signals: DataFrame,
+    topk: int = 50,
+    cost_bps: float = 10,
+    shift: int = 1,
+    signal: str = "signal",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per date: net portfolio return, excess over the equal-weight mean, turnover.
+    """One row per date (and series ``by``): net portfolio return, excess over the equal-weight mean, turnover.
 
     The return is null on days without a book; a held name without a return counts as zero.
     """
-    days = common_dates(returns, signals)
-    weights = topk_weights(signals, days, topk, shift, signal)
-    on_days = join_dates(returns, days).select("day", INSTRUMENT, "ret")
-    benchmark = on_days.groupBy("day").agg(F.avg("ret").alias("benchmark"))
-    gross = (
-        weights.join(on_days, ["day", INSTRUMENT], "left")
-        .groupBy("day")
-        .agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("_gross"))
-    )
+    keys = [*by, "day"]
+    days = common_dates(returns, signals, by)
+    weights = topk_weights(signals, days, topk, shift, signal, by)
+    benchmark = returns.groupBy(DATE).agg(F.avg("ret").alias("benchmark"))
+    held = weights.join(days, keys).join(returns.select(DATE, INSTRUMENT, "ret"), [DATE, INSTRUMENT], "left")
+    gross = held.groupBy(*keys).agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("_gross"))
     net = F.col("_gross") - F.col("turnover") * (cost_bps / 10000)
     return (
-        book_turnover(weights, days)
-        .join(gross, "day", "left")
-        .join(benchmark, "day", "left")
+        book_turnover(weights, days, by)
+        .join(gross, keys, "left")
+        .join(benchmark, DATE, "left")
         .select(
+            *by,
             DATE,
             net.alias("portfolio_return"),
             (net - F.col("benchmark")).alias("excess_return"),

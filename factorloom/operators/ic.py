@@ -16,11 +16,14 @@ LABEL = "label"
 
 
 def rank_correlation(
-    df: DataFrame, by: Sequence[str], x: str = VALUE, y: str = LABEL, min_count: int = 2, out: str = "ic"
+    df: DataFrame, by: Sequence[str], x: str = VALUE, y: str = LABEL, min_count: int = 2, out: str = "ic", pooled: bool = False
 ) -> DataFrame:
-    """Spearman correlation per group over pairwise complete rows, with the number of pairs ``n``."""
+    """Spearman correlation per group over pairwise complete rows, with the number of pairs ``n``.
+
+    ``pooled`` is for groups that span all dates.
+    """
     pairs = df.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = with_average_ranks(pairs, by, {x: "_rx", y: "_ry"})
+    ranked = with_average_ranks(pairs, by, {x: "_rx", y: "_ry"}, pooled=pooled)
     rho = correlation(F.col("_rx"), F.col("_ry"), min_count=min_count)
     return ranked.groupBy(*by).agg(rho.alias(out), F.count(F.lit(1)).alias("n"))
 

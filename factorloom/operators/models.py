@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.frames import DATE, INSTRUMENT
 from factorloom.functions.numeric import finite
-from factorloom.functions.ranks import with_ordinal
 from factorloom.operators.ic import rank_correlation
 from factorloom.operators.labels import binary_label, rank_label
 from factorloom.operators.xsection import zero_missing
@@ -84,13 +83,29 @@ def predict(model: Model, rows: DataFrame, features: Sequence[str], keep: Sequen
     return scored.select(DATE, INSTRUMENT, *keep, score.alias("prediction"))
 
 
-def feature_importance(model: Model, features: Sequence[str], top: int = 20) -> DataFrame:
-    """The ``top`` features by absolute importance or coefficient."""
+def feature_importance(model: Model, features: Sequence[str], top: int | None = None) -> DataFrame:
+    """Importance or coefficient of every feature, or of the ``top`` ones for a report."""
     fitted = model.stages[-1]
     values = fitted.coefficients if hasattr(fitted, "coefficients") else fitted.featureImportances
     entries = [F.struct(F.lit(f).alias("feature"), F.lit(float(v)).alias("importance")) for f, v in zip(features, values.toArray())]
     table = SparkSession.active().range(1).select(F.inline(F.array(*entries)))
-    return table.orderBy(F.desc(F.abs("importance")), "feature").limit(top)
+    return table if top is None else table.orderBy(F.desc(F.abs("importance")), "feature").limit(top)
+
+
+def shuffled_values(rows: DataFrame, columns: Sequence[str], salt: str, prefix: str = "_s_") -> DataFrame:
+    """Add every column with its values moved to other rows, all columns of a row together.
+
+    Rows are dealt into random blocks, and in each block every row takes the values of the next one in a random order;
+    both follow from a hash of the row's key, so a task that runs again moves the same values. The number of blocks
+    follows the shuffle partitions.
+    """
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(f"{salt}/block"), DATE, INSTRUMENT), F.lit(blocks)))
+    order = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(salt), DATE, INSTRUMENT), DATE, INSTRUMENT)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    values = F.struct(*columns)
+    moved = keyed.withColumn("_moved", F.coalesce(F.lead(values).over(order), F.first(values).over(whole)))
+    return moved.select(*rows.columns, *[F.col("_moved")[c].alias(f"{prefix}{c}") for c in columns])
 
 
 def permutation_importance(
@@ -98,45 +113,35 @@ def permutation_importance(
 ) -> DataFrame:
     """Drop of the pooled rank IC when one feature's values are shuffled, mean over ``shuffles``.
 
-    A shuffle orders the rows by a seeded hash of their key and takes each row's value from the
-    row at the same place of a second ordering: one join per shuffle serves all features.
+    Missing values are left to the model's own rule. Each feature is scored in a pass of its own over the rows and
+    their shuffles, and one number per shuffle returns. ``rows`` should be a stored table.
     """
-    rows = zero_missing(rows, features).select(DATE, INSTRUMENT, label, *features)
-
-    def placed(salt: str) -> DataFrame:
-        # 52 bits of the hash, exact as a double; equal hashes are ordered by the row key.
-        key = F.pmod(F.xxhash64(DATE, INSTRUMENT, F.lit(salt)), F.lit(1 << 52)).cast("double")
-        keyed = rows.withColumns({"_h": key, "_k": F.concat_ws("|", F.col(INSTRUMENT), F.col(DATE))})
-        return with_ordinal(keyed, [], "_h", "_k", "_place", "_total")
-
-    def variant(shuffled: str, i: int) -> Column:
-        values = [F.col(f"_s_{f}" if f == shuffled else f).alias(f) for f in features]
-        return F.struct(F.lit(shuffled).alias("_feature"), F.lit(i).alias("_round"), *values)
-
-    base = placed(f"{seed}").select("_place", DATE, INSTRUMENT, label, *features)
-    unshuffled = base.select(DATE, INSTRUMENT, label, F.lit("").alias("_feature"), F.lit(0).alias("_round"), *features)
-    parts = [unshuffled]
-    for i in range(shuffles):
-        donors = placed(f"{seed}/{i}").select("_place", *[F.col(f).alias(f"_s_{f}") for f in features])
-        variants = F.inline(F.array(*[variant(f, i) for f in features]))
-        parts.append(base.join(donors, "_place").select(DATE, INSTRUMENT, label, variants))
-    scored = reduce(DataFrame.unionByName, parts)
-    predictions = predict(model, scored, features, ("_feature", "_round", label))
-    ics = rank_correlation(predictions, ["_feature", "_round"], "prediction", label)
-    base_ic = F.max(F.when(F.col("_feature") == "", F.col("ic"))).over(Window.partitionBy())
-    drops = ics.withColumn("_drop", base_ic - F.col("ic")).where(F.col("_feature") != "")
-    return drops.groupBy(F.col("_feature").alias("feature")).agg(F.avg("_drop").alias("importance"))
-
-
-def walk_forward(
-    rows: DataFrame, features: Sequence[str], label: str, trainer: Trainer, window_ids: Sequence[int]
-) -> DataFrame:
+    rows = rows.select(DATE, INSTRUMENT, label, *features)
+    rounds = [shuffled_values(rows, features, f"{seed}/{i}").withColumn("_round", F.lit(i)) for i in range(shuffles)]
+    moved = reduce(DataFrame.unionByName, rounds)
+
+    def pooled_ics(scored: DataFrame) -> list[float]:
+        predictions = predict(model, scored, features, ("_round", label))
+        found = rank_correlation(predictions, ["_round"], "prediction", label, pooled=True)
+        return [r.ic for r in found.collect()]
+
+    base = pooled_ics(rows.withColumn("_round", F.lit(0)))[0]
+    drops = []
+    for feature in features:
+        ics = pooled_ics(moved.withColumn(feature, F.col(f"_s_{feature}")))
+        drops.append((feature, sum(base - ic for ic in ics) / len(ics)))
+    return rows.sparkSession.createDataFrame(drops, "feature string, importance double")
+
+
+def walk_forward(rows: DataFrame, features: Sequence[str], label: str, trainer: Trainer) -> DataFrame:
     """Validation and out-of-sample predictions of every window: ``window_id, role, prediction, label``.
 
-    ``rows`` is ``splits.window_rows``. One distributed fit per window; the loop is over windows.
+    ``rows`` is ``splits.window_rows``, stored. One distributed fit per window; the loop is over the windows, whose
+    number is bounded by the calendar.
     """
+    windows = sorted(r.window_id for r in rows.select("window_id").distinct().collect())
     parts = []
-    for w in window_ids:
+    for w in windows:
         window = rows.where(F.col("window_id") == w)
         model = trainer(window.where(F.col("role") == "train"), features, label)
         scored = window.where(F.col("role") != "train")
@@ -144,6 +149,22 @@ def walk_forward(
     return reduce(DataFrame.unionByName, parts)
 
 
+def single_factor_regressions(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Predictions of one least-squares line per window and factor: ``model, window_id, role, datetime, instrument, prediction, label``.
+
+    All windows and factors are fitted in one aggregation over their training rows, which leaves one row per window
+    and factor; these lines are then applied to the later rows. No fit runs on the driver.
+    """
+    ids = ["window_id", "role", DATE, INSTRUMENT, label]
+    long = rows.select(*ids, *[finite(F.col(f)).alias(f) for f in features]).unpivot(ids, list(features), "model", "_x")
+    y, x = F.col(label), F.col("_x")
+    lines = long.where("role = 'train'").groupBy("window_id", "model").agg(
+        F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_intercept")
+    )
+    later = long.where("role <> 'train'").join(lines, ["window_id", "model"])
+    return later.select("model", *ids, (F.col("_intercept") + F.col("_slope") * x).alias("prediction"))
+
+
 # --- choice for live use --------------------------------------------------------------
 
 # Hard limits and score weights.
@@ -168,8 +189,8 @@ WEIGHTS = {
 
 
 def best_by_icir(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The model with the largest absolute validation ICIR."""
-    return metrics.groupBy(*by).agg(F.max_by("model", F.abs("icir")).alias("model"))
+    """The model with the largest absolute validation ICIR; of equal ones the first by name."""
+    return metrics.groupBy(*by).agg(F.min_by("model", F.struct(-F.abs("icir"), "model")).alias("model"))
 
 
 def select_live(candidates: DataFrame, limits: dict | None = None, weights: dict | None = None) -> DataFrame:
@@ -179,9 +200,10 @@ def select_live(candidates: DataFrame, limits: dict | None = None, weights: dict
     excess_sharpe, max_drawdown, avg_turnover, positive_ratio, n_windows (null for a static split).
     """
     lim = {**LIMITS, **(limits or {})}
-    raw = {k: v for k, v in {**WEIGHTS, **(weights or {})}.items() if k in WEIGHTS and v > 0}
-    total = sum(raw.values())
-    w = {k: v / total for k, v in raw.items()} if total > 0 else WEIGHTS
+    if not set(weights or ()) <= set(WEIGHTS) or any(v <= 0 for v in (weights or {}).values()):
+        raise ValueError(f"weights must be positive numbers for some of {sorted(WEIGHTS)}")
+    chosen = {**WEIGHTS, **(weights or {})}
+    w = {name: weight / sum(chosen.values()) for name, weight in chosen.items()}
 
     broken = {
         "oos_ic": ~(F.col("oos_ic") > lim["min_oos_ic"]),

@@ -5,8 +5,6 @@ The asset list of a rotation study is fixed and short; assets are rows here all
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -185,31 +183,21 @@ def covariance_matrices(grid: DataFrame, held: DataFrame, window: int) -> DataFr
 # --- allocation -----------------------------------------------------------------------
 
 
-def _project(w: np.ndarray, capped: np.ndarray, single_cap: float, group_cap: float) -> np.ndarray:
-    """Weights summing to one under a cap per asset and a cap on the sum of the ``capped`` group.
+def _filled(rows: DataFrame, by: list[str], budget: str, cap: float, out: str) -> DataFrame:
+    """Shares ``out`` of each group's ``budget`` in proportion to ``share``, none above ``cap``.
 
-    Each round scales the group down, clips single assets, and spreads what is missing over the
-    assets with room, in proportion to their weight.
+    In falling order of ``share`` the first names are held at the cap and the rest get what is left in proportion. The
+    right number of held names is the smallest for which the next one stays below the cap. Groups are the few names
+    chosen for a date.
     """
-    for _ in range(50):
-        start = w.copy()
-        in_group = w[capped].sum()
-        if in_group > group_cap:
-            w = np.where(capped, w * (group_cap / (in_group + 1e-9)), w)
-        w = np.minimum(w, single_cap)
-        missing = 1.0 - w.sum()
-        if abs(missing) < 1e-7:
-            break
-        room = w < single_cap - 1e-7
-        if w[capped].sum() >= group_cap - 1e-7:
-            room &= ~capped
-        if not room.any():
-            break
-        base = w[room].sum()
-        w[room] += missing * (w[room] / base if base > 1e-9 else 1.0 / room.sum())
-        if np.allclose(w, start, atol=1e-8):
-            break
-    return w / w.sum()
+    order = Window.partitionBy(*by).orderBy(F.desc("share"), INSTRUMENT)
+    behind = F.sum("share").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # The factor by which shares grow if exactly the names before this one are held at the cap.
+    factor = div(F.col(budget) - (F.row_number().over(order) - 1) * cap, behind)
+    staged = rows.withColumn("_factor", factor)
+    fits = F.when(F.col("_factor") * F.col("share") <= cap, F.struct(-F.col("share"), F.col(INSTRUMENT), F.col("_factor").alias("factor")))
+    first = F.min(fits).over(Window.partitionBy(*by))["factor"]
+    return staged.withColumn(out, F.coalesce(F.least(F.lit(cap), first * F.col("share")), F.lit(cap))).drop("_factor")
 
 
 def capped_allocation(
@@ -217,32 +205,30 @@ def capped_allocation(
 ) -> DataFrame:
     """``(datetime, instrument, weight)`` of the best ``top_n`` scores per date, negative scores set to zero.
 
-    Without a positive score the first of ``fallbacks`` that is scored on the date gets all.
-    Only the best assets and the fallbacks of a date reach Python, so a group is at most
-    ``top_n + len(fallbacks)`` rows; dates run in parallel.
+    Weights follow the scores under a cap for each name and a cap for the sum of the group; names without a score get
+    something only when all others are at their cap. If the caps leave a part of the budget, all weights are scaled up to
+    sum to one. Without a positive score the first of ``fallbacks`` that is scored on the date gets all.
     """
     best = Window.partitionBy(DATE).orderBy(F.desc("score"), INSTRUMENT)
-    top = (
-        scores.withColumn("_place", F.row_number().over(best))
-        .where(F.col("_place") <= top_n)
-        .select(DATE, INSTRUMENT, F.greatest("score", F.lit(0.0)).alias("score"), F.lit(-1).alias("_fallback"))
+    day = Window.partitionBy(DATE)
+    top = scores.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= top_n)
+    top = top.select(DATE, INSTRUMENT, F.greatest("score", F.lit(0.0)).alias("score"))
+    top = top.withColumn("_total", F.sum("score").over(day)).where(F.col("_total") > 1e-9)
+    # A hair for every name, so that names without a score share equally what the others cannot take.
+    shares = top.withColumns(
+        {"share": div(F.col("score"), F.col("_total")) + 1e-9, "_grouped": F.col(INSTRUMENT).isin(list(capped_group)), "_all": F.lit(1.0)}
     )
-    rows = top
-    for i, asset in enumerate(fallbacks):
-        spare = scores.where(F.col(INSTRUMENT) == asset)
-        rows = rows.unionByName(spare.select(DATE, INSTRUMENT, F.lit(0.0).alias("score"), F.lit(i).alias("_fallback")))
-    members = list(capped_group)
-
-    def allocate(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = pdf[pdf["_fallback"] < 0].sort_values("score", ascending=False, kind="stable")
-        total = chosen["score"].sum()
-        if total <= 1e-9:
-            spare = pdf[pdf["_fallback"] >= 0].sort_values("_fallback").head(1)
-            return spare[[DATE, INSTRUMENT]].assign(weight=1.0)
-        capped = chosen[INSTRUMENT].isin(members).to_numpy()
-        weights = _project((chosen["score"] / total).to_numpy(copy=True), capped, single_cap, group_cap)
-        return chosen[[DATE, INSTRUMENT]].assign(weight=weights)
-
-    types = dict(scores.dtypes)
-    schema = f"{DATE} {types[DATE]}, {INSTRUMENT} {types[INSTRUMENT]}, weight double"
-    return rows.groupBy(DATE).applyInPandas(allocate, schema)
+    alone = _filled(shares, [DATE], "_all", single_cap, "_alone")
+    in_group = F.sum(F.when(F.col("_grouped"), F.col("_alone")).otherwise(0.0)).over(day)
+    over = in_group > group_cap
+    budget = F.when(F.col("_grouped"), F.lit(group_cap)).otherwise(1 - group_cap)
+    split = _filled(alone.withColumns({"_over": over, "_budget": budget}), [DATE, "_grouped"], "_budget", single_cap, "_split")
+    weight = F.when(F.col("_over"), F.col("_split")).otherwise(F.col("_alone"))
+    weighted = split.withColumn("_w", weight)
+    chosen = weighted.select(DATE, INSTRUMENT, div(F.col("_w"), F.sum("_w").over(day)).alias("weight"))
+
+    order = F.array(*[F.lit(f) for f in fallbacks]).cast(f"array<{dict(scores.dtypes)[INSTRUMENT]}>")
+    spare = scores.where(F.array_contains(order, F.col(INSTRUMENT))).join(top.select(DATE).distinct(), DATE, "left_anti").groupBy(DATE).agg(
+        F.min_by(INSTRUMENT, F.array_position(order, F.col(INSTRUMENT))).alias(INSTRUMENT)
+    )
+    return chosen.unionByName(spare.select(DATE, INSTRUMENT, F.lit(1.0).alias("weight")))

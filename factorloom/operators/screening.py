@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.frames import DATE, INSTRUMENT, full, trailing
 from factorloom.functions.numeric import correlation, div, finite
-from factorloom.functions.ranks import value_positions, with_average_rank
+from factorloom.functions.ranks import value_positions, with_average_rank, with_average_ranks
 from factorloom.operators.ic import LABEL, daily_rank_ic, ic_summary, rank_correlation, yearly_ic
 from factorloom.operators.xsection import CELL, FACTOR, VALUE
 
@@ -22,7 +21,6 @@ MIN_DAY_COVERAGE = 0.60
 ROLLING_DAYS = 60
 STABILITY_WEIGHTS = (0.4, 0.3, 0.3)
 CHOICE_WEIGHTS = {"icir": 0.30, "monotonicity": 0.20, "long_short": 0.20, "stability_score": 0.30}
-CLUSTER_DISTANCE = 0.5
 
 
 # --- ring 0: data quality -------------------------------------------------------------
@@ -58,7 +56,7 @@ def factor_quality(
     constant = F.coalesce((F.col("n") >= 2) & (F.coalesce("std", F.lit(0.0)) < constant_std), F.lit(False))
     low = F.coalesce(F.col("coverage"), F.lit(0.0)) < min_coverage
     reasons = F.concat_ws(
-        "; ", F.when(constant, F.lit("constant/low_variance")), F.when(low, F.lit("low_coverage"))
+        "; ", F.when(constant, F.lit("hardly varies")), F.when(low, F.lit("too often missing"))
     )
     return (
         stats.select(F.inline(F.array(*entries)))
@@ -99,18 +97,21 @@ def group_returns(long: DataFrame, groups: int = 5, mode: str = "even") -> DataF
     whose lowest bucket spans two fifths of the names and whose highest holds only the top rank.
     """
     ranked = with_average_rank(long, CELL, VALUE, "_rank", "_total")
-    position = F.col("_rank") / F.col("_total") * groups
-    if mode == "even":
-        bucket = F.ceil(position)
-    else:
-        bucket = F.floor(F.least(F.greatest(position - 1, F.lit(0.0)), F.lit(float(groups - 1)))) + 1
+    bucket = _bucket(F.col("_rank"), F.col("_total"), groups, mode)
     return (
         ranked.where(F.col("_rank").isNotNull())
-        .groupBy(FACTOR, bucket.cast("bigint").alias("bucket"))
+        .groupBy(FACTOR, bucket.alias("bucket"))
         .agg(F.avg(LABEL).alias("mean_label"), F.count(LABEL).alias("n"))
     )
 
 
+def _bucket(rank: Column, total: Column, groups: int, mode: str) -> Column:
+    position = rank / total * groups
+    if mode == "even":
+        return F.ceil(position).cast("bigint")
+    return (F.floor(F.least(F.greatest(position - 1, F.lit(0.0)), F.lit(float(groups - 1)))) + 1).cast("bigint")
+
+
 def spread_and_monotonicity(returns: DataFrame, groups: int = 5) -> DataFrame:
     """Top minus bottom bucket, and the rank correlation of bucket number with mean label (3 buckets at least)."""
     known = returns.where(F.col("mean_label").isNotNull())
@@ -129,9 +130,38 @@ def spread_and_monotonicity(returns: DataFrame, groups: int = 5) -> DataFrame:
 
 
 def profile(long: DataFrame, groups: int = 5, mode: str = "even", min_names: int = 2) -> DataFrame:
-    """IC summary, long-short return and monotonicity of every factor."""
-    ics = ic_summary(daily_rank_ic(long, min_names))
-    return ics.join(spread_and_monotonicity(group_returns(long, groups, mode), groups), FACTOR, "left")
+    """IC summary, long-short return and monotonicity of every factor.
+
+    Each cell of date and factor is ranked once, and the correlation and the bucket sums leave it in one
+    aggregation, so what goes on is one row per cell.
+    """
+    cells = profile_cells(long, groups, mode, min_names)
+    sums = cells.groupBy(FACTOR).agg(
+        *[F.sum(f"_sum_{b}").alias(f"_sum_{b}") for b in range(1, groups + 1)],
+        *[F.sum(f"_n_{b}").alias(f"_n_{b}") for b in range(1, groups + 1)],
+    )
+    entries = [
+        F.struct(F.lit(b).cast("bigint").alias("bucket"), div(F.col(f"_sum_{b}"), F.col(f"_n_{b}")).alias("mean_label"))
+        for b in range(1, groups + 1)
+    ]
+    returns = sums.select(FACTOR, F.inline(F.array(*entries)))
+    ics = ic_summary(cells.where(F.col("ic").isNotNull()))
+    return ics.join(spread_and_monotonicity(returns, groups), FACTOR, "left")
+
+
+def profile_cells(long: DataFrame, groups: int = 5, mode: str = "even", min_names: int = 2) -> DataFrame:
+    """Per date and factor: rank IC ``ic`` (null below ``min_names`` pairs), and label sums and counts of every bucket."""
+    pair = F.col(LABEL).isNotNull()
+    rows = long.select(*CELL, VALUE, LABEL).where(F.col(VALUE).isNotNull())
+    ranked = with_average_ranks(rows, CELL, {VALUE: "_rank", LABEL: "_ry"}, "_total", {VALUE: ("_rx", pair)})
+    bucket = _bucket(F.col("_rank"), F.col("_total"), groups, mode)
+    rho = correlation(F.col("_rx"), F.col("_ry"), min_count=min_names)
+    inside = {b: (bucket == b) & pair for b in range(1, groups + 1)}
+    return ranked.groupBy(*CELL).agg(
+        rho.alias("ic"),
+        *[F.sum(F.when(c, F.col(LABEL))).alias(f"_sum_{b}") for b, c in inside.items()],
+        *[F.sum(F.when(c, 1).otherwise(0)).alias(f"_n_{b}") for b, c in inside.items()],
+    )
 
 
 # --- ring 3: filter -------------------------------------------------------------------
@@ -146,8 +176,8 @@ def cross_section_filter(
     weak, short = F.abs("ic_mean") < min_abs_ic, F.col("coverage") < min_coverage
     reasons = F.concat_ws(
         "; ",
-        F.when(weak, F.format_string(f"abs_ic=%.4f < {min_abs_ic}", F.abs("ic_mean"))),
-        F.when(short, F.format_string(f"coverage=%.2f%% < {min_coverage * 100:.0f}%%", F.col("coverage") * 100)),
+        F.when(weak, F.format_string(f"|IC| %.4f below {min_abs_ic}", F.abs("ic_mean"))),
+        F.when(short, F.format_string(f"IC on %.2f%% of dates, below {min_coverage * 100:.0f}%%", F.col("coverage") * 100)),
     )
     return rows.select(FACTOR, "ic_mean", "coverage", (~(weak | short)).alias("retained"), reasons.alias("reason"))
 
@@ -169,7 +199,7 @@ def with_size_stratum(long: DataFrame, size: str = INSTRUMENT) -> DataFrame:
 
 def stratum_ic(long: DataFrame, size: str = INSTRUMENT) -> DataFrame:
     """Rank correlation pooled over all dates, per factor and size stratum."""
-    return rank_correlation(with_size_stratum(long, size), [FACTOR, "stratum"])
+    return rank_correlation(with_size_stratum(long, size), [FACTOR, "stratum"], pooled=True)
 
 
 def stability(long: DataFrame, size: str = INSTRUMENT, rolling_days: int = ROLLING_DAYS, min_names: int = 2) -> DataFrame:
@@ -221,35 +251,6 @@ def ic_distance(daily: DataFrame, n_factors: int) -> DataFrame:
     return pairs.withColumn("distance", F.sqrt(F.greatest((1 - F.col("corr")) / 2, F.lit(0.0))))
 
 
-def cluster_factors(distances: DataFrame, threshold: float = CLUSTER_DISTANCE) -> DataFrame:
-    """Complete-linkage groups: merge the closest two while their farthest members stay below ``threshold``.
-
-    The distance table has one row per pair of factor columns; the heavy work, the distances
-    themselves, is done by ``ic_distance``.
-    """
-
-    def merge(pairs: pd.DataFrame) -> pd.DataFrame:
-        far = pairs.pivot(index="factor_a", columns="factor_b", values="distance").sort_index().sort_index(axis=1)
-        names, d = list(far.index), far.to_numpy(copy=True)
-        members = [[i] for i in range(len(names))]
-        d[range(len(d)), range(len(d))] = float("inf")
-        while len(members) > 1:
-            a, b = divmod(int(d.argmin()), len(d))
-            if d[a, b] >= threshold:
-                break
-            a, b = min(a, b), max(a, b)
-            members[a] += members.pop(b)
-            linked = pd.DataFrame([d[a], d[b]]).max().to_numpy()
-            d[a, :], d[:, a] = linked, linked
-            d[a, a] = float("inf")
-            keep = [i for i in range(len(d)) if i != b]
-            d = d[keep][:, keep]
-        rows = [(names[i], c) for c, group in enumerate(sorted(members, key=min)) for i in group]
-        return pd.DataFrame(rows, columns=["factor", "cluster"])
-
-    return distances.groupBy().applyInPandas(merge, "factor string, cluster bigint")
-
-
 # --- ring 6: representatives ----------------------------------------------------------
 
 
@@ -280,27 +281,32 @@ def representatives(metrics: DataFrame, per_cluster: int = 2) -> DataFrame:
 
 
 def signal_weights(summary: DataFrame) -> DataFrame:
-    """Weights of the three composites: equal, by absolute IC, by IC ratio."""
+    """Weights of the three composites, a row per factor: equal, by absolute IC, by IC ratio."""
     whole = Window.partitionBy()
     abs_ic, icir = F.abs("ic_mean"), F.col("icir")
-    weighted = summary.withColumns(
-        {
-            "equal_weight": 1 / F.count(F.lit(1)).over(whole).cast("double"),
-            "ic_weight": abs_ic / F.greatest(F.sum(abs_ic).over(whole), F.lit(1e-8)),
-            "icir_weight": icir / F.greatest(F.abs(F.sum(icir).over(whole)), F.lit(1e-8)),
-        }
+    return summary.select(
+        FACTOR,
+        (1 / F.count(F.lit(1)).over(whole).cast("double")).alias("equal_weight"),
+        (abs_ic / F.greatest(F.sum(abs_ic).over(whole), F.lit(1e-8))).alias("ic_weight"),
+        (icir / F.greatest(F.abs(F.sum(icir).over(whole)), F.lit(1e-8))).alias("icir_weight"),
     )
-    return weighted.unpivot([FACTOR], ["equal_weight", "ic_weight", "icir_weight"], "portfolio", "weight")
+
+
+PORTFOLIOS = ("equal_weight", "ic_weight", "icir_weight")
 
 
 def composite_signals(long: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted sum of the factors per name; null where any factor is missing."""
-    # Three rows per factor column; joining by shuffle would put a whole factor into one task.
+    """Weighted sums of the factors per name, one row per composite; null where any factor is missing.
+
+    The three sums leave one aggregation; rows are only tripled after it, per date and name.
+    """
+    # One row per factor column; joining by shuffle would put a whole factor into one task.
     joined = long.join(F.broadcast(weights), FACTOR)
     complete = F.count(F.lit(1)) == F.count(VALUE)
-    return joined.groupBy("portfolio", DATE, INSTRUMENT).agg(
-        F.when(complete, F.sum(F.col(VALUE) * F.col("weight"))).alias("signal"), F.first(LABEL).alias(LABEL)
+    sums = joined.groupBy(DATE, INSTRUMENT).agg(
+        *[F.when(complete, F.sum(F.col(VALUE) * F.col(p))).alias(p) for p in PORTFOLIOS], F.first(LABEL).alias(LABEL)
     )
+    return sums.unpivot([DATE, INSTRUMENT, LABEL], list(PORTFOLIOS), "portfolio", "signal")
 
 
 def composite_report(signals: DataFrame) -> DataFrame:
@@ -334,7 +340,7 @@ def screening_log(quality: DataFrame, filtered: DataFrame, chosen: DataFrame) ->
                 F.lit("choice").alias("ring"),
                 "factor",
                 F.coalesce("passed", F.lit(False)).alias("passed"),
-                F.when(F.col("passed"), "").otherwise("not representative").alias("reason"),
+                F.when(F.col("passed"), "").otherwise("others of its group are better").alias("reason"),
             )
         )
     )

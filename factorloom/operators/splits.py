@@ -5,6 +5,8 @@ Split arithmetic runs on the distinct dates, gathered into one array: a calendar
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +108,8 @@ def walk_forward_windows(
 
 def window_dates(panel: DataFrame, windows: DataFrame) -> DataFrame:
     """``(window_id, role, datetime)``: every calendar date of each window's ranges."""
+    if dict(panel.dtypes)[DATE] != "date":
+        raise TypeError("windows are ranges of dates: cast the panel's datetime to a date first")
     dates = panel.select(DATE).distinct().agg(F.collect_list(DATE)).scalar()
     roles = windows.select(
         "window_id",
@@ -130,6 +134,6 @@ def window_rows(panel: DataFrame, windows: DataFrame, label: str) -> DataFrame:
     return panel.where(F.col(label).isNotNull()).join(window_dates(panel, windows), DATE)
 
 
-def concatenated_signals(predictions: DataFrame, value: str = "prediction") -> DataFrame:
-    """Out-of-sample predictions of all windows; where windows overlap the latest one wins."""
-    return predictions.groupBy(DATE, INSTRUMENT).agg(F.max_by(value, "window_id").alias(value))
+def concatenated_signals(predictions: DataFrame, value: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
+    """Out-of-sample predictions of all windows (per model ``by``); where windows overlap the latest one wins."""
+    return predictions.groupBy(*by, DATE, INSTRUMENT).agg(F.max_by(value, "window_id").alias(value))

@@ -28,7 +28,7 @@ NOTABLE_IC = 0.02
 # --- inputs ---------------------------------------------------------------------------
 
 
-def clean_factor(factor: DataFrame, value: str = FACTOR, order: str | None = None) -> DataFrame:
+def clean_factor(factor: DataFrame, order: str, value: str = FACTOR) -> DataFrame:
     """Finite factor values, one per date and name (the last by ``order``), rows marked invalid left out."""
     rows = factor
     if "quality_status" in rows.columns:
@@ -36,7 +36,7 @@ def clean_factor(factor: DataFrame, value: str = FACTOR, order: str | None = Non
     rows = rows.withColumn(FACTOR, finite(F.col(value))).where(
         F.col(FACTOR).isNotNull() & F.col(DATE).isNotNull() & F.col(INSTRUMENT).isNotNull()
     )
-    return rows.groupBy(DATE, INSTRUMENT).agg(F.max_by(FACTOR, F.col(order or FACTOR)).alias(FACTOR))
+    return rows.groupBy(DATE, INSTRUMENT).agg(F.max_by(FACTOR, order).alias(FACTOR))
 
 
 def price_paths(returns: DataFrame, ret: str = "ret", held: str | None = None) -> DataFrame:
@@ -107,10 +107,12 @@ def clean_factor_data(
     zero_aware: bool = False,
     cumulative_returns: bool = True,
     price: str = "close",
+    max_loss: float | None = None,
 ) -> DataFrame:
     """Factor, forward returns and quantile; rows lacking any of them are left out.
 
-    Outliers are judged on the dates that carry a factor.
+    Outliers are judged on the dates that carry a factor. With ``max_loss`` the query fails when a larger share of
+    the factor rows is left out; the counts are part of its plan.
     """
     columns = [f"ret_{p}" for p in periods]
     returns = grid_forward_returns(prices, periods, price, cumulative_returns)
@@ -128,7 +130,12 @@ def clean_factor_data(
         binned = with_quantile_bin(rows, by, FACTOR, count, QUANTILE)
     else:
         binned = with_width_bin(rows, by, FACTOR, count, QUANTILE)
-    return binned.withColumn(QUANTILE, F.col(QUANTILE) + 1)
+    clean = binned.withColumn(QUANTILE, F.col(QUANTILE) + 1)
+    if max_loss is None:
+        return clean
+    loss = loss_ratio(factor, rows).select("loss").scalar()
+    message = F.concat(F.lit("share of factor rows left out: "), loss.cast("string"), F.lit(f", allowed: {max_loss}"))
+    return clean.where(F.when(F.coalesce(loss, F.lit(0.0)) > max_loss, F.raise_error(message).cast("boolean")).otherwise(True))
 
 
 def loss_ratio(factor: DataFrame, clean: DataFrame) -> DataFrame:
@@ -302,6 +309,8 @@ def summary(long: DataFrame, ics: DataFrame, factor_returns: DataFrame, top: int
         icir.alias("ic_ir"),
         (icir * F.sqrt(F.col("n_periods").cast("double"))).alias("t_stat"),
         F.when(d == 1, F.col("_up")).otherwise(F.col("_down")).alias("win_rate"),
+        # The share of returns with the sign of the direction.
+        F.when(d == 1, F.col("_up")).otherwise(F.col("_down")).alias("win_rate_sym"),
         "ic_gt_02",
         "n_periods",
         (F.col("_mono") * d).alias("monotonicity"),
@@ -335,5 +344,5 @@ def strength_bins(clean: DataFrame, ret: str, direction: int, bins: int) -> Data
         (F.avg(aligned) * 10000).alias("realized_bp"),
         div(gains, losses).alias("odds"),
     )
-    ranked = rank_correlation(rows, ["bin"], FACTOR, "ret", out="rank_ic").drop("n")
+    ranked = rank_correlation(rows, ["bin"], FACTOR, "ret", out="rank_ic", pooled=True).drop("n")
     return measures.join(ranked, "bin", "left")

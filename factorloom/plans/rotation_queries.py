@@ -130,7 +130,28 @@ def covariance(spark, sf_dir):
     return rounded(rotation.covariance_matrices(grid, held, WINDOW))
 
 
-@query("rotation_capped_allocation")
+def _filled_sql(source: str, name: str, by: str, budget: str, out: str) -> str:
+    """Names at the cap are found by trying every count of them: the count fits if all others stay below the cap."""
+    return f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY share DESC, instrument) AS k, {budget} AS budget FROM {source}),
+    {name}_l AS (SELECT {by}, held, max(budget) - held * 0.35::DOUBLE AS rest, sum(share) FILTER (k > held) AS behind, max(share) FILTER (k > held) AS next
+      FROM {name}_o, (SELECT unnest(range(0, 4)) AS held) GROUP BY {by}, held),
+    {name}_c AS (SELECT {by}, arg_min(rest / behind, held) AS factor FROM {name}_l WHERE behind IS NOT NULL AND rest / behind * next <= 0.35::DOUBLE GROUP BY {by}),
+    {name} AS (SELECT o.* EXCLUDE (k, budget), CASE WHEN factor IS NULL THEN 0.35::DOUBLE ELSE least(0.35::DOUBLE, factor * share) END AS {out}
+      FROM {name}_o o LEFT JOIN {name}_c USING ({by}))"""
+
+
+CAPPED_SQL = f"""{BASKETS}, sco AS (SELECT * FROM (SELECT datetime, instrument, close / lag(close, 20) OVER h - 1 AS score FROM bars WINDOW {HISTORY}) WHERE score IS NOT NULL),
+    tp AS (SELECT datetime, instrument, greatest(score, 0) AS score FROM sco QUALIFY row_number() OVER (PARTITION BY datetime ORDER BY score DESC, instrument) <= 4),
+    sh AS (SELECT *, score / total + 1e-9::DOUBLE AS share, instrument IN (1, 2) AS grp FROM (SELECT *, sum(score) OVER (PARTITION BY datetime) AS total FROM tp) WHERE total > 1e-9),
+    {_filled_sql('sh', 'al', 'datetime', '1.0::DOUBLE', 'w_alone')},
+    ov AS (SELECT *, sum(CASE WHEN grp THEN w_alone ELSE 0 END) OVER (PARTITION BY datetime) > 0.2::DOUBLE AS crowded FROM al),
+    {_filled_sql('ov', 'spl', 'datetime, grp', 'CASE WHEN grp THEN 0.2::DOUBLE ELSE 0.8::DOUBLE END', 'w_split')},
+    w AS (SELECT datetime, instrument, CASE WHEN crowded THEN w_split ELSE w_alone END AS w FROM spl)
+    SELECT datetime, instrument, {r('w / sum(w) OVER (PARTITION BY datetime)', 'weight')} FROM w
+    UNION ALL SELECT datetime, instrument, 1.0::DOUBLE FROM sco WHERE instrument = {FALLBACK} AND datetime NOT IN (SELECT datetime FROM sh)"""
+
+
+@query("rotation_capped_allocation", f"WITH {CAPPED_SQL}")
 def capped_allocation(spark, sf_dir):
     """Momentum scores, the best four assets per date, two assets under a joint cap."""
     features = rotation.rotation_features(tables.basket_bars(spark, sf_dir))

@@ -106,8 +106,8 @@ _COVERAGE = " UNION ALL ".join(
 )
 QUALITY_SQL = f"""{PANEL}, p AS (SELECT *, 1.0::DOUBLE AS one FROM panel), c AS ({_COVERAGE}),
 q AS (SELECT factor, coverage, std, coverage < 0.8 AS dropped,
-  concat_ws('; ', CASE WHEN n >= 2 AND coalesce(std, 0) < 1e-8 THEN 'constant/low_variance' END,
-                  CASE WHEN coverage < 0.8 THEN 'low_coverage' END) AS reason FROM c)"""
+  concat_ws('; ', CASE WHEN n >= 2 AND coalesce(std, 0) < 1e-8 THEN 'hardly varies' END,
+                  CASE WHEN coverage < 0.8 THEN 'too often missing' END) AS reason FROM c)"""
 
 
 @query("screen_factor_quality", f"WITH {QUALITY_SQL} SELECT factor, {r('coverage', 'coverage')}, {r('std', 'std')}, reason, dropped FROM q")
@@ -182,8 +182,8 @@ def profile(spark, sf_dir):
 
 FILTER_SQL = """f AS (SELECT factor, ic_mean, n_days / greatest(max(n_days) OVER (), 1)::DOUBLE AS coverage FROM s),
 flt AS (SELECT factor, ic_mean, coverage, NOT (abs(ic_mean) < 0.01 OR coverage < 0.9) AS retained,
-  concat_ws('; ', CASE WHEN abs(ic_mean) < 0.01 THEN format('abs_ic={:.4f} < 0.01', abs(ic_mean)) END,
-                  CASE WHEN coverage < 0.9 THEN format('coverage={:.2f}% < 90%', coverage * 100) END) AS reason FROM f)"""
+  concat_ws('; ', CASE WHEN abs(ic_mean) < 0.01 THEN format('|IC| {:.4f} below 0.01', abs(ic_mean)) END,
+                  CASE WHEN coverage < 0.9 THEN format('IC on {:.2f}% of dates, below 90%', coverage * 100) END) AS reason FROM f)"""
 
 
 @query(
@@ -325,11 +325,11 @@ def composite_report(spark, sf_dir):
     "screen_log",
     f"""WITH {PROFILE_SQL}, p AS (SELECT *, 1.0::DOUBLE AS one FROM panel), c AS ({_COVERAGE}),
     q AS (SELECT factor, coverage < 0.8 AS dropped,
-      concat_ws('; ', CASE WHEN n >= 2 AND coalesce(std, 0) < 1e-8 THEN 'constant/low_variance' END, CASE WHEN coverage < 0.8 THEN 'low_coverage' END) AS reason FROM c),
+      concat_ws('; ', CASE WHEN n >= 2 AND coalesce(std, 0) < 1e-8 THEN 'hardly varies' END, CASE WHEN coverage < 0.8 THEN 'too often missing' END) AS reason FROM c),
     {FILTER_SQL}, {CHOICE_SQL}
     SELECT 'quality' AS ring, factor, NOT dropped AS passed, reason FROM q
     UNION ALL SELECT 'filter', factor, retained, reason FROM flt
-    UNION ALL SELECT 'choice', flt.factor, chosen.factor IS NOT NULL, CASE WHEN chosen.factor IS NOT NULL THEN '' ELSE 'not representative' END
+    UNION ALL SELECT 'choice', flt.factor, chosen.factor IS NOT NULL, CASE WHEN chosen.factor IS NOT NULL THEN '' ELSE 'others of its group are better' END
     FROM flt LEFT JOIN chosen ON flt.factor = chosen.factor WHERE retained""",
 )
 def screen_log(spark, sf_dir):

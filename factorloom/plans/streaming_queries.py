@@ -1,4 +1,4 @@
-"""Incremental ingest as a stream over the events table, run until the available data is processed."""
+"""Incremental ingest as a stream over the events table, in several micro-batches, run until all data is processed."""
 
 from __future__ import annotations
 
@@ -9,31 +9,34 @@ from factorloom.sources.shared import shared_folder
 from factorloom.sources.tables import table
 from factorloom.streaming import incremental
 
+DELIVERIES = 3
 
-def _arrivals(spark, sf_dir):
-    """The events, each delivered twice."""
-    schema = table(spark, sf_dir, "events").schema
 
-    def read():
-        return incremental.read_bars(spark, sf_dir, schema, pattern="events.parquet")
+def _run(spark, sf_dir, out: str, **coverage):
+    """Deliver the events in three overlapping parts of all ages, one micro-batch for each, and stream them into a table.
 
-    return incremental.first_arrivals(read().unionByName(read()), ["event_id"], "ts")
+    Every delivery spans the whole time range, so later ones bring rows older than the newest stored one.
+    """
+    events = table(spark, sf_dir, "events")
+    for i in range(DELIVERIES):
+        part = events.where((F.col("event_id") % DELIVERIES == i) | (F.col("event_id") % 10 == 0))
+        part.write.parquet(f"{out}/inbox/delivery={i}")
+    files = len(spark.read.parquet(f"{out}/inbox").inputFiles())
+    stream = incremental.read_bars(spark, f"{out}/inbox", events.schema, files_per_trigger=-(-files // DELIVERIES))
+    writer = incremental.write_first_arrivals(stream, f"{out}/table", f"{out}/checkpoint", ["event_id"], "ts", **coverage)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return incremental.stored_rows(spark, f"{out}/table", events.schema)
 
 
 @query("stream_first_arrivals", "SELECT event_id, user_id, value, CAST(ts AS DATE) AS date FROM events")
 def first_arrivals(spark, sf_dir):
-    out = shared_folder(spark, "arrivals")
-    rows = _arrivals(spark, sf_dir).select("event_id", "user_id", "value", F.to_date("ts").alias("date"))
-    incremental.append_table(rows, f"{out}/table", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/table")
+    stored = _run(spark, sf_dir, shared_folder(spark, "arrivals"))
+    return stored.select("event_id", "user_id", "value", F.to_date("ts").alias("date"))
 
 
 @query("stream_coverage", "SELECT user_id, CAST(max(ts) AS DATE) AS last_date, count(*) AS n_events FROM events GROUP BY 1")
 def coverage(spark, sf_dir):
     out = shared_folder(spark, "coverage")
-    writer = incremental.write_with_coverage(
-        _arrivals(spark, sf_dir), f"{out}/table", f"{out}/coverage", f"{out}/checkpoint", "user_id", "ts"
-    )
-    writer.trigger(availableNow=True).start().awaitTermination()
+    _run(spark, sf_dir, out, coverage_dir=f"{out}/coverage", key="user_id")
     merged = incremental.coverage(spark, f"{out}/coverage", "user_id")
     return merged.select("user_id", F.to_date("last_time").alias("last_date"), "n_events")

@@ -1,21 +1,25 @@
-"""Folder for intermediate tables that every executor can reach."""
+"""Folders and tables for intermediate data that every executor can reach."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's ``spark.checkpoint.dir``.
+    """A new folder below the session's ``spark.checkpoint.dir``, or else beside its warehouse; removed when the session ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+    folder = f"{base.rstrip('/')}/factorloom-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
 
-    Without that setting only a local session can go on, with a folder of its own machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/factorloom-{name}-{uuid.uuid4().hex}"
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows to a shared folder and read them back: later uses neither compute them again nor lose them with an executor."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(f"{folder}/rows")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")

@@ -9,10 +9,10 @@ from factorloom.functions.frames import DATE, INSTRUMENT
 
 
 def write_by_year(df: DataFrame, path: str, date: str = DATE, key: str = INSTRUMENT) -> None:
-    """Partitioned by year; rows are spread over (year, key hash) so that no year is one file or one task."""
+    """Partitioned by year; adaptive execution splits a large year and joins small ones, so files follow the data's size."""
     (
         df.withColumn("year", F.year(date))
-        .repartition("year", F.pmod(F.hash(key), F.lit(64)))
+        .hint("rebalance", "year")
         .sortWithinPartitions("year", key, date)
         .write.mode("overwrite")
         .partitionBy("year")

@@ -1,4 +1,4 @@
-"""Incremental bars as a stream: de-duplication bounded by a watermark, and coverage kept per batch."""
+"""Incremental bars as a stream: every row is checked against the stored table, however late it is."""
 
 from __future__ import annotations
 
@@ -9,46 +9,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
+from factorloom.operators.ingest import keep_first
+
 
 def read_bars(
     spark: SparkSession, directory: str, schema: T.StructType, pattern: str = "*.parquet", files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Stream the Parquet files appearing in a directory."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """Stream the Parquet files appearing in a directory and below it."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(directory)
 
 
-def first_arrivals(stream: DataFrame, keys: Sequence[str], time: str, delay: str = "1 day") -> DataFrame:
-    """The first row of each key; state is kept for ``delay`` of event time and then dropped.
-
-    Watermarks need a time-zoned timestamp, so a wall-clock column is read in the session zone.
-    """
-    typed = stream.withColumn(time, F.col(time).cast("timestamp"))
-    return typed.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+def stored_rows(spark: SparkSession, table_dir: str, schema: T.StructType) -> DataFrame:
+    """The batches stored so far, with their number ``batch``; none at first."""
+    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_dir)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], with_batch)
+    return spark.read.schema(with_batch).parquet(table_dir)
 
 
-def append_table(stream: DataFrame, table_dir: str, checkpoint: str) -> DataStreamWriter:
-    """Append to a Parquet table; the sink's log keeps each batch exactly once."""
-    return stream.writeStream.format("parquet").option("path", table_dir).option("checkpointLocation", checkpoint)
+def new_rows(batch: DataFrame, batch_id: int, table_dir: str, keys: Sequence[str], time: str) -> DataFrame:
+    """The first row of each key in the batch whose key no earlier batch has stored."""
+    first = keep_first(batch, keys, [time, *sorted(c for c in batch.columns if c not in (*keys, time))])
+    known = stored_rows(batch.sparkSession, table_dir, batch.schema).where(F.col("batch") < batch_id)
+    return first.join(known.select(*keys), list(keys), "left_anti").select(*batch.columns)
 
 
-def write_with_coverage(
-    stream: DataFrame, table_dir: str, coverage_dir: str, checkpoint: str, key: str, time: str
+def write_first_arrivals(
+    stream: DataFrame, table_dir: str, checkpoint: str, keys: Sequence[str], time: str, coverage_dir: str | None = None, key: str | None = None
 ) -> DataStreamWriter:
-    """Append each batch to a table, and its last time and row count per key to a coverage table.
+    """Append the rows with new keys to a table, and on demand their last time and count per ``key`` to a coverage table.
 
-    Batch directories carry the batch id, so a batch that is retried after a failure replaces
-    its own output.
+    There is no watermark: a row of any age is stored if its key is new, and no state is held outside the table. Batch
+    directories carry the batch's number, so a batch that is retried after a failure replaces its own output and is compared
+    with earlier batches only.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{table_dir}/batch={batch_id}")
-        last = spark.read.parquet(f"{table_dir}/batch={batch_id}").groupBy(key)
-        last = last.agg(F.max(time).alias("last_time"), F.count(F.lit(1)).alias("n_events"))
-        last.write.mode("overwrite").parquet(f"{coverage_dir}/batch={batch_id}")
+        mine = f"{table_dir}/batch={batch_id}"
+        new_rows(batch, batch_id, table_dir, keys, time).write.mode("overwrite").parquet(mine)
+        if coverage_dir:
+            last = spark.read.schema(batch.schema).parquet(mine).groupBy(key)
+            last = last.agg(F.max(time).alias("last_time"), F.count(F.lit(1)).alias("n_events"))
+            last.write.mode("overwrite").parquet(f"{coverage_dir}/batch={batch_id}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
 

@@ -56,7 +56,7 @@ def test_walk_forward_predicts_later_dates_only(panel):
     rows = panel.crossJoin(windows.sparkSession.range(2).withColumnRenamed("id", "window_id")).withColumn(
         "role", F.when(F.col("datetime") < dt.date(2024, 1, 15), "train").otherwise("oos")
     )
-    predictions = models.walk_forward(rows, FEATURES, "label", models.elastic_net, [0, 1])
+    predictions = models.walk_forward(rows, FEATURES, "label", models.elastic_net)
     merged = splits.concatenated_signals(predictions)
     assert merged.count() == 16 * 40
     assert _mean_ic(merged, panel) > 0.7

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from factorloom.functions.bins import with_width_bin
 from factorloom.functions.numeric import clip, correlation, finite
 from factorloom.functions.rolling import Rolling
 from factorloom.operators import (
@@ -152,27 +153,10 @@ def test_quality_reports_constant_but_drops_only_low_coverage(spark):
     rows = [(day(0), f"S{i}", 1.0, None if i % 2 else float(i), float(i)) for i in range(20)]
     df = spark.createDataFrame(rows, "datetime date, instrument string, same double, sparse double, good double")
     got = {r.factor: r for r in screening.factor_quality(df, ["same", "sparse", "good"], 0.6).collect()}
-    assert got["same"].reason == "constant/low_variance" and not got["same"].dropped
+    assert got["same"].reason == "hardly varies" and not got["same"].dropped
     assert got["sparse"].dropped and got["sparse"].coverage == 0.5 and not got["good"].dropped
 
 
-def test_clusters_match_brute_force_complete_linkage(spark):
-    rng = np.random.default_rng(11)
-    names = [f"f{i:02d}" for i in range(9)]
-    points = rng.random((9, 2))
-    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
-    rows = [(names[i], names[j], float(d[i, j])) for i in range(9) for j in range(9)]
-    df = spark.createDataFrame(rows, "factor_a string, factor_b string, distance double")
-    got = screening.cluster_factors(df, 0.5).toPandas().set_index("factor")["cluster"]
-    groups = [{i} for i in range(9)]
-    while len(groups) > 1:
-        far, a, b = min((max(d[i, j] for i in groups[a] for j in groups[b]), a, b) for a in range(len(groups)) for b in range(a + 1, len(groups)))
-        if far >= 0.5:
-            break
-        groups[a] |= groups.pop(b)
-    assert {frozenset(names[i] for i in g) for g in groups} == {frozenset(v.index) for _, v in got.groupby(got)}
-
-
 # --- ingest ---------------------------------------------------------------------------
 
 
@@ -224,33 +208,43 @@ def _wide(spark, name, wide):
     return spark.createDataFrame(rows, f"datetime date, instrument int, {name} double")
 
 
-def test_backtest_equals_brute_force(spark):
+def test_backtest_equals_matrices(spark):
+    """Weights as a matrix over dates and names; turnover is the difference along the dates."""
     rng = np.random.default_rng(42)
     ret, sig = rng.standard_normal((30, 20)) * 0.02, rng.standard_normal((30, 20))
     sig[rng.random((30, 20)) < 0.1] = np.nan
     sig[7, 4:] = np.nan
     ret[rng.random((30, 20)) < 0.05] = np.nan
-    got = book.topk_backtest(_wide(spark, "ret", ret), _wide(spark, "signal", sig), 5, 10).orderBy("datetime").toPandas()
-    prev = np.zeros(20)
-    for i in range(30):
-        w, net = np.zeros(20), np.nan
-        lagged = sig[i - 1] if i else np.full(20, np.nan)
-        if (~np.isnan(lagged)).sum() >= 5:
-            w[np.argsort(np.where(np.isnan(lagged), -np.inf, lagged))[::-1][:5]] = 0.2
-            net = np.nansum(w * ret[i])
-        turnover = np.abs(w - prev).sum() / 2
-        net -= turnover * 10 / 10000
-        np.testing.assert_allclose(got.turnover[i], turnover, atol=1e-12)
-        np.testing.assert_allclose(float(got.portfolio_return[i] if got.portfolio_return[i] is not None else np.nan), net, atol=1e-12)
-        np.testing.assert_allclose(float(got.excess_return[i] if got.excess_return[i] is not None else np.nan), net - np.nanmean(ret[i]), atol=1e-12)
-        prev = w
-    metrics = book.backtest_metrics(book.topk_backtest(_wide(spark, "ret", ret), _wide(spark, "signal", sig), 5, 10)).first()
+    order = np.argsort(np.argsort(-np.nan_to_num(sig, nan=-np.inf), axis=1, kind="stable"), axis=1, kind="stable")
+    book_days = (~np.isnan(sig)).sum(axis=1) >= 5
+    chosen = (order < 5) & book_days[:, None]
+    weights = np.vstack([np.zeros(20), chosen[:-1] * 0.2])
+    turnover = np.abs(np.diff(np.vstack([np.zeros(20), weights]), axis=0)).sum(axis=1) / 2
+    held = weights.sum(axis=1) > 0
+    net = np.where(held, (weights * np.nan_to_num(ret)).sum(axis=1) - turnover * 10 / 10000, np.nan)
+    returns, signals = _wide(spark, "ret", ret), _wide(spark, "signal", sig)
+    got = book.topk_backtest(returns, signals, 5, 10).orderBy("datetime").toPandas()
+    np.testing.assert_allclose(got.turnover, turnover, atol=1e-12)
+    np.testing.assert_allclose(got.portfolio_return.astype(float), net, atol=1e-12)
+    np.testing.assert_allclose(got.excess_return.astype(float), net - np.nanmean(ret, axis=1), atol=1e-12)
+    metrics = book.backtest_metrics(book.topk_backtest(returns, signals, 5, 10)).first()
     port = got.portfolio_return.astype(float).dropna()
     curve = (1 + port).cumprod()
     assert metrics.max_drawdown == pytest.approx((curve / curve.cummax() - 1).min())
     assert metrics.ann_return == pytest.approx((1 + port).prod() ** (252 / len(port)) - 1)
 
 
+def test_backtest_of_several_series_equals_each_alone(spark):
+    rng = np.random.default_rng(3)
+    returns = _wide(spark, "ret", rng.standard_normal((12, 9)))
+    series = {name: _wide(spark, "signal", rng.standard_normal((12, 9))) for name in ("a", "b")}
+    both = series["a"].withColumn("model", F.lit("a")).unionByName(series["b"].where("datetime > '2024-01-04'").withColumn("model", F.lit("b")))
+    got = book.topk_backtest(returns, both, 3, 10, by=("model",))
+    for name, alone in (("a", series["a"]), ("b", series["b"].where("datetime > '2024-01-04'"))):
+        expected = book.topk_backtest(returns, alone, 3, 10).orderBy("datetime").toPandas()
+        pd.testing.assert_frame_equal(got.where(F.col("model") == name).drop("model").orderBy("datetime").toPandas(), expected)
+
+
 # --- tear sheet -----------------------------------------------------------------------
 
 
@@ -262,6 +256,21 @@ def test_price_path_restarts_after_a_gap(spark):
     assert [x for x in got if x is not None] == pytest.approx([1.0, 1.2, 1.0, 1.1])
 
 
+def test_max_loss_is_part_of_the_query(spark):
+    rows = [(day(d), f"S{i}", float(i + d), 10.0 + i + d) for d in range(12) for i in range(6)]
+    df = spark.createDataFrame(rows, "datetime date, instrument string, factor double, close double")
+    factor, prices = df.select("datetime", "instrument", "factor"), df.select("datetime", "instrument", "close")
+    assert tearsheet.clean_factor_data(factor, prices, (1, 5), 2, max_loss=0.5).count() == 42
+    with pytest.raises(Exception, match="left out"):
+        tearsheet.clean_factor_data(factor, prices, (1, 5), 2, max_loss=0.35).collect()
+
+
+def test_one_bin_of_equal_width(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, None)], "g int, v double")
+    got = with_width_bin(df, ["g"], "v", 1, "b").collect()
+    assert sorted((r.g, r.b) for r in got if r.v is not None) == [(1, 0), (1, 0)] and [r.b for r in got if r.v is None] == [None]
+
+
 def test_max_loss_guard(spark):
     factor = spark.range(10).select(F.lit(day(0)).alias("datetime"), F.col("id").alias("instrument"))
     tearsheet.check_max_loss(factor, factor.where("instrument < 8"))
@@ -284,6 +293,21 @@ def test_capped_allocation_respects_caps(spark):
     assert list(second.instrument) == ["Z"] and list(second.weight) == [1.0]
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_capped_allocation_is_proportional_below_the_caps(spark, seed):
+    """Optimality of the filling: below its cap every name of a part has the same weight per score, and caps hold."""
+    rng = np.random.default_rng(seed)
+    scores = dict(zip("ABCDEF", (float(x) for x in rng.random(6) ** 3)))
+    df = spark.createDataFrame([(day(0), k, v) for k, v in scores.items()], "datetime date, instrument string, score double")
+    got = rotation.capped_allocation(df, ["A", "B"], top_n=6, single_cap=0.3, group_cap=0.25).toPandas().set_index("instrument").weight
+    assert got.sum() == pytest.approx(1.0) and got.max() <= 0.3 + 1e-6 and got[["A", "B"]].sum() <= 0.25 + 1e-6
+    for part in (["A", "B"], ["C", "D", "E", "F"]):
+        free = [k for k in part if got[k] < 0.3 - 1e-6]
+        assert np.ptp([got[k] / scores[k] for k in free]) < 1e-3 * max(got[k] / scores[k] for k in free) if free else True
+        held = [k for k in part if k not in free]
+        assert all(scores[h] >= scores[k] for h in held for k in free)
+
+
 # --- splits ---------------------------------------------------------------------------
 
 

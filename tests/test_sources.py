@@ -56,21 +56,28 @@ def test_result_tables_are_written_side_by_side(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a")).count() == 3 and spark.read.parquet(str(tmp_path / "b")).columns == ["y"]
 
 
-def test_stream_keeps_first_arrivals_over_several_batches(spark, tmp_path):
+def test_stream_keeps_rows_of_any_age(spark, tmp_path):
+    """Three batches, the last one ten days older than the others, with repeats within and across batches."""
     source = tmp_path / "in"
     source.mkdir()
     schema = "symbol string, bob timestamp_ntz, v int"
     t = dt.datetime
-    for i, rows in enumerate([[("A", t(2024, 1, 1), 1), ("B", t(2024, 1, 1), 1)], [("A", t(2024, 1, 1), 2), ("A", t(2024, 1, 2), 2)]]):
+    deliveries = [
+        [("A", t(2024, 1, 11), 1), ("B", t(2024, 1, 11), 1), ("A", t(2024, 1, 11), 9)],
+        [("A", t(2024, 1, 11), 2), ("A", t(2024, 1, 12), 2)],
+        [("A", t(2024, 1, 1), 3), ("B", t(2024, 1, 11), 3)],
+    ]
+    for rows in deliveries:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
     typed = spark.read.parquet(str(source)).schema
     stream = incremental.read_bars(spark, str(source), typed, files_per_trigger=1)
-    first = incremental.first_arrivals(stream, ["symbol", "bob"], "bob")
-    writer = incremental.write_with_coverage(first, str(tmp_path / "t"), str(tmp_path / "c"), str(tmp_path / "cp"), "symbol", "bob")
+    writer = incremental.write_first_arrivals(stream, str(tmp_path / "t"), str(tmp_path / "cp"), ["symbol", "bob"], "bob", str(tmp_path / "c"), "symbol")
     writer.trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+    stored = incremental.stored_rows(spark, str(tmp_path / "t"), typed)
+    assert {(r.symbol, r.bob) for r in stored.collect()} == {("A", t(2024, 1, 11)), ("B", t(2024, 1, 11)), ("A", t(2024, 1, 12)), ("A", t(2024, 1, 1))}
+    assert stored.count() == 4 and stored.select("batch").distinct().count() == 3
     got = {r.symbol: (r.last_time.date(), r.n_events) for r in incremental.coverage(spark, str(tmp_path / "c"), "symbol").collect()}
-    assert got == {"A": (dt.date(2024, 1, 2), 2), "B": (dt.date(2024, 1, 1), 1)}
+    assert got == {"A": (dt.date(2024, 1, 12), 3), "B": (dt.date(2024, 1, 11), 1)}
 
 
 def test_symbol_files_missing_directory_fails(spark, tmp_path):
