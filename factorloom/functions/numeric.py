@@ -7,8 +7,6 @@ missing, so that null is the only missing value downstream.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +49,6 @@ def correlation(a: Column, b: Column, over: Window | None = None, min_count: int
     return F.when(varies & enough, div(agg(F.covar_samp(x, y)), sx * sy))
 
 
-def add_all(columns: list[Column]) -> Column:
-    """Sum of the columns in the given order; null if any of them is null."""
-    return reduce(lambda left, right: left + right, columns)
-
-
 def rounded(df, digits: int = 6, **per_column: int | None):
     """Round every double column of a result table; ``per_column`` overrides ``digits``, None leaves as is."""
     chosen = {name: per_column.get(name, digits) for name, dtype in df.dtypes if dtype == "double"}

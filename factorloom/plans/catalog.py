@@ -4,6 +4,7 @@ from factorloom.plans import (  # noqa: F401
     factor_queries,
     ingest_queries,
     label_queries,
+    library_queries,
     model_queries,
     portfolio_queries,
     rotation_queries,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.numeric import rounded
 from factorloom.operators import factors
+from factorloom.operators.history import number_rows
 from factorloom.plans.oracle import BARS, HISTORY, corr, frame, full, r
 from factorloom.plans.registry import query
 from factorloom.sources.tables import bars
@@ -112,15 +113,16 @@ PRICE_LEVEL = {
 }
 
 
-def _frames() -> str:
+def window_frames() -> str:
     return ", ".join([HISTORY, *[frame(f"w{w}", w) for w in WINDOWS]])
 
 
-def _select(columns: dict[str, str], source: str = "x") -> str:
+def _select(columns: dict[str, str], source: str = "x", digits: dict[str, int] | None = None) -> str:
+    digits = DIGITS if digits is None else digits
     # Window results are computed in an inner select so that expressions over them may be nested.
     inner = ", ".join(f"{e} AS {n}" for n, e in columns.items())
-    outer = ", ".join(r(n, n, DIGITS.get(n, 6)) for n in columns)
-    return f"SELECT instrument, datetime, {outer} FROM (SELECT instrument, datetime, {inner} FROM {source} WINDOW {_frames()})"
+    outer = ", ".join(r(n, n, digits.get(n, 6)) for n in columns)
+    return f"SELECT instrument, datetime, {outer} FROM (SELECT instrument, datetime, {inner} FROM {source} WINDOW {window_frames()})"
 
 
 def family_sql(*names: str) -> dict[str, str]:
@@ -194,21 +196,28 @@ def factor_date_range(spark, sf_dir):
     return rounded(table.select("instrument", "datetime", *keep), **DIGITS)
 
 
-_BLOCKED = ("trend", "regression", "extreme_age", "price_change_shares", "weighted_volatility")
+_SCALED = {f"BETA{w}": f"({SQL['regression'](w)[f'BETA{w}']}) / close / (t + 1)" for w in WINDOWS}
 
 
-@query("factor_table_in_blocks", f"WITH {STAGED} {_select(family_sql(*_BLOCKED))}")
+@query("factor_beta_scaled", f"WITH {STAGED} {_select(_SCALED, digits={})}")
+def factor_beta_scaled(spark, sf_dir):
+    """BETA over the close and the row number: free of their scale, so it compares at full digits."""
+    numbered = number_rows(bars(spark, sf_dir), F.trunc("datetime", "year")).select("instrument", "datetime", "t")
+    betas = factors.rolling_factors(bars(spark, sf_dir), [factors.regression], keep=("instrument", "datetime", "close"))
+    scaled = betas.join(numbered, ["instrument", "datetime"])
+    columns = [(F.col(n) / F.col("close") / (F.col("t") + 1)).alias(n) for n in _SCALED]
+    return rounded(scaled.select("instrument", "datetime", *columns))
+
+
+@query("factor_table_in_blocks", f"WITH {STAGED} {_select(family_sql(*SQL))}")
 def factor_in_blocks(spark, sf_dir):
     """Histories cut into overlapping blocks of 24 bars: the same values as unsplit windows."""
-    families = [factors.FAMILIES[n] for n in _BLOCKED]
-    blocks = factors.factor_table_in_blocks(bars(spark, sf_dir), F.trunc("datetime", "year"), 24, families)
+    blocks = factors.factor_table_in_blocks(bars(spark, sf_dir), F.trunc("datetime", "year"), 24)
     return rounded(blocks, **DIGITS)
 
 
 @query("factor_row_index", f"WITH {STAGED} SELECT instrument, datetime, t FROM x")
 def factor_row_index(spark, sf_dir):
-    from factorloom.operators.history import number_rows
-
     return number_rows(bars(spark, sf_dir), F.trunc("datetime", "year")).select("instrument", "datetime", "t")
 
 

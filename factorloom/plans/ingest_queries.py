@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from factorloom.functions import symbols
@@ -11,6 +14,7 @@ from factorloom.plans.oracle import BARS, CALENDAR, HISTORY, r
 from factorloom.plans.panel import PANEL, panel
 from factorloom.plans.registry import query
 from factorloom.sources import readers, sinks, tables
+from factorloom.sources.shared import shared_folder, stored
 
 INCOME = """income AS (
   SELECT l_suppkey AS symbol, CAST(q + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) + 45 AS pub_date,
@@ -38,9 +42,10 @@ def monthly_bars(spark, sf_dir):
 )
 def symbol_from_file(spark, sf_dir):
     """The file's base name becomes the instrument; the date filter reaches the scan."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_shipdate") >= F.lit("1996-01-01").cast("date"))
-    named = lines.select(readers.symbol_from_file_name().alias("instrument"), F.to_date("l_shipdate").alias("date"))
-    return named.groupBy("instrument", "date").agg(F.count(F.lit(1)).alias("n"))
+    schema = tables.table(spark, sf_dir, "lineitem").select("l_shipdate").schema
+    lines = readers.scan_symbol_files(spark, f"{sf_dir}/lineitem.parquet", schema=schema)
+    lines = lines.where(F.col("l_shipdate") >= F.lit("1996-01-01").cast("date")).withColumn("date", F.to_date("l_shipdate"))
+    return lines.groupBy("instrument", "date").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("source_export_date", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders")
@@ -89,7 +94,108 @@ def symbol_notations(spark, sf_dir):
     f"WITH {PANEL} SELECT count(*) AS n_rows, count(DISTINCT instrument) AS n_symbols, 8::BIGINT AS n_factors, 2::BIGINT AS n_labels, min(datetime) AS first_date, max(datetime) AS last_date FROM panel",
 )
 def pool_summary(spark, sf_dir):
-    return sinks.pool_summary(panel(spark, sf_dir).drop("amount"))
+    """Written by year, summarised from the written files."""
+    return sinks.write_factor_pool(panel(spark, sf_dir).drop("amount"), f"{shared_folder(spark, 'pool')}/pool")
+
+
+_POOL_COLUMNS = ", ".join(r(c, c) for c in ("KMID", "MA20", "label_1d"))
+
+
+@query("source_factor_pool", f"WITH {PANEL} SELECT datetime, instrument, {_POOL_COLUMNS}, year(datetime)::INTEGER AS year FROM panel")
+def factor_pool(spark, sf_dir):
+    """A pool written by year and read back."""
+    path = f"{shared_folder(spark, 'pool')}/pool"
+    sinks.write_factor_pool(panel(spark, sf_dir), path)
+    return rounded(readers.read_factor_pool(spark, path).select("datetime", "instrument", "KMID", "MA20", "label_1d", "year"))
+
+
+@query("sink_filtered_pool", f"WITH {PANEL} SELECT datetime, instrument, {r('MA20', 'MA20')}, {r('label_1d', 'label_1d')}, {r('label_5d', 'label_5d')} FROM panel")
+def filtered_pool(spark, sf_dir):
+    """Keys, one surviving factor and all labels."""
+    path = f"{shared_folder(spark, 'filtered')}/pool"
+    sinks.write_filtered_pool(panel(spark, sf_dir), ["MA20"], path)
+    return rounded(readers.read_factor_pool(spark, path).drop("year"))
+
+
+@query("sink_by_instrument", f"WITH {BARS} SELECT * FROM bars")
+def by_instrument(spark, sf_dir):
+    """Bars in a table bucketed by instrument, read back; the table goes once its rows are stored."""
+    name = f"bars_{uuid.uuid4().hex}"
+    sinks.write_by_instrument(tables.bars(spark, sf_dir), name, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = stored(spark.table(name), "bars")
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
+@query(
+    "sink_result_tables",
+    f"WITH {BARS} SELECT 'per_instrument' AS name, instrument::BIGINT AS key, count(*) AS n FROM bars GROUP BY 2 UNION ALL SELECT 'per_year', year(datetime)::BIGINT, count(*) FROM bars GROUP BY 2",
+)
+def result_tables(spark, sf_dir):
+    """Two result tables side by side in one folder, read back from it."""
+    rows, folder = tables.bars(spark, sf_dir), shared_folder(spark, "results")
+    count = F.count(F.lit(1)).alias("n")
+    results = {
+        "per_instrument": rows.groupBy(F.col("instrument").alias("key")).agg(count),
+        "per_year": rows.groupBy(F.year("datetime").cast("bigint").alias("key")).agg(count),
+    }
+    sinks.write_tables(results, folder)
+    first, second = (spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("name"), "key", "n") for name in results)
+    return first.unionByName(second)
+
+
+_EXPORT_SQL = "SELECT o_orderkey::VARCHAR AS symbol, CAST(o_orderdate AS DATE) AS date, {0} AS note, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS price FROM orders"
+_GBK_NOTE = "\u4ef7, \u201c\u503c\u201d \"x\" "
+
+
+def _exports(spark, sf_dir, note: str, encode=None) -> str:
+    """Orders as CSV files whose headers drift: another order of columns, a column too many, one missing."""
+    folder = shared_folder(spark, "exports")
+    rows = tables.table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.col("o_orderkey").cast("string").alias("symbol"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("trade_date"),
+        F.concat(F.lit(note), "o_orderpriority").alias("note"),
+        F.col("o_totalprice").alias("price"),
+        F.lit("symbol").alias("kind"),
+    )
+    if encode is not None:
+        rows = rows.withColumn("note", encode("note"))
+    halves = {"even": ["price", "symbol", "note", "trade_date"], "odd": ["symbol", "trade_date", "kind", "note"]}
+    for i, (name, columns) in enumerate(halves.items()):
+        half = rows.where(F.col("o_orderkey") % 2 == i).select(*columns)
+        half.write.option("header", True).option("encoding", "UTF-8" if encode is None else "ISO-8859-1").option("escape", '"').csv(f"{folder}/{name}")
+    return f"{folder}/*"
+
+
+def _export_rows(raw):
+    dated = readers.with_export_date(raw)
+    return dated.select("symbol", "date", "note", F.col("price").cast("double").alias("price"))
+
+
+@query("source_export_csv", _EXPORT_SQL.format("""'a, "b" ' || o_orderpriority"""))
+def export_csv(spark, sf_dir):
+    """Drifting headers; cells hold commas, quotes and a column's name."""
+    folder = _exports(spark, sf_dir, 'a, "b" ')
+    return _export_rows(readers.scan_export_csv(spark, folder, ["symbol", "trade_date", "note", "price"]))
+
+
+@query("source_export_gbk", _EXPORT_SQL.format(f"""'{_GBK_NOTE}' || o_orderpriority"""))
+def export_gbk(spark, sf_dir):
+    """The same in an encoding that Spark's reader does not know."""
+
+    @F.pandas_udf("string")
+    def as_latin(note: pd.Series) -> pd.Series:
+        return note.map(lambda text: text.encode("gbk").decode("latin-1"))
+
+    folder = _exports(spark, sf_dir, _GBK_NOTE, as_latin)
+    return _export_rows(readers.scan_export_csv(spark, folder, ["symbol", "trade_date", "note", "price"], "GBK"))
+
+
+@query("ingest_available", "SELECT o_orderkey, o_totalprice::DOUBLE AS o_totalprice, o_custkey::DOUBLE AS o_custkey FROM orders")
+def available(spark, sf_dir):
+    """Of the wanted fields those that the table has."""
+    return ingest.available(tables.table(spark, sf_dir, "orders"), ["o_orderkey"], ["o_totalprice", "absent", "o_custkey"])
 
 
 # --- assembly -------------------------------------------------------------------------

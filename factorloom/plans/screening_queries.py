@@ -210,18 +210,19 @@ def stratum_ic(spark, sf_dir):
     return rounded(screening.stratum_ic(long_panel(spark, sf_dir)))
 
 
-@query(
-    "screen_stability",
-    f"""WITH {DAILY}, {STRATA_SQL}, {STRATUM_IC},
-    y AS (SELECT factor, coalesce(stddev_samp(ic), 0) AS year_std FROM (SELECT factor, year(datetime) AS y, avg(ic) AS ic FROM daily GROUP BY 1, 2) GROUP BY 1),
-    ro AS (SELECT *, CASE WHEN count(ic) OVER w >= 24 THEN avg(ic) OVER w END AS roll FROM daily
-           WINDOW w AS (PARTITION BY factor ORDER BY datetime ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
-    rs AS (SELECT factor, count(ic) AS days, coalesce(avg(roll), 0) AS rolling_ic_mean, coalesce(stddev_samp(roll), 1) AS rolling_ic_std FROM ro GROUP BY 1),
-    z AS (SELECT factor, coalesce(stddev_samp(ic), 0) AS size_std FROM sic GROUP BY 1)
-    SELECT factor, {r('year_std', 'year_std')}, {r('rolling_ic_mean', 'rolling_ic_mean')}, {r('rolling_ic_std', 'rolling_ic_std')}, {r('size_std', 'size_std')},
-      {r('CASE WHEN days >= 2 THEN 0.4::DOUBLE * (1 - year_std) + 0.3::DOUBLE / (1 + rolling_ic_std) + 0.3::DOUBLE * (1 - size_std) ELSE 0 END', 'stability_score')}
-    FROM rs JOIN y USING (factor) JOIN z USING (factor)""",
-)
+STABILITY_SQL = f"""{STRATA_SQL}, {STRATUM_IC},
+y AS (SELECT factor, coalesce(stddev_samp(ic), 0) AS year_std FROM (SELECT factor, year(datetime) AS y, avg(ic) AS ic FROM daily GROUP BY 1, 2) GROUP BY 1),
+ro AS (SELECT *, CASE WHEN count(ic) OVER w >= 24 THEN avg(ic) OVER w END AS roll FROM daily
+       WINDOW w AS (PARTITION BY factor ORDER BY datetime ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+rs AS (SELECT factor, count(ic) AS days, coalesce(avg(roll), 0) AS rolling_ic_mean, coalesce(stddev_samp(roll), 1) AS rolling_ic_std FROM ro GROUP BY 1),
+z AS (SELECT factor, coalesce(stddev_samp(ic), 0) AS size_std FROM sic GROUP BY 1),
+stab AS (SELECT factor, year_std, rolling_ic_mean, rolling_ic_std, size_std,
+  CASE WHEN days >= 2 THEN 0.4::DOUBLE * (1 - year_std) + 0.3::DOUBLE / (1 + rolling_ic_std) + 0.3::DOUBLE * (1 - size_std) ELSE 0 END AS stability_score
+  FROM rs JOIN y USING (factor) JOIN z USING (factor))"""
+STABILITY_COLUMNS = ", ".join(r(c, c) for c in ("year_std", "rolling_ic_mean", "rolling_ic_std", "size_std", "stability_score"))
+
+
+@query("screen_stability", f"WITH {DAILY}, {STABILITY_SQL} SELECT factor, {STABILITY_COLUMNS} FROM stab")
 def stability(spark, sf_dir):
     return rounded(screening.stability(long_panel(spark, sf_dir), rolling_days=24))
 
@@ -244,15 +245,9 @@ def ic_distance(spark, sf_dir):
     return rounded(screening.ic_distance(daily, len(FACTORS)), distance=4)
 
 
-@query("screen_clusters")
-def clusters(spark, sf_dir):
-    daily = ic.daily_rank_ic(long_panel(spark, sf_dir), 2)
-    return screening.cluster_factors(screening.ic_distance(daily, len(FACTORS)), 0.6)
-
-
 # --- ring 6 ---------------------------------------------------------------------------
 
-# The cluster of a factor is taken from its name here, so that the choice has a plain SQL form.
+# Factors of one family, the letters of their names, compete with each other.
 _MEASURES = {"icir": (0.30, 0), "monotonicity": (0.20, 0), "long_short": (0.20, 0), "stability_score": (0.30, 0.5)}
 
 
@@ -261,23 +256,27 @@ def _norm(c: str, weight: float) -> str:
     return f"{weight}::DOUBLE * CASE WHEN max({c}) {w} = min({c}) {w} THEN 0.5 ELSE ({c} - min({c}) {w}) / (max({c}) {w} - min({c}) {w}) END"
 
 
-CHOICE_SQL = f"""m0 AS (SELECT factor, CASE WHEN factor LIKE 'K%' THEN 0 ELSE 1 END::BIGINT AS cluster, round(abs(icir), 12) AS icir,
-  round(abs(monotonicity), 12) AS monotonicity, round(abs(long_short), 12) AS long_short, round(win_rate, 12) AS stability_score FROM prof),
+CHOICE_SQL = f"""m0 AS (SELECT factor, regexp_extract(factor, '^[A-Z]+') AS cluster, round(abs(icir), 12) AS icir,
+  round(abs(monotonicity), 12) AS monotonicity, round(abs(long_short), 12) AS long_short, round(stability_score, 12) AS stability_score FROM prof JOIN stab USING (factor)),
 m1 AS (SELECT factor, cluster, {' + '.join(_norm(c, w) for c, (w, _) in _MEASURES.items())} AS score FROM m0),
 m2 AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, factor) AS rank_in_cluster FROM m1),
 chosen AS (SELECT * FROM m2 WHERE rank_in_cluster <= 2)"""
 
 
-def _chosen(profiled):
-    cluster = F.when(F.col("factor").startswith("K"), 0).otherwise(1).cast("bigint")
-    metrics = profiled.select("factor", cluster.alias("cluster"), "icir", "monotonicity", "long_short", F.col("win_rate").alias("stability_score"))
+def _chosen(profiled, stable):
+    family = F.regexp_extract("factor", "^[A-Z]+", 0)
+    metrics = profiled.join(stable, "factor").select("factor", family.alias("cluster"), "icir", "monotonicity", "long_short", "stability_score")
     return screening.representatives(metrics)
 
 
-@query("screen_representatives", f"WITH {PROFILE_SQL}, {CHOICE_SQL} SELECT factor, cluster, {r('score', 'score')}, rank_in_cluster FROM chosen")
+def _choice(long):
+    return _chosen(screening.profile(long), screening.stability(long, rolling_days=24))
+
+
+@query("screen_representatives", f"WITH {PROFILE_SQL}, {STABILITY_SQL}, {CHOICE_SQL} SELECT factor, cluster, {r('score', 'score')}, rank_in_cluster FROM chosen")
 def representatives(spark, sf_dir):
-    """Best two factors per cluster; the win rate stands in for the stability score."""
-    return rounded(_chosen(screening.profile(long_panel(spark, sf_dir))))
+    """Best two factors of each family."""
+    return rounded(_choice(long_panel(spark, sf_dir)))
 
 
 # --- ring 7 ---------------------------------------------------------------------------
@@ -295,7 +294,7 @@ def _weights(long):
 
 @query("screen_signal_weights", f"WITH {DAILY}, {summary_sql('daily', 's')}, {WEIGHT_SQL} SELECT factor, portfolio, {r('weight', 'weight')} FROM wt")
 def signal_weights(spark, sf_dir):
-    return rounded(_weights(long_panel(spark, sf_dir)))
+    return rounded(_weights(long_panel(spark, sf_dir)).unpivot(["factor"], list(screening.PORTFOLIOS), "portfolio", "weight"))
 
 
 @query(
@@ -326,15 +325,16 @@ def composite_report(spark, sf_dir):
     f"""WITH {PROFILE_SQL}, p AS (SELECT *, 1.0::DOUBLE AS one FROM panel), c AS ({_COVERAGE}),
     q AS (SELECT factor, coverage < 0.8 AS dropped,
       concat_ws('; ', CASE WHEN n >= 2 AND coalesce(std, 0) < 1e-8 THEN 'hardly varies' END, CASE WHEN coverage < 0.8 THEN 'too often missing' END) AS reason FROM c),
-    {FILTER_SQL}, {CHOICE_SQL}
+    {FILTER_SQL}, {STABILITY_SQL}, {CHOICE_SQL}
     SELECT 'quality' AS ring, factor, NOT dropped AS passed, reason FROM q
     UNION ALL SELECT 'filter', factor, retained, reason FROM flt
     UNION ALL SELECT 'choice', flt.factor, chosen.factor IS NOT NULL, CASE WHEN chosen.factor IS NOT NULL THEN '' ELSE 'others of its group are better' END
     FROM flt LEFT JOIN chosen ON flt.factor = chosen.factor WHERE retained""",
 )
 def screen_log(spark, sf_dir):
-    profiled = screening.profile(long_panel(spark, sf_dir))
+    long = long_panel(spark, sf_dir)
+    profiled = screening.profile(long)
     quality = screening.factor_quality(_with_constant(spark, sf_dir), QUALITY_FACTORS, 0.8)
     return screening.screening_log(
-        quality, screening.cross_section_filter(profiled, min_coverage=0.9), _chosen(profiled)
+        quality, screening.cross_section_filter(profiled, min_coverage=0.9), _chosen(profiled, screening.stability(long, rolling_days=24))
     )

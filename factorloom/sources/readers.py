@@ -14,43 +14,24 @@ from pyspark.sql import types as T
 from factorloom.functions.calendar import first_ten_characters_as_date
 from factorloom.functions.frames import DATE, INSTRUMENT
 
-_KEYS = [T.StructField("symbol", T.StringType())]
-
-
 def _doubles(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.DoubleType()) for n in names]
 
 
-# Columns of the raw export categories.
-HISTORY_SCHEMA = T.StructType(
-    _KEYS
-    + [T.StructField("bob", T.StringType()), T.StructField("eob", T.StringType())]
-    + _doubles("open", "high", "low", "close", "volume", "amount")
-)
-SUPPLEMENT_FIELDS = {
-    "valuation": ["pe_ttm", "pb_mrq", "ps_ttm", "pcf_ttm_oper"],
-    "mktvalue": ["tot_mv", "a_mv"],
-    "basic": ["tclose", "turnrate", "ttl_shr", "circ_shr"],
-    "adj_factor": ["adj_factor_fwd"],
-}
-
-
-def supplement_schema(category: str) -> T.StructType:
-    return T.StructType(
-        _KEYS + [T.StructField("trade_date", T.StringType())] + _doubles(*SUPPLEMENT_FIELDS[category])
-    )
-
-
 def symbol_from_file_name(extension: str = "parquet") -> Column:
     """The file's base name, for directories that hold one file per symbol."""
     return F.regexp_extract(F.col("_metadata.file_name"), rf"(.+)\.{extension}$", 1)
 
 
+#: Columns of one symbol's Parquet export.
+SYMBOL_SCHEMA = T.StructType([T.StructField("date", T.StringType()), *_doubles("open", "high", "low", "close", "volume", "amount")])
+
+
 def scan_symbol_files(
-    spark: SparkSession, directory: str, start: str | None = None, end: str | None = None
+    spark: SparkSession, directory: str, start: str | None = None, end: str | None = None, schema: T.StructType = SYMBOL_SCHEMA
 ) -> DataFrame:
     """Scan per-symbol Parquet files; the instrument comes from the file name, dates filter the scan."""
-    df = spark.read.parquet(directory)
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(directory)
     if start is not None:
         df = df.where(F.col("date") >= start)
     if end is not None:
@@ -68,41 +49,50 @@ def with_export_date(df: DataFrame) -> DataFrame:
     return df.withColumn("date", parsed).withColumn("symbol", F.col("symbol").cast("string"))
 
 
-def scan_export_csv(
-    spark: SparkSession, directory: str, fields: list[str], encoding: str = "UTF-8"
-) -> DataFrame:
+def scan_export_csv(spark: SparkSession, directory: str, fields: list[str], encoding: str = "UTF-8") -> DataFrame:
     """Read per-symbol CSV files whose headers drift: order may differ and columns may be absent.
 
-    Each file is matched to ``fields`` by its own header line: rows are read as text, and the
-    header joins on the file path. Values must not contain commas. ``encoding`` may be ``GBK``:
-    Spark's own decoders do not know it, but its commas and line ends are single ASCII bytes,
-    so lines are split as bytes and decoded afterwards.
+    A file's first line is its header and joins on the file's path, so cells may hold any text, column names included. Cells
+    may be quoted, with commas and doubled quotes inside, but not with line ends. ``encoding`` may be one of Spark's, or any
+    that extends ASCII and that Python knows, such as ``GBK``: such files are read byte by byte and decoded line by line.
     """
+    native = encoding.upper() in ("UTF-8", "US-ASCII", "ISO-8859-1")
     lines = (
-        spark.read.option("encoding", "ISO-8859-1")
+        spark.read.option("encoding", encoding if native else "ISO-8859-1")
         .option("header", False)
         .option("sep", "\u0001")
         .option("quote", "")
         .schema("line string")
         .csv(directory)
-        .select("line", F.col("_metadata.file_path").alias("path"))
+        .select(
+            "line",
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("place"),
+        )
     )
+    if not native:
 
-    @F.pandas_udf(T.StringType())
-    def decoded(line: pd.Series) -> pd.Series:
-        return line.str.encode("latin-1").str.decode(encoding)
+        @F.pandas_udf(T.StringType())
+        def decoded(line: pd.Series) -> pd.Series:
+            return line.str.encode("latin-1").str.decode(encoding)
 
-    lines = lines.withColumn("line", decoded("line"))
-    names = F.split(F.trim("line"), ",")
-    is_header = F.array_contains(names, "symbol")
-    headers = lines.where(is_header).select("path", names.alias("names"))
-    cells = lines.where(~is_header & (F.trim("line") != "")).select("path", F.split("line", ",", -1).alias("cells"))
+        lines = lines.withColumn("line", decoded("line"))
+    # Rows of a file's first block have rising numbers, so the smallest is its header.
+    headers = lines.where("block = 0").groupBy("path").agg(F.min_by("line", "place").alias("header"))
+    rows = lines.join(headers, "path").where((F.col("line") != F.col("header")) & (F.trim("line") != ""))
+    rows = rows.select(_cells("line").alias("cells"), _cells("header").alias("names"))
     cell = [
-        F.nullif(F.trim(F.try_element_at("cells", F.nullif(F.array_position("names", f), F.lit(0)).cast("int"))), F.lit(""))
-        .alias(f)
-        for f in fields
+        F.nullif(F.try_element_at("cells", F.nullif(F.array_position("names", f), F.lit(0)).cast("int")), F.lit("")).alias(f) for f in fields
     ]
-    return cells.join(headers, "path").select(*cell)
+    return rows.select(*cell)
+
+
+def _cells(line: str) -> Column:
+    """The cells of a CSV line; only a line with quotes needs commas to be told apart."""
+    quoted = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    cells = F.when(F.contains(F.col(line), F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
+    return F.transform(cells, lambda c: F.replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
 
 
 def read_factor_pool(spark: SparkSession, path: str) -> DataFrame:
