@@ -258,10 +258,10 @@ cand AS (SELECT model, ic_mean AS oos_ic, icir AS oos_icir, ann_excess_return, e
 @query(
     "model_live_selection",
     f"""WITH {BASE}, {_CANDIDATES_SQL},
-    rej AS (SELECT *, concat_ws(', ', CASE WHEN NOT oos_ic > 0 THEN 'oos_ic' END, CASE WHEN NOT oos_icir > 0 THEN 'oos_icir' END,
-      CASE WHEN NOT ann_excess_return > -10 THEN 'ann_excess_return' END, CASE WHEN NOT excess_sharpe > -10 THEN 'excess_sharpe' END,
-      CASE WHEN NOT max_drawdown >= -0.99 THEN 'max_drawdown' END, CASE WHEN NOT avg_turnover <= 0.9 THEN 'avg_turnover' END,
-      CASE WHEN NOT positive_ratio >= 0.4 THEN 'positive_ratio' END, CASE WHEN n_windows < 3 THEN 'n_windows' END) AS rejection_reasons FROM cand),
+    rej AS (SELECT *, concat_ws(', ', CASE WHEN NOT coalesce(oos_ic > 0, false) THEN 'oos_ic' END, CASE WHEN NOT coalesce(oos_icir > 0, false) THEN 'oos_icir' END,
+      CASE WHEN NOT coalesce(ann_excess_return > -10, false) THEN 'ann_excess_return' END, CASE WHEN NOT coalesce(excess_sharpe > -10, false) THEN 'excess_sharpe' END,
+      CASE WHEN NOT coalesce(max_drawdown >= -0.99, false) THEN 'max_drawdown' END, CASE WHEN NOT coalesce(avg_turnover <= 0.9, false) THEN 'avg_turnover' END,
+      CASE WHEN NOT coalesce(positive_ratio >= 0.4, false) THEN 'positive_ratio' END, CASE WHEN n_windows < 3 THEN 'n_windows' END) AS rejection_reasons FROM cand),
     jd AS (SELECT *, rejection_reasons = '' AS passed FROM rej),
     sc AS (SELECT *, CASE WHEN passed THEN 0.3::DOUBLE * {_pct('oos_icir')} + 0.3::DOUBLE * {_pct('excess_sharpe')} + 0.2::DOUBLE * {_pct('ann_excess_return')}
       + 0.1::DOUBLE * {_pct('positive_ratio')} + 0.05::DOUBLE * (1 + max_drawdown) + 0.05::DOUBLE * (1 - least(avg_turnover / 0.9::DOUBLE, 1)) END AS score FROM jd)
