@@ -2,13 +2,15 @@
 
 A document's set of word shingles is hashed once; the hash range is cut into bins, each bin's minimum is one value of the
 signature, and an empty bin takes the value of the first filled bin in a fixed random order of its own (optimal densification). Bands
-of the signature name buckets. With 40 bands of 5 values, a pair at similarity 0.8 shares no bucket in one of eight million cases.
+of the signature name buckets. With 64 bands of 7 values, a pair at similarity 0.8 shares no bucket in one of three million cases.
 
 Documents with equal sets are one node. In each bucket the node whose buckets are largest is the centre of a star, and every other
-node is compared with it on the full sets: as many pairs as members, never all pairs. Nodes that are not in the centre's
-component yet go on to further rounds with further centres, until in every bucket all nodes outside one component have been a
-centre: then every pair of a bucket was compared, or was already connected. Nothing is capped, so no link between bucket members is
-lost.
+node is compared with it: as many pairs as members, never all pairs. Nodes that are not in the centre's component yet go on to
+further rounds with further centres, until in every bucket all nodes outside one component have been a centre: then every pair of a
+bucket was compared, or was already connected. Nothing is capped, so no link between bucket members is lost.
+
+A comparison first counts the equal bits of two sketches of one bit per bin. Pairs more than six standard deviations below what the
+similarity leads to expect are none, which is wrong in one of a billion cases; the others are decided on the full sets.
 
 Defined cases: a null or empty text has an empty set and links with nothing; a text with fewer words than a shingle is one
 shingle; rows with equal sets are linked; a null ``doc_id`` is never the smallest of a component unless all are null, and such a row
@@ -19,11 +21,13 @@ result; other columns are ignored by ``near_duplicates`` and kept by ``represent
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from pyspark.sql.window import Window
@@ -32,7 +36,8 @@ from factorloom.llm.components import components
 from factorloom.llm.shared import content_key, map_rows, stored
 from factorloom.llm.word_hashes import WordHashes, mix, windows
 
-BANDS, BAND_ROWS = 40, 5
+BINS, BANDS, BAND_ROWS = 512, 64, 7
+SKETCH_WORDS = BINS // 64
 
 
 def shingles(names: np.ndarray, size: int) -> np.ndarray:
@@ -44,9 +49,9 @@ def shingles(names: np.ndarray, size: int) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def _donors(bins: int) -> np.ndarray:
-    """For each bin, all bins in a fixed random order."""
+    """For each bin, all bins in a fixed random order: column ``t`` holds every bin's choice number ``t``."""
     numbers = np.arange(bins * bins, dtype=np.uint64).reshape(bins, bins)
-    return np.argsort(mix(numbers, np.uint64(bins)), axis=1, kind="stable")
+    return np.ascontiguousarray(np.argsort(mix(numbers, np.uint64(bins)), axis=1, kind="stable").T)
 
 
 def signature(hashes: np.ndarray, bins: int) -> np.ndarray:
@@ -56,13 +61,21 @@ def signature(hashes: np.ndarray, bins: int) -> np.ndarray:
     last = np.append(first[1:], len(hashes))
     filled = first < last
     out = hashes[np.minimum(first, len(hashes) - 1)]
-    empty = np.flatnonzero(~filled)
-    if len(empty):
-        order = _donors(bins)[empty]
-        out[empty] = out[order[np.arange(len(empty)), np.argmax(filled[order], axis=1)]]
+    empty, choices, turn = np.flatnonzero(~filled), _donors(bins), 0
+    while len(empty):
+        donor = choices[turn][empty]
+        found = filled[donor]
+        out[empty[found]] = out[donor[found]]
+        empty, turn = empty[~found], turn + 1
     return out
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """One bit of each bin's value and number."""
+    bits = mix(values, np.arange(len(values), dtype=np.uint64)) & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 def band_names(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     table = values.reshape(bands, rows)
     out = np.arange(bands, dtype=np.uint64)
@@ -76,8 +89,8 @@ def lower_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def sketches(docs: DataFrame, size: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """``doc_id, content_key, n_shingles, digest, bands``; the last two are null for an empty set."""
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, content_key, n_shingles, digest, bands, bits``; the last three are null for an empty set."""
     source = docs.select("doc_id", content_key(), "text")
 
     def per_task() -> Callable[..., Iterator[tuple]]:
@@ -86,23 +99,41 @@ def sketches(docs: DataFrame, size: int, bands: int = BANDS, rows: int = BAND_RO
         def one(doc_id, key, text):
             found = shingles(hashes.of(lower_words(text)), size)
             if not len(found):
-                yield doc_id, key, 0, None, None
+                yield doc_id, key, 0, None, None, None
                 return
-            names = band_names(signature(found, bands * rows), bands, rows)
+            values = signature(found, BINS)
+            names = band_names(values[: BANDS * BAND_ROWS], BANDS, BAND_ROWS)
             digest = hashlib.blake2b(found.astype("<u8").tobytes(), digest_size=16).digest()
-            yield doc_id, key, len(found), digest, names.astype("<i8").tobytes()
+            yield doc_id, key, len(found), digest, names.astype("<i8").tobytes(), sketch(values)
 
         return one
 
     fields = [source.schema["doc_id"], source.schema["content_key"], StructField("n_shingles", LongType())]
-    fields += [StructField("digest", BinaryType()), StructField("bands", BinaryType())]
+    fields += [StructField(n, BinaryType()) for n in ("digest", "bands", "bits")]
     return map_rows(source, per_task, StructType(fields))
 
 
+def _numbers(column: str) -> Column:
+    """The 64-bit numbers in a binary column."""
+    return F.expr(f"transform(sequence(0, length({column}) div 8 - 1), i -> cast(conv(hex(substring({column}, i * 8 + 1, 8)), 16, -10) as bigint))")
+
+
 def _buckets(nodes: DataFrame) -> DataFrame:
     """``bucket, node, n_shingles``, one row per band, without Python."""
-    bands = F.expr("transform(sequence(0, length(bands) div 8 - 1), i -> cast(conv(hex(substring(bands, i * 8 + 1, 8)), 16, -10) as bigint))")
-    return nodes.select("node", "n_shingles", F.explode(bands).alias("bucket"))
+    return nodes.select("node", "n_shingles", F.explode(_numbers("bands")).alias("bucket"))
+
+
+def _likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches agree as far as the similarity demands.
+
+    Two bins agree with the similarity's probability, and else by chance in half of all cases.
+    """
+    share = (1 + percent / 100) / 2
+    least = math.floor(BINS * share - 6 * math.sqrt(BINS * share * (1 - share)))
+    left, right = (bits.select(F.col("node").alias(n), F.col("words").alias(f"words_{n}")) for n in ("a", "b"))
+    both = pairs.join(right, "b").join(left, "a")
+    differ = [F.bit_count(F.col("words_a")[i].bitwiseXOR(F.col("words_b")[i])) for i in range(SKETCH_WORDS)]
+    return both.where(BINS - reduce(add, differ) >= least).select("a", "b")
 
 
 def _candidate_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -146,70 +177,71 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(both, per_task, StructType().add("a", "long").add("b", "long").add("linked", "boolean"))
 
 
-def _centres(members: DataFrame, round_number: int) -> DataFrame:
-    """``bucket, centre, component, n`` of this round; ``members`` has the rows not yet compared with the whole bucket.
+def _centres(waiting: DataFrame, round_number: int) -> DataFrame:
+    """Rows of ``waiting`` that are centres in this round.
 
-    All but the component with most waiting nodes must still be compared; of the others the most central go first, and the number
-    doubles from round to round.
+    All but the component with most waiting nodes must still be compared; of the others the most central go first, eight times as
+    many in each round as in the last.
     """
-    waiting = members.where(~F.col("done"))
     sizes = waiting.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top")).select("bucket", F.col("top.component").alias("rest"))
     others = waiting.join(largest, "bucket").where(F.col("component") != F.col("rest")).drop("rest")
     order = Window.partitionBy("bucket").orderBy(F.desc("score"), "node")
-    return others.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 ** max(0, round_number - 2)).drop("place")
+    return others.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 8 ** (round_number - 1)).drop("place")
 
 
 def node_components(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``node, component`` of the nodes that link with another."""
     buckets = _buckets(nodes)
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # What is joined by bucket is stored first: between two plain exchanges a large bucket can be split.
+    shared = stored(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = stored(buckets.join(shared, "bucket"), "members")
     scores = members.groupBy("node").agg(F.sum("n").alias("score"))
     members = stored(members.join(scores, "node").select("bucket", "node", "n_shingles", "score"), "members")
     sets = stored(_candidate_sets(docs, members, nodes, size), "sets")
 
     best = members.groupBy("bucket").agg(F.max(F.struct("score", "node", "n_shingles")).alias("c"))
-    centres = best.select("bucket", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("n_centre"))
+    centres = stored(best.select("bucket", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("n_centre")), "centres")
     pairs = members.join(centres, "bucket").where(F.col("node") != F.col("centre"))
     pairs = _possible(pairs, percent)
+    # A node that was a centre of a bucket has been compared with all of it, so it leaves the bucket's waiting rows.
     done = centres.select("bucket", F.col("centre").alias("node"))
-    state = members.select("bucket", "node", "n_shingles", "score", F.col("node").alias("component"))
-    state = state.join(done.withColumn("done", F.lit(True)), ["bucket", "node"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    waiting = members.select("bucket", "node", "n_shingles", "score", F.col("node").alias("component")).join(done, ["bucket", "node"], "left_anti")
     labels = members.select("node").distinct().select("node", F.col("node").alias("component"))
+    bits = stored(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", _numbers("bits").alias("words")), "bits")
     tested = None
     number = 1
     while True:
-        new = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        likely = _likely(pairs, bits, percent)
+        new = likely if tested is None else likely.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         found = stored(_verified(new, sets, percent), "compared")
         tested = found if tested is None else tested.unionByName(found)
-        merged = components(
-            found.where("linked")
-            .join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
-            .join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
-            .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        ).select(F.col("node").alias("component"), F.col("component").alias("now"))
-        merged = stored(merged, "merged")
-
-        def relabelled(rows: DataFrame, merged=merged) -> DataFrame:
-            out = rows.join(merged, "component", "left")
-            return out.withColumn("component", F.coalesce("now", "component")).drop("now")
-
-        labels = stored(relabelled(labels), "labels")
-        state = relabelled(state)
-        several = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        state = stored(state.join(several, "bucket", "left_semi"), "state")
+        links = found.where("linked")
+        if not links.isEmpty():
+            merged = components(
+                links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
+                .join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+                .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            ).select(F.col("node").alias("component"), F.col("component").alias("now"))
+            merged = stored(merged, "merged")
+            labels, waiting = stored(_relabelled(labels, merged), "labels"), _relabelled(waiting, merged)
+        several = waiting.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+        waiting = stored(waiting.join(stored(several, "buckets"), "bucket", "left_semi"), "waiting")
         number += 1
-        chosen = stored(_centres(state, number), "centres")
+        chosen = stored(_centres(waiting, number), "centres")
         if chosen.isEmpty():
             return labels
         centre = chosen.select(
             "bucket", F.col("node").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("component").alias("centre_component")
         )
-        against = state.where(~F.col("done")).join(centre, "bucket")
-        pairs = _possible(against.where(F.col("component") != F.col("centre_component")), percent)
-        marks = chosen.select("bucket", "node", F.lit(True).alias("now"))
-        state = state.join(marks, ["bucket", "node"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now")
+        against = waiting.join(centre, "bucket").where(F.col("component") != F.col("centre_component"))
+        pairs = _possible(against, percent)
+        waiting = waiting.join(chosen.select("bucket", "node"), ["bucket", "node"], "left_anti")
+
+
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    out = rows.join(merged, "component", "left")
+    return out.withColumn("component", F.coalesce("now", "component")).drop("now")
 
 
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
@@ -228,15 +260,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content_key")).alias("first_doc"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"),
+        F.first("bits").alias("bits"),
     )
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     labels = node_components(nodes, docs, size, percent)
     labelled = nodes.select("digest", "node", F.col("first_doc.doc_id").alias("first_id")).join(labels, "node", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_digest = labelled.join(least, "component").select("digest", "component_id")
-    linked = rows.where("digest is not null").drop("bands").join(by_digest, "digest").drop("digest")
-    alone = rows.where("digest is null").drop("bands", "digest").withColumn("component_id", F.col("doc_id"))
+    by_digest = stored(labelled.join(least, "component").select("digest", "component_id"), "components")
+    linked = rows.where("digest is not null").drop("bands", "bits").join(by_digest, "digest").drop("digest")
+    alone = rows.where("digest is null").drop("bands", "bits", "digest").withColumn("component_id", F.col("doc_id"))
     out = linked.unionByName(alone.select(*linked.columns))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
