@@ -58,19 +58,24 @@ def map_rows(df: DataFrame, rows: Callable[[], Callable[..., Iterator[tuple]]],
     return df.mapInArrow(run, schema)
 
 
-def map_arrays(df: DataFrame, rows: Callable[[], Callable[..., tuple | None]], schema: StructType) -> DataFrame:
-    """As ``map_rows``, for functions that return a tuple of numpy arrays: one result row per place in them."""
-    arrow = to_arrow_schema(schema)
+def map_slices(df: DataFrame, rows: Callable[[], Callable[..., tuple | None]], schema: StructType, slice_chars: int = 2_000_000) -> DataFrame:
+    """As ``map_rows``, for functions that take the column lists of several rows and return one array per result column.
+
+    A slice ends when its texts, the column ``text``, exceed ``slice_chars``, so memory stays bounded for long texts while
+    short ones share each numpy call.
+    """
+    arrow, place = to_arrow_schema(schema), df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = rows()
+        several = rows()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                columns = [c.to_pylist() for c in batch.slice(start, SLICE).columns]
-                out = [arrays for values in zip(*columns) if (arrays := one(*values)) is not None]
-                if out:
-                    joined = [pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), arrow)]
-                    yield pa.RecordBatch.from_arrays(joined, schema=arrow)
+            sizes = np.cumsum([len(t) if t else 0 for t in batch.column(place).to_pylist()]) // slice_chars
+            starts = [0, *(np.flatnonzero(np.diff(sizes)) + 1), batch.num_rows]
+            for start, end in zip(starts, starts[1:]):
+                if end > start:
+                    out = several(*(c.to_pylist() for c in batch.slice(start, end - start).columns))
+                    if out is not None and len(out[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -1,9 +1,9 @@
 """Repeated passages: words of windows that also stand in a document with a smaller id are removed.
 
-Recompression names the inside of equal passages equally. A symbol in two different texts reveals that they may share a window; a
-window all of whose fixed symbols are shared is a candidate, and so is a window without one (long runs of a word). Candidates
-are verified by 128-bit fingerprints of their words: each fingerprint's smallest document keeps it, in the others its words go.
-Only symbols, about one in ten words, and candidate windows are shuffled, the text once.
+Recompression names the inside of equal passages equally, and one fixed symbol stands for each window. A symbol in two different
+texts reveals that they may share its windows: these are candidates, and so are windows without a symbol (long runs of a word).
+Candidates are verified by 128-bit fingerprints of their words: each fingerprint's smallest document keeps it, in the others its
+words go. Only symbols, fewer than one in ten words, and candidate windows are shuffled, the text once.
 
 Texts with equal words are one class: all but the document with the smallest id lose every window, without comparing them. Classes
 of at least a thousandth of all documents, at most a thousand, are known to every task, so their copies are not even parsed.
@@ -21,12 +21,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from factorloom.llm.recompression import recompress, revealing
-from factorloom.llm.shared import map_arrays, map_rows, stored
+from factorloom.llm.recompression import window_symbols
+from factorloom.llm.shared import map_rows, map_slices, stored
 from factorloom.llm.word_hashes import WordHashes, mix, windows
 
 HOT_SHARE = 0.001
@@ -46,104 +48,103 @@ def fingerprints(names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
     return windows(names, window), windows(mix(names, _SECOND), window)
 
 
+def whole_name(joined: bytes) -> int:
+    """Name of a document's whole word sequence, as a signed number."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(joined)).astype(np.int64))
+
+
 def summaries(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_words, digest, first_id``: the digest of a document's words and the smallest id that has it."""
+    """``doc_id, n_words, digest, whole, first_id``: digest and name of a document's words, and the smallest id that has them."""
     source = docs.select("doc_id", "text")
 
     def rows() -> Callable[..., Iterator[tuple]]:
         def one(doc_id, text):
             words = words_of(text)
-            yield doc_id, len(words), digest_of(words)
+            joined = b" ".join(words)
+            yield doc_id, len(words), hashlib.sha256(joined).hexdigest(), whole_name(joined)
 
         return one
 
-    fields = [source.schema["doc_id"], StructField("n_words", LongType()), StructField("digest", StringType())]
+    fields = [source.schema["doc_id"], StructField("n_words", LongType()), StructField("digest", StringType()), StructField("whole", LongType())]
     table = stored(map_rows(source, rows, StructType(fields)), "summaries")
     classes = table.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_class"))
-    copied = classes.where("n_class > 1")
+    # Stored, so that the join is between two plain exchanges and a large class can be split.
+    copied = stored(classes.where("n_class > 1"), "classes")
     joined = table.join(copied, "digest", "left").withColumn("first_id", F.coalesce("least", "doc_id")).drop("least")
     return stored(joined.withColumn("n_class", F.coalesce("n_class", F.lit(1))), "summaries")
 
 
-def hot_classes(table: DataFrame) -> dict[str, int]:
+def hot_classes(table: DataFrame) -> dict[int, int]:
     """First ids of the classes with at least ``HOT_SHARE`` of all documents: at most ``1 / HOT_SHARE`` of them."""
     least = max(2, math.ceil(table.count() * HOT_SHARE))
-    rows = table.where((F.col("n_class") >= least) & (F.col("doc_id") == F.col("first_id"))).select("digest", "first_id").distinct()
-    return {r.digest: r.first_id for r in rows.collect()}
+    rows = table.where((F.col("n_class") >= least) & (F.col("doc_id") == F.col("first_id"))).select("whole", "first_id").distinct()
+    return {r.whole: r.first_id for r in rows.collect()}
 
 
-def symbols(docs: DataFrame, window: int, hot: dict[str, int]) -> DataFrame:
-    """``name, doc_id, words``: the distinct revealing symbols of each document and a name of its whole word sequence."""
+def symbols(docs: DataFrame, window: int, hot: dict[int, int]) -> DataFrame:
+    """``name, doc_id, whole, first, end``: runs of windows and the symbol that stands for them, null where there is none."""
     known = docs.sparkSession.sparkContext.broadcast(hot)
 
     def rows() -> Callable[..., tuple | None]:
         hashes, hot = WordHashes(), known.value
 
-        def one(doc_id, text):
-            words = words_of(text)
-            if len(words) < window:
-                return None
-            digest = digest_of(words)
-            if hot.get(digest, doc_id) != doc_id:
+        def several(ids, texts):
+            kept, wholes, names = [], [], []
+            for doc_id, text in zip(ids, texts):
+                words = words_of(text)
+                if len(words) >= window:
+                    whole = whole_name(b" ".join(words))
+                    if hot.get(whole, doc_id) == doc_id:
+                        kept.append(doc_id)
+                        wholes.append(whole)
+                        names.append(hashes.of(words))
+            if not kept:
                 return None
-            names = hashes.of(words)
-            found, _, _ = revealing(recompress(names), len(names), window)
-            out = np.unique(found.names).view(np.int64)
-            whole = np.uint64(int(digest[:16], 16)).astype(np.int64)
-            return out, np.full(len(out), doc_id), np.full(len(out), whole)
+            document, first, end, name, fixed = window_symbols(names, window)
+            name = pa.array(name.view(np.int64), pa.int64(), mask=~fixed)
+            return name, np.array(kept, np.int64)[document], np.array(wholes, np.int64)[document], first, end
 
-        return one
+        return several
 
-    schema = StructType().add("name", "long").add("doc_id", "long").add("words", "long")
-    return map_arrays(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, schema)
+    schema = StructType().add("name", "long").add("doc_id", "long").add("whole", "long").add("first", "integer").add("end", "integer")
+    return map_slices(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, schema)
 
 
 def candidates(docs: DataFrame, table: DataFrame, window: int) -> DataFrame:
-    """``doc_id, text, shared`` of documents that may lose or give a window; ``shared`` are the names of their shared symbols.
-
-    A document without shared symbols still takes part if some window of it holds no symbol; its own parse tells later.
-    """
+    """``doc_id, text, runs``: documents with their runs of candidate windows."""
     found = stored(symbols(docs, window, hot_classes(table)), "symbols")
-    shared = found.groupBy("name").agg(F.min("words").alias("low"), F.max("words").alias("high")).where("low < high").select("name")
-    flags = found.select("name", "doc_id").join(shared, "name").groupBy("doc_id").agg(F.collect_list("name").alias("shared"))
+    named = found.where("name is not null")
+    shared = named.groupBy("name").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).where("low < high").select("name")
+    shared = stored(shared, "shared")
+    runs = named.select("name", "doc_id", "first", "end").join(shared, "name").drop("name")
+    runs = runs.unionByName(found.where("name is null").select("doc_id", "first", "end"))
     # Only the first document of a class can be a smallest one, and only it needs its windows compared.
-    first = table.where((F.col("doc_id") == F.col("first_id")) & (F.col("n_words") >= window)).select("doc_id").distinct()
-    wanted = first.join(flags, "doc_id", "left")
+    firsts = table.where((F.col("doc_id") == F.col("first_id")) & (F.col("n_words") >= window)).select("doc_id").distinct()
+    grouped = runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("runs"))
+    wanted = grouped.join(firsts, "doc_id")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(parts, "doc_id")
     return texts.join(wanted.repartition(parts, "doc_id"), "doc_id")
 
 
-def _candidate_starts(names: np.ndarray, shared: list[int] | None, window: int) -> np.ndarray:
-    """Starts of windows whose revealing symbols are all shared."""
-    if len(names) < window:
-        return np.empty(0, np.int64)
-    found, first, end = revealing(recompress(names), len(names), window)
-    known = np.array(shared or [], np.int64).view(np.uint64)
-    alone = ~np.isin(found.names, known)
-    edges = np.zeros(len(names) - window + 2, np.int64)
-    np.add.at(edges, first[alone], 1)
-    np.add.at(edges, end[alone], -1)
-    return np.flatnonzero(np.cumsum(edges)[:-1] == 0)
-
-
-def with_candidates(rows: DataFrame, window: int) -> DataFrame:
-    """``doc_id, text, starts`` of documents with a candidate window; ``starts`` holds runs of starts as 32-bit pairs."""
+def _segments(words: list[bytes], runs: list[dict], window: int) -> tuple[list[bytes], list[int]]:
+    """The words that candidate windows cover, and where in them these windows start; overlapping runs share their words.
 
-    def per_task() -> Callable[..., Iterator[tuple]]:
-        hashes = WordHashes()
-
-        def one(doc_id, text, shared):
-            starts = _candidate_starts(hashes.of(words_of(text)), shared, window)
-            if len(starts):
-                breaks = np.flatnonzero(np.diff(starts) != 1)
-                runs = np.stack([starts[np.r_[0, breaks + 1]], starts[np.r_[breaks, len(starts) - 1]] + 1], axis=1)
-                yield doc_id, text, runs.astype("<u4").tobytes()
-
-        return one
-
-    schema = StructType().add("doc_id", "long").add("text", "string").add("starts", "binary")
-    return map_rows(rows.select("doc_id", "text", "shared"), per_task, schema)
+    A repeated ``doc_id`` may bring runs of another text: those beyond the text are left out.
+    """
+    out: list[bytes] = []
+    starts: list[int] = []
+    at = shift = 0
+    for run in runs:
+        first, end = run["first"], min(run["end"], len(words) - window + 1)
+        if first >= end:
+            continue
+        if first >= at:
+            at, shift = first, len(out) - first
+        out += words[at : end + window - 1]
+        at = max(at, end + window - 1)
+        starts += range(first + shift, end + shift)
+    return out, starts
 
 
 def candidate_windows(rows: DataFrame, window: int) -> DataFrame:
@@ -152,33 +153,43 @@ def candidate_windows(rows: DataFrame, window: int) -> DataFrame:
     def per_task() -> Callable[..., tuple | None]:
         hashes = WordHashes()
 
-        def one(doc_id, text, runs):
-            starts = np.concatenate([np.arange(a, b) for a, b in np.frombuffer(runs, "<u4").reshape(-1, 2)])
-            w1, w2 = fingerprints(hashes.of(words_of(text)), window)
-            w1, w2 = w1[starts], w2[starts]
-            _, once = np.unique(w1, return_index=True)
-            return w1[once].view(np.int64), w2[once].view(np.int64), np.full(len(once), doc_id)
-
-        return one
+        def several(ids, texts, runs):
+            words: list[bytes] = []
+            starts, owners = [], []
+            for doc_id, text, own in zip(ids, texts, runs):
+                part, at = _segments(words_of(text), own, window)
+                starts.append(np.array(at, np.int64) + len(words))
+                owners.append(np.full(len(at), doc_id, np.int64))
+                words += part
+            starts, owners = np.concatenate(starts), np.concatenate(owners)
+            w1, w2 = (w[starts] for w in fingerprints(hashes.of(words), window))
+            order = np.lexsort((w1, owners))
+            w1, w2, owners = w1[order], w2[order], owners[order]
+            once = np.r_[True, (w1[1:] != w1[:-1]) | (owners[1:] != owners[:-1])][: len(w1)]
+            return w1[once].view(np.int64), w2[once].view(np.int64), owners[once]
+
+        return several
 
     schema = StructType().add("w1", "long").add("w2", "long").add("doc_id", "long")
-    return map_arrays(rows.select("doc_id", "text", "starts"), per_task, schema)
+    return map_slices(rows.select("doc_id", "text", "runs"), per_task, schema)
 
 
 def repeated(found: DataFrame) -> DataFrame:
     """``doc_id, removed``: first fingerprints of the windows that also stand in a document with a smaller id."""
     least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    later = found.join(least.drop("most"), ["w1", "w2"]).where("doc_id > least")
+    later = found.join(stored(least.drop("most"), "repeated"), ["w1", "w2"]).where("doc_id > least")
     return later.groupBy("doc_id").agg(F.collect_list("w1").alias("removed"))
 
 
-def kept_words(words: list[bytes], removed: list[int], window: int, hashes: WordHashes) -> list[bytes]:
-    """The words outside the removed windows."""
-    w1, _ = fingerprints(hashes.of(words), window)
-    starts = np.flatnonzero(np.isin(w1, np.array(removed, np.int64).view(np.uint64)))
+def kept_words(words: list[bytes], runs: list[dict], removed: list[int], window: int, hashes: WordHashes) -> list[bytes]:
+    """The words outside the removed windows, which are among the candidates."""
+    part, starts = _segments(words, runs, window)
+    w1 = fingerprints(hashes.of(part), window)[0][np.array(starts, np.int64)]
+    gone = np.isin(w1, np.array(removed, np.int64).view(np.uint64))
+    places = np.concatenate([np.arange(r["first"], max(r["first"], min(r["end"], len(words) - window + 1))) for r in runs])[gone]
     edges = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + window, -1)
+    np.add.at(edges, places, 1)
+    np.add.at(edges, places + window, -1)
     return [words[i] for i in np.flatnonzero(np.cumsum(edges)[:-1] == 0)]
 
 
@@ -188,15 +199,15 @@ def cleaned(rows: DataFrame, gone: DataFrame, window: int) -> DataFrame:
     def per_task() -> Callable[..., Iterator[tuple]]:
         hashes = WordHashes()
 
-        def one(doc_id, text, removed):
+        def one(doc_id, text, runs, removed):
             words = words_of(text)
-            kept = kept_words(words, removed, window, hashes)
+            kept = kept_words(words, runs, removed, window, hashes)
             yield doc_id, digest_of(words), b" ".join(kept).decode(), len(words) - len(kept)
 
         return one
 
     schema = StructType().add("doc_id", "long").add("digest", "string").add("kept", "string").add("n_removed", "long")
-    return map_rows(rows.select("doc_id", "text").join(gone, "doc_id"), per_task, schema)
+    return map_rows(rows.select("doc_id", "text", "runs").join(gone, "doc_id"), per_task, schema)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 50) -> DataFrame:
@@ -208,7 +219,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 50) -> D
     table = summaries(docs)
     name = f"substring_dedup_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chosen = with_candidates(candidates(docs, table, window), window)
+    chosen = candidates(docs, table, window)
     chosen.write.option("compression", "zstd").bucketBy(parts, "doc_id").sortBy("doc_id").saveAsTable(name)
     texts = spark.table(name)
     gone = repeated(candidate_windows(texts, window))

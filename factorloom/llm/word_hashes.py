@@ -33,18 +33,14 @@ def windows(names: np.ndarray, size: int) -> np.ndarray:
     return mix(out[: len(names) - size + 1], out[rest:]) if rest else out
 
 
-class WordHashes:
+class WordHashes(dict):
     """Hashes of words, with a bounded cache per worker."""
 
-    def __init__(self) -> None:
-        self.cache: dict[bytes, int] = {}
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        get = cache.get
-        out = [get(w) for w in words]
-        for i in [i for i, h in enumerate(out) if h is None] if None in out else ():
-            out[i] = cache[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        return np.array(out, np.uint64)
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
