@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import bpe, chat, exact_dedup, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts
+from factorloom.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    fill_middle,
+    line_dedup,
+    merkle,
+    minhash_dedup,
+    packing,
+    quality_rules,
+    secret_scan,
+    substring_dedup,
+    token_counts,
+)
 from factorloom.llm.shared import stored
 from factorloom.plans.registry import Query, Run
 
@@ -116,7 +129,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEAR = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS words
   FROM documents),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(words[p:p + 3], ' ')) AS s
       FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS p FROM d WHERE len(words) > 0)),
@@ -176,3 +190,93 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stored(exact_dedup.duplicates(spark, documents(spark, sf_dir), table), "exact-dedup")
     spark.sql(f"DROP TABLE {table}")
     return out
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text: bytes enter one by one, eight bits each."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: {bits}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+_LEAF = " || ".join(
+    f"coalesce(octet_length(encode(({name})::VARCHAR)) || ':' || ({name})::VARCHAR, '-')" for name in ("doc_id", "source", "lang", "n_chars")
+)
+_TEXT_FIELD = "coalesce(octet_length(encode({0})) || ':' || {0}, '-')"
+_RUN = "coalesce(string_agg(y.digest, '' ORDER BY y.place) FILTER (WHERE y.place {0} x.place), '')"
+_MERKLE = f"""
+WITH RECURSIVE l AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS size
+  FROM (SELECT doc_id, source, text IS NOT NULL AND coalesce({crc32_sql('doc_id::VARCHAR')} % 2 = 0, false) AS changed,
+               sha256({_LEAF} || {_TEXT_FIELD.format('text')}) AS leaf,
+               sha256({_LEAF} || {_TEXT_FIELD.format("replace(text, chr(10), '')")}) AS tampered FROM documents)),
+nodes AS (
+  SELECT source, 0::BIGINT AS level, place, size, leaf AS digest FROM l
+  UNION ALL
+  SELECT source, level + 1, place // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+  FROM nodes WHERE size > 1 GROUP BY source, level, place // 3, size),
+subs AS (SELECT source, level AS levels, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS size
+         FROM nodes WHERE size = 1),
+tops AS (
+  SELECT 0::BIGINT AS level, place, size, digest FROM subs
+  UNION ALL
+  SELECT level + 1, place // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+  FROM tops WHERE size > 1 GROUP BY level, place // 3, size),
+lower AS (
+  SELECT x.source, x.level, x.place, {_RUN.format('<')} AS lefts, {_RUN.format('>')} AS rights
+  FROM nodes x JOIN nodes y ON x.source IS NOT DISTINCT FROM y.source AND x.level = y.level AND x.place // 3 = y.place // 3
+  WHERE x.size > 1 GROUP BY 1, 2, 3),
+upper AS (
+  SELECT x.level, x.place, {_RUN.format('<')} AS lefts, {_RUN.format('>')} AS rights
+  FROM tops x JOIN tops y ON x.level = y.level AND x.place // 3 = y.place // 3 WHERE x.size > 1 GROUP BY 1, 2),
+paths AS (
+  SELECT l.source, l.place, s.level, s.lefts, s.rights FROM l JOIN lower s
+    ON s.source IS NOT DISTINCT FROM l.source AND s.place = l.place // (3 ** s.level)::BIGINT
+  UNION ALL
+  SELECT l.source, l.place, subs.levels + u.level, u.lefts, u.rights FROM l JOIN subs ON l.source IS NOT DISTINCT FROM subs.source
+    JOIN upper u ON u.place = subs.place // (3 ** u.level)::BIGINT),
+folds AS (
+  SELECT source, place, 0::BIGINT AS level, CASE WHEN changed THEN tampered ELSE leaf END AS digest FROM l
+  UNION ALL
+  SELECT f.source, f.place, f.level + 1, sha256(p.lefts || f.digest || p.rights)
+  FROM folds f JOIN paths p ON f.source IS NOT DISTINCT FROM p.source AND f.place = p.place AND f.level = p.level),
+ends AS (SELECT source, place, arg_max(digest, level) AS folded_root FROM folds GROUP BY 1, 2),
+proofs AS (SELECT source, place, string_agg(lefts || rights, '' ORDER BY level) AS proof FROM paths GROUP BY 1, 2),
+top AS (SELECT digest AS root FROM tops WHERE size = 1)
+SELECT l.doc_id, l.leaf, subs.digest AS subroot, top.root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN subs ON l.source IS NOT DISTINCT FROM subs.source JOIN ends ON ends.source IS NOT DISTINCT FROM l.source AND ends.place = l.place
+LEFT JOIN proofs ON proofs.source IS NOT DISTINCT FROM l.source AND proofs.place = l.place CROSS JOIN top"""
+
+
+@query("op11_merkle_manifest", _MERKLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.translate("text", "\n", ""))
+    return merkle.verified(merkle.manifest(documents(spark, sf_dir), tampered))
+
+
+_GROUP = "('0x' || substr(sha256('7:' || doc_id), {0}, 8))::BIGINT"
+_FILL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS lines,
+         {', '.join(f'{_GROUP.format(1 + 8 * i)} AS h{i + 1}' for i in range(4))} FROM documents),
+c AS (SELECT *, len(lines) AS n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS a, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                  WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:], '') AS suffix
+      FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p"""
+
+
+@query("op13_fill_in_middle", _FILL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = documents(spark, sf_dir).select("doc_id", "text")
+    whole = fill_middle.restored(fill_middle.fill_in_middle(source, rate_percent=100, spm_percent=50, seed=7))
+    digest = lambda name: F.sha2(F.col(name).cast("binary"), 256).alias(f"{name}_sha256")
+    return whole.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
