@@ -21,6 +21,7 @@ from factorloom.llm import (
     secret_scan,
     substring_dedup,
     token_counts,
+    toxicity,
 )
 from factorloom.llm.shared import stored
 from factorloom.plans.registry import Query, Run
@@ -255,6 +256,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.manifest(documents(spark, sf_dir), tampered))
 
 
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 _GROUP = "('0x' || substr(sha256('7:' || doc_id), {0}, 8))::BIGINT"
 _FILL = rf"""
 WITH d AS (

@@ -38,12 +38,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, rows: Callable[[], Callable[..., Iterator[tuple]]], schema: StructType) -> DataFrame:
+def map_rows(df: DataFrame, rows: Callable[[], Callable[..., Iterator[tuple]]], schema: StructType | str) -> DataFrame:
     """Apply a Python generator to each row, in Arrow batches.
 
     ``rows`` is called once per task and returns a function from the columns' values to result tuples, so it may set up
     caches. Results leave in slices, which bounds memory for long texts.
     """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
