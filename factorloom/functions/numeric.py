@@ -49,6 +49,37 @@ def correlation(a: Column, b: Column, over: Window | None = None, min_count: int
     return F.when(varies & enough, div(agg(F.covar_samp(x, y)), sx * sy))
 
 
+def exact_sum_of_products(a: Column, b: Column, wide: bool = False) -> Column:
+    """Sum of the products of two whole-number columns, as a ``decimal``, without rounding.
+
+    Each product is summed in two halves of 32 bits, which merge as plain numbers; ``wide`` is for products beyond 63 bits.
+    """
+    if wide:
+        return F.sum(a.cast("decimal(19,0)") * b.cast("decimal(18,0)"))
+    product = a * b
+    high, low = F.sum(F.shiftright(product, 32)), F.sum(product.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return high.cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + low.cast("decimal(20,0)")
+
+
+def rank_product_moment(a: Column, b: Column, min_count: int = 2, wide: bool = False) -> Column:
+    """Correlation of two doubled average ranks of the same rows, as a group aggregate; null for constant inputs.
+
+    Such ranks are whole numbers that sum to ``n * (n + 1)``, so the moments about their means are whole numbers too: the sign of
+    the result is that of the exact one, and it is zero only if that is. Rows that lack either rank do not count.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    n = F.count(x)
+    m = n.cast("decimal(13,0)")
+    squares = (m * (m + 1)).cast("decimal(25,0)") * (m + 1).cast("decimal(13,0)")
+
+    def moment(c: Column, d: Column) -> Column:
+        return (exact_sum_of_products(c, d, wide) - squares).cast("double")
+
+    spread = F.sqrt(moment(x, x)) * F.sqrt(moment(y, y))
+    return F.when((n >= min_count) & (spread > 0), F.greatest(F.least(moment(x, y) / spread, F.lit(1.0)), F.lit(-1.0)))
+
+
 def rounded(df, digits: int = 6, **per_column: int | None):
     """Round every double column of a result table; ``per_column`` overrides ``digits``, None leaves as is."""
     chosen = {name: per_column.get(name, digits) for name, dtype in df.dtypes if dtype == "double"}

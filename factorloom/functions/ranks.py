@@ -9,6 +9,11 @@ would sort a whole date in a single task. The kernel here works on counts instea
 3. accumulate counts inside a slice, and add the total of all lower slices, which
    comes from a table of at most a few thousand slices per group.
 
+Groups that span the whole table are cut by their own values: a crowded slice is divided at its
+quantiles, from a mergeable sketch, again and again until no slice is crowded, so a narrow band is
+spread as evenly as a wide one. Cuts are stored, so that a recomputed task finds the same ones;
+they decide the layout only, and ranks are exact with any cuts.
+
 Ranks, quantiles and bins all follow from "rows below this value". Rows pick up their
 position by an equi-join, where adaptive execution splits a heavily tied value.
 """
@@ -20,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.sources.shared import stored
+
 SLICES_PER_OCTAVE = 64
 # Larger than SLICES_PER_OCTAVE * 1074, the largest |log2| of a double.
 SLICE_ORIGIN = 100_000
@@ -28,6 +35,10 @@ SLICE_ORIGIN = 100_000
 # Text values are sliced by this many leading characters.
 PREFIX = 8
 
+# Distinct values that a slice of a pooled group may hold, and the number of pieces that a crowded one is cut into.
+SLICE_VALUES = 65_536
+PIECES = 64
+
 
 def value_slice(value: Column, dtype: str = "double") -> Column:
     """Slice of a finite number or of a text: non-decreasing in the value, and free of any data pass."""
@@ -37,18 +48,46 @@ def value_slice(value: Column, dtype: str = "double") -> Column:
     return F.when(value > 0, step).when(value < 0, -step).otherwise(F.lit(0).cast("bigint"))
 
 
-def value_positions(df: DataFrame, by: Sequence[str], value: str, *then: str) -> DataFrame:
+def divided_slices(cells: DataFrame, by: Sequence[str], value: str, target: int | None = None) -> DataFrame:
+    """``cells`` with slices of about ``target`` rows: crowded ones are cut at their own quantiles until none is left.
+
+    ``_slice`` becomes an array, ordered as the values are. Quantiles come from Spark's mergeable sketch and may depend on the order in
+    which it merges, so they are stored, and every use cuts at the same places. Values below as many as one piece are not cut, and
+    equal values never are.
+    """
+    target = target or SLICE_VALUES
+    cells, keys = cells.withColumn("_slice", F.array("_slice")), [*by, "_slice"]
+    at = [i / PIECES for i in range(1, PIECES)]
+    while True:
+        crowded = cells.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_held"), F.array_distinct(F.percentile_approx(value, at, 50 * PIECES)).alias("_cuts")
+        )
+        # A single cut that is the greatest value would leave the slice as it is.
+        crowded = crowded.where((F.col("_held") > target) & (F.size("_cuts") > 1)).drop("_held")
+        crowded = stored(crowded, "cuts")
+        if crowded.isEmpty():
+            return cells
+        below = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
+        piece = F.when(F.col("_cuts").isNotNull(), below).otherwise(0).cast("bigint")
+        cells = cells.join(crowded, keys, "left").withColumn("_slice", F.concat("_slice", F.array(piece))).drop("_cuts")
+
+
+def value_positions(df: DataFrame, by: Sequence[str], value: str, *then: str, pooled: bool = False) -> DataFrame:
     """One row per group and distinct value: ``n`` rows, ``below`` rows before it, ``total`` in the group.
 
-    ``then`` names further sort keys, counted as part of the value.
+    ``then`` names further sort keys, counted as part of the value. ``pooled`` says that groups span the whole table, so slices
+    follow the values of each group.
     """
-    by = list(by)
+    by, dtype = list(by), dict(df.dtypes)[value]
     cells = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value, *then)
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_slice", value_slice(F.col(value), dict(df.dtypes)[value]))
+        .withColumn("_slice", value_slice(F.col(value), dtype))
     )
+    if pooled and dtype != "string":
+        # One row per distinct value, read for every division and for the result.
+        cells = divided_slices(stored(cells, "values"), by, value)
     inside = Window.partitionBy(*by, "_slice").orderBy(value, *then)
     slices = cells.groupBy(*by, "_slice").agg(F.sum("n").alias("_in_slice"))
     in_order = Window.partitionBy(*by).orderBy("_slice")
@@ -71,10 +110,12 @@ def with_average_ranks(
     total: str | None = None,
     among: dict[str, tuple[str, Column]] | None = None,
     pooled: bool = False,
+    doubled: bool = False,
 ) -> DataFrame:
     """Add the 1-based rank in its group of every column in ``ranks`` (column: name of its rank).
 
-    Ties share their average rank; null values get a null rank and do not count. ``total`` also
+    Ties share their average rank; null values get a null rank and do not count. ``doubled`` ranks are twice that, as
+    whole numbers. ``total`` also
     adds the count of the first column. ``among`` maps a column to the name of a second rank that
     counts only the rows of a condition, from the same ordering.
 
@@ -85,22 +126,29 @@ def with_average_ranks(
     ranked = df
     for value, rank in ranks.items():
         if pooled:
-            kept = [(F.col("below") + (F.col("n") + 1) / 2).alias(rank)]
+            twice = 2 * F.col("below") + F.col("n") + 1
+            kept = [(twice if doubled else twice / 2).alias(rank)]
             kept += [F.col("total").alias(total)] if total else []
-            positions = value_positions(df, by, value).select(*by, value, *kept)
+            positions = value_positions(df, by, value, pooled=True).select(*by, value, *kept)
             ranked = ranked.join(positions, [*by, value], "left")
         else:
             counted = {rank: F.col(value).isNotNull()}
             if among and value in among:
                 name, condition = among[value]
                 counted[name] = F.col(value).isNotNull() & condition
-            ranked = _ranked_in_slices(df, ranked, by, value, counted, total)
+            ranked = _ranked_in_slices(df, ranked, by, value, counted, total, doubled)
         total = None
     return ranked
 
 
 def _ranked_in_slices(
-    source: DataFrame, rows: DataFrame, by: Sequence[str], value: str, counted: dict[str, Column], total: str | None
+    source: DataFrame,
+    rows: DataFrame,
+    by: Sequence[str],
+    value: str,
+    counted: dict[str, Column],
+    total: str | None,
+    doubled: bool,
 ) -> DataFrame:
     """``rows`` with a rank among the ``counted`` rows of ``source``, which hold the same values."""
     step = value_slice(F.col(value), dict(source.dtypes)[value]).alias("_slice")
@@ -108,7 +156,7 @@ def _ranked_in_slices(
     inside = Window.partitionBy(*by, "_slice").orderBy(value)
     tied = Window.partitionBy(*by, "_slice", value)
     placed = rows.withColumns({"_slice": step, **{f"_is_{n}": one for n, one in ones.items()}}).withColumns(
-        {f"_at_{n}": F.sum(f"_is_{n}").over(inside) - (F.sum(f"_is_{n}").over(tied) - 1) / 2 for n in ones}
+        {f"_at_{n}": 2 * F.sum(f"_is_{n}").over(inside) - F.sum(f"_is_{n}").over(tied) + 1 for n in ones}
     )
     slices = source.where(F.col(value).isNotNull()).groupBy(*by, step)
     slices = slices.agg(*[F.sum(one).alias(f"_in_{n}") for n, one in ones.items()])
@@ -121,7 +169,8 @@ def _ranked_in_slices(
         *([F.sum(f"_in_{first}").over(Window.partitionBy(*by)).alias(total)] if total else []),
     )
     found = placed.join(slices, [*by, "_slice"], "left")
-    final = {n: F.when(F.col(f"_is_{n}") == 1, F.col(f"_lower_{n}") + F.col(f"_at_{n}")) for n in ones}
+    twice = {n: 2 * F.col(f"_lower_{n}") + F.col(f"_at_{n}") for n in ones}
+    final = {n: F.when(F.col(f"_is_{n}") == 1, t if doubled else t / 2) for n, t in twice.items()}
     out = found.withColumns(final)
     return out.select(*rows.columns, *ones, *([total] if total else []))
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.frames import DATE, full, so_far, trailing
-from factorloom.functions.numeric import correlation, div
+from factorloom.functions.numeric import div, rank_product_moment
 from factorloom.functions.ranks import with_average_ranks
 from factorloom.operators.xsection import CELL, FACTOR, VALUE
+from factorloom.sources.shared import stored
 
 LABEL = "label"
 
@@ -20,11 +21,14 @@ def rank_correlation(
 ) -> DataFrame:
     """Spearman correlation per group over pairwise complete rows, with the number of pairs ``n``.
 
-    ``pooled`` is for groups that span all dates.
+    Ranks are whole numbers until the last division, so an IC is zero, positive or negative as in exact arithmetic. ``pooled`` is
+    for groups that span all dates.
     """
     pairs = df.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = with_average_ranks(pairs, by, {x: "_rx", y: "_ry"}, pooled=pooled)
-    rho = correlation(F.col("_rx"), F.col("_ry"), min_count=min_count)
+    # Groups of the whole table: the pairs are read once for each column and once for the result.
+    pairs = stored(pairs, "pairs") if pooled else pairs
+    ranked = with_average_ranks(pairs, by, {x: "_rx", y: "_ry"}, pooled=pooled, doubled=True)
+    rho = rank_product_moment(F.col("_rx"), F.col("_ry"), min_count, wide=pooled)
     return ranked.groupBy(*by).agg(rho.alias(out), F.count(F.lit(1)).alias("n"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.frames import DATE, INSTRUMENT, full, trailing
-from factorloom.functions.numeric import correlation, div, finite
+from factorloom.functions.numeric import correlation, div, finite, rank_product_moment
 from factorloom.functions.ranks import value_positions, with_average_rank, with_average_ranks
 from factorloom.operators.ic import LABEL, daily_rank_ic, ic_summary, rank_correlation, yearly_ic
 from factorloom.operators.xsection import CELL, FACTOR, VALUE
@@ -153,9 +153,9 @@ def profile_cells(long: DataFrame, groups: int = 5, mode: str = "even", min_name
     """Per date and factor: rank IC ``ic`` (null below ``min_names`` pairs), and label sums and counts of every bucket."""
     pair = F.col(LABEL).isNotNull()
     rows = long.select(*CELL, VALUE, LABEL).where(F.col(VALUE).isNotNull())
-    ranked = with_average_ranks(rows, CELL, {VALUE: "_rank", LABEL: "_ry"}, "_total", {VALUE: ("_rx", pair)})
-    bucket = _bucket(F.col("_rank"), F.col("_total"), groups, mode)
-    rho = correlation(F.col("_rx"), F.col("_ry"), min_count=min_names)
+    ranked = with_average_ranks(rows, CELL, {VALUE: "_rank", LABEL: "_ry"}, "_total", {VALUE: ("_rx", pair)}, doubled=True)
+    bucket = _bucket(F.col("_rank") / 2, F.col("_total"), groups, mode)
+    rho = rank_product_moment(F.col("_rx"), F.col("_ry"), min_names)
     inside = {b: (bucket == b) & pair for b in range(1, groups + 1)}
     return ranked.groupBy(*CELL).agg(
         rho.alias("ic"),

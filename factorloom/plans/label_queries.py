@@ -150,10 +150,13 @@ def median_sql(source: str, name: str) -> str:
 
 
 def rank_sql(source: str, name: str) -> str:
-    return f"""{name} AS (SELECT datetime, instrument, factor, label,
-      {average_rank('value', 'datetime, factor')} / count(*) OVER (PARTITION BY datetime, factor) * 2 - 1 AS value
-      FROM {source} WHERE value IS NOT NULL
-      UNION ALL SELECT datetime, instrument, factor, label, value FROM {source} WHERE value IS NULL)"""
+    """Ranks from running counts of the distinct values."""
+    return f"""{name} AS (SELECT s.datetime, instrument, s.factor, label, (2 * upto - c + 1) / 2.0::DOUBLE / total * 2 - 1 AS value
+      FROM {source} s LEFT JOIN (
+        SELECT *, sum(c) OVER (PARTITION BY datetime, factor ORDER BY value ROWS UNBOUNDED PRECEDING)::BIGINT AS upto,
+               sum(c) OVER (PARTITION BY datetime, factor)::BIGINT AS total
+        FROM (SELECT datetime, factor, value, count(*) AS c FROM {source} WHERE value IS NOT NULL GROUP BY 1, 2, 3)) p
+      ON s.datetime = p.datetime AND s.factor = p.factor AND s.value = p.value)"""
 
 
 def zscore_sql(source: str, name: str) -> str:

@@ -31,7 +31,7 @@ _STAGED = STAGED.replace("\ns AS (", "\nstaged AS (").replace("AS rv FROM s)", "
 LONG = f"""{_STAGED},
 fw AS (SELECT instrument, datetime, lead(close, 1) OVER h / close - 1 AS label, {', '.join(f'{e} AS {n}' for n, e in _ALL.items())}
   FROM x WINDOW {window_frames()}),
-fr AS (SELECT instrument, datetime, label, {', '.join(f'round({n}, {DIGITS}) AS {n}' for n in _ALL)} FROM fw),
+fr AS (SELECT instrument, datetime, label, {', '.join(f'{n}' for n in _ALL)} FROM fw),
 long AS (SELECT * FROM fr UNPIVOT INCLUDE NULLS (value FOR factor IN ({', '.join(_ALL)})))"""
 DAILY = f"{LONG}, {rank_ic('ic0', 'long', 'datetime, factor', min_count=2)}, daily AS (SELECT * FROM ic0 WHERE ic IS NOT NULL)"
 
@@ -41,7 +41,7 @@ def library(spark, sf_dir):
     labelled = labels.with_forward_returns(bars(spark, sf_dir), (1,))
     table = factors.factor_table(labelled, keep=("instrument", "datetime", "label_1d")).withColumnRenamed("label_1d", "label")
     long = to_long(table, factors.factor_names(), ["label"])
-    return stored(long.withColumn("value", F.round("value", DIGITS)), "library")
+    return stored(long, "library")
 
 
 @query("library_ic_daily", f"WITH {DAILY} SELECT datetime, factor, {r('ic', 'ic')}, n FROM daily")

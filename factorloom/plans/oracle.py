@@ -50,9 +50,20 @@ def average_rank(column: str, by: str) -> str:
     return f"(rank() OVER ({part} ORDER BY {column}) + (count(*) OVER ({ties}) - 1) / 2.0::DOUBLE)"
 
 
+def doubled_rank(column: str, by: str) -> str:
+    """Twice the average rank among the group's rows, a whole number; the column must not be null."""
+    return f"(2 * rank() OVER (PARTITION BY {by} ORDER BY {column}) + count(*) OVER (PARTITION BY {by}, {column}) - 1)"
+
+
 def rank_ic(name: str, source: str, by: str, x: str = "value", y: str = "label", min_count: int = 2, out: str = "ic") -> str:
-    """CTEs ending in ``name``: rank correlation and count per group."""
+    """CTEs ending in ``name``: rank correlation and count per group, from whole-number moments."""
     return f"""{name}_r AS (
-  SELECT {by}, {average_rank('x', by)} AS rx, {average_rank('y', by)} AS ry
+  SELECT {by}, {doubled_rank('x', by)} AS rx, {doubled_rank('y', by)} AS ry
   FROM (SELECT {by}, {x} AS x, {y} AS y FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)),
-{name} AS (SELECT {by}, {corr('rx', 'ry', '', min_count)} AS {out}, count(*) AS n FROM {name}_r GROUP BY {by})"""
+{name}_m AS (
+  SELECT {by}, count(*) AS n, sum(rx) AS sx, sum(ry) AS sy, sum(rx * rx) AS sxx, sum(ry * ry) AS syy, sum(rx * ry) AS sxy
+  FROM {name}_r GROUP BY {by}),
+{name} AS (
+  SELECT {by}, CASE WHEN n >= {min_count} AND n * sxx > sx * sx AND n * syy > sy * sy
+    THEN (n * sxy - sx * sy)::DOUBLE / (sqrt((n * sxx - sx * sx)::DOUBLE) * sqrt((n * syy - sy * sy)::DOUBLE)) END AS {out}, n
+  FROM {name}_m)"""

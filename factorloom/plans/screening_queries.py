@@ -77,10 +77,10 @@ def ic_rolling(spark, sf_dir):
 
 @query(
     "ic_oriented_signal",
-    f"""WITH {DAILY5}, d AS (SELECT factor, CASE WHEN avg(ic) < 0 THEN -1 ELSE 1 END AS direction FROM daily
-      WHERE datetime < DATE '1999-01-01' GROUP BY factor)
-    SELECT l.datetime, l.instrument, l.factor, {r('l.value * d.direction', 'value')}, d.direction::BIGINT AS direction
-    FROM long l JOIN d ON l.factor = d.factor WHERE l.datetime >= DATE '1999-01-01'""",
+    f"""WITH {DAILY5}, d AS (SELECT factor, sum(ic) FILTER (WHERE datetime < DATE '1999-01-01') AS validation FROM daily GROUP BY factor)
+    SELECT datetime, instrument, factor, {r('CASE WHEN validation < 0 THEN -value ELSE value END', 'value')},
+           CASE WHEN validation < 0 THEN -1 ELSE 1 END::BIGINT AS direction
+    FROM long LEFT JOIN d USING (factor) WHERE datetime >= DATE '1999-01-01' AND validation IS NOT NULL""",
 )
 def ic_oriented_signal(spark, sf_dir):
     """Signals flipped by the sign of their IC in the earlier period."""

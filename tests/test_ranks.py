@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.functions.bins import with_quantile_bin
-from factorloom.functions.ranks import group_quantiles, value_slice, with_average_ranks, with_ordinal
+from factorloom.functions import ranks
+from factorloom.functions.ranks import divided_slices, group_quantiles, value_slice, with_average_ranks, with_ordinal
+from factorloom.operators import ic
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +82,51 @@ def test_slices_never_decrease(spark):
     rows = spark.createDataFrame([(float(v),) for v in values], "x double").withColumn("s", value_slice(F.col("x")))
     slices = rows.toPandas().sort_values("x", kind="stable")["s"].tolist()
     assert slices == sorted(slices)
+
+
+@pytest.mark.parametrize("pooled", [False, True])
+def test_doubled_ranks_are_twice_the_ranks(frame, pooled, monkeypatch):
+    monkeypatch.setattr(ranks, "SLICE_VALUES", 20)
+    pdf, df = frame
+    ranked = with_average_ranks(df, ["g"], {"x": "rx", "y": "ry"}, pooled=pooled, doubled=True)
+    assert dict(ranked.dtypes)["rx"] == "bigint"
+    expected = 2 * pdf.set_index(["g", "k"]).groupby("g")["x"].rank().sort_index()
+    pd.testing.assert_series_equal(_indexed(ranked, "rx").astype(float), expected, check_names=False)
+
+
+def test_narrow_band_is_spread_evenly(spark):
+    """A million values in one fixed slice, most of them within a billionth beside a far one: every task gets its share."""
+    x = 1 + F.rand(1) * F.when(F.col("id") % 10 == 0, 1e-2).otherwise(1e-9)
+    rows = spark.range(1_000_000).select(F.lit("hot").alias("g"), x.alias("x")).withColumn("_slice", value_slice(F.col("x")))
+    assert rows.where("x < 1.01").groupBy("g", "_slice").count().agg(F.max("count")).first()[0] > 900_000
+    cut = divided_slices(rows, ["g"], "x", 4096).persist()
+    held = cut.groupBy("g", "_slice").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("_slice").collect()
+    assert max(r.n for r in held) <= 4096
+    assert all(a.hi < b.lo for a, b in zip(held, held[1:]))
+    tasks = [r["count"] for r in cut.repartition(8, "g", "_slice").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == 8 and max(tasks) < 1.5 * 125_000
+    cut.unpersist()
+
+
+def test_ic_is_zero_exactly_where_arithmetic_says_so(spark):
+    """Two dates with an IC of 0, whose floating-point value may have either sign, and one above it."""
+    zero = [(1.0, 2.0), (2.0, 4.0), (3.0, 1.0), (4.0, 3.0)]
+    flat = [(float(k), float(v)) for k, v in zip((1, 2, 3, 4, 5, 6, 7), (4, 1, 6, 7, 5, 2, 3))]
+    flat = flat if np.isclose(np.corrcoef(*zip(*flat))[0, 1], 0) else zero
+    up = [(1.0, 1.0), (2.0, 3.0), (3.0, 2.0), (4.0, 4.0)]
+    rows = [(f"199{d}-01-01", "f", x, y) for d, part in enumerate((zero, flat, up)) for x, y in part]
+    rows += [("1990-01-01", "f", None, 1.0), ("1990-01-01", "f", 2.0, None)]
+    long = spark.createDataFrame(rows, "datetime string, factor string, value double, label double")
+    daily = {r.datetime: r.ic for r in ic.daily_rank_ic(long, 2).collect()}
+    assert daily["1990-01-01"] == 0.0 and daily["1991-01-01"] == 0.0 and daily["1992-01-01"] == pytest.approx(0.8)
+    assert ic.ic_summary(ic.daily_rank_ic(long, 2)).first().win_rate == pytest.approx(1 / 3)
+
+
+@pytest.mark.parametrize("pooled", [False, True])
+def test_rank_correlation_equals_pandas(frame, pooled):
+    pdf, df = frame
+    got = {r.g: (r.ic, r.n) for r in ic.rank_correlation(df, ["g"], "x", "y", pooled=pooled).collect()}
+    for g, part in pdf.dropna().groupby("g"):
+        rho = part["x"].rank().corr(part["y"].rank())
+        assert got[g][1] == len(part)
+        assert got[g][0] is None if np.isnan(rho) else got[g][0] == pytest.approx(rho, abs=1e-12)
