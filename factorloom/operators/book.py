@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.calendar import date_index, join_dates, with_date_index
 from factorloom.functions.frames import DATE, INSTRUMENT, so_far
 from factorloom.functions.numeric import div
+from factorloom.operators.scans import maximum, product, running
 
 YEAR = 252
 
@@ -113,15 +114,31 @@ def topk_backtest(
     )
 
 
-def cumulative(series: DataFrame, value: str, by: Sequence[str] = (), out: str = "cumulative") -> DataFrame:
-    """Running product of ``1 + value`` over the dates of each series; missing values are left out."""
+def cumulative(
+    series: DataFrame, value: str, by: Sequence[str] = (), out: str = "cumulative", block: Column | None = None
+) -> DataFrame:
+    """Running product of ``1 + value`` over the dates of each series; missing values are left out.
+
+    ``block``, a non-decreasing function of the date, splits long series without changing the result.
+    """
     spec = so_far(Window.partitionBy(*by).orderBy(DATE))
     known = series.where(F.col(value).isNotNull())
+    if block is not None:
+        return running(known, {out: product(1 + F.col(value))}, by, DATE, block)
     return known.withColumn(out, F.product(1 + F.col(value)).over(spec))
 
 
-def drawdown(series: DataFrame, cumulative_column: str = "cumulative", by: Sequence[str] = (), out: str = "drawdown") -> DataFrame:
-    """Cumulative value relative to its running maximum, minus one."""
+def drawdown(
+    series: DataFrame,
+    cumulative_column: str = "cumulative",
+    by: Sequence[str] = (),
+    out: str = "drawdown",
+    block: Column | None = None,
+) -> DataFrame:
+    """Cumulative value relative to its running maximum, minus one; ``block`` as for ``cumulative``."""
+    if block is not None:
+        peaks = running(series, {"_peak": maximum(F.col(cumulative_column))}, by, DATE, block)
+        return peaks.withColumn(out, div(F.col(cumulative_column), F.col("_peak")) - 1).drop("_peak")
     spec = so_far(Window.partitionBy(*by).orderBy(DATE))
     peak = F.max(cumulative_column).over(spec)
     return series.withColumn(out, div(F.col(cumulative_column), peak) - 1)

@@ -12,6 +12,7 @@ from factorloom.functions.calendar import date_index, join_dates
 from factorloom.functions.frames import DATE, INSTRUMENT, so_far
 from factorloom.functions.numeric import div
 from factorloom.functions.ranks import group_quantiles
+from factorloom.operators.scans import last_known, running
 
 # Price and volume columns, which are never filled forward.
 NEVER_FILLED = ("open", "high", "low", "close", "volume", "amount", "pre_close")
@@ -59,11 +60,15 @@ def forward_fill(
     key: str = INSTRUMENT,
     date: str = DATE,
     limit: int | None = None,
+    block: Column | None = None,
 ) -> DataFrame:
     """Carry the last known value forward, over at most ``limit`` rows if given.
 
-    ``df`` has one row per key and date, so a key's window is bounded by the calendar.
+    ``df`` has one row per key and date, so a key's window is bounded by the calendar. For longer histories ``block``, a
+    non-decreasing function of the date, splits an unlimited fill into blocks with the same result.
     """
+    if block is not None and limit is None:
+        return running(df, {c: last_known(c, date) for c in columns}, [key], date, block)
     spec = Window.partitionBy(key).orderBy(date)
     frame = so_far(spec) if limit is None else spec.rowsBetween(-limit, Window.currentRow)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(frame) for c in columns})

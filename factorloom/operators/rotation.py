@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from factorloom.functions.calendar import date_index, month_end_dates, with_date_index
 from factorloom.functions.frames import DATE, INSTRUMENT, full, history, trailing
 from factorloom.functions.numeric import div
+from factorloom.operators.history import number_rows
+from factorloom.operators.scans import decayed_means
 
 SMA_ROWS = 20
 
@@ -18,32 +20,14 @@ SMA_ROWS = 20
 # --- features -------------------------------------------------------------------------
 
 
-def ema(value: str, span: int, spec: WindowSpec) -> Column:
-    """Exponential mean with decay 1 - 2/(span+1), weights normalised over the rows seen.
-
-    The frame holds ten spans; earlier rows would weigh less than 1e-8 together.
-    """
-    decay = 1 - 2 / (span + 1)
-    seen = F.collect_list(F.struct(F.col(value).alias("x"))).over(trailing(spec, 10 * span))
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-
-    def step(acc: Column, row: Column) -> Column:
-        known = row["x"].isNotNull()
-        return F.struct(
-            (acc["num"] * decay + F.when(known, row["x"]).otherwise(0.0)).alias("num"),
-            (acc["den"] * decay + F.when(known, 1.0).otherwise(0.0)).alias("den"),
-        )
-
-    return F.aggregate(seen, start, step, lambda acc: div(acc["num"], acc["den"]))
-
-
 def rotation_features(bars: DataFrame) -> DataFrame:
-    """EMA gaps, 20-row momentum, RSI, range and volume measures of each asset."""
+    """EMA gaps over the whole history, 20-row momentum, RSI, range and volume measures of each asset."""
     spec = history()
     c, h, low, v = (F.col(x) for x in ("close", "high", "low", "volume"))
     change = c - F.lag("close").over(spec)
     prior = F.col("_prior")
-    staged = bars.withColumns(
+    numbered = number_rows(bars, F.year(DATE))
+    staged = decayed_means(numbered, {"_ema_20": ("close", 20), "_ema_60": ("close", 60)}, [INSTRUMENT]).withColumns(
         {
             "_prior": F.lag("close").over(spec),
             # The missing first change counts as neither gain nor loss.
@@ -60,8 +44,8 @@ def rotation_features(bars: DataFrame) -> DataFrame:
     return staged.select(
         INSTRUMENT,
         DATE,
-        (div(ema("close", 20, spec), c) - 1).alias("ema_diff_20"),
-        (div(ema("close", 60, spec), c) - 1).alias("ema_diff_60"),
+        (div(F.col("_ema_20"), c) - 1).alias("ema_diff_20"),
+        (div(F.col("_ema_60"), c) - 1).alias("ema_diff_60"),
         (div(c, F.lag("close", 20).over(spec)) - 1).alias("roc_20"),
         (100 - div(F.lit(100.0), 1 + strength)).alias("rsi_14"),
         div(mean("_range", f20, 20), c + 1e-9).alias("atr_norm_20"),

@@ -18,6 +18,7 @@ from factorloom.functions.numeric import correlation, div, finite
 from factorloom.functions.ranks import with_average_rank
 from factorloom.operators.book import YEAR, cumulative, drawdown
 from factorloom.operators.ic import ic_summary, rank_correlation
+from factorloom.operators.scans import previous, product, running, total
 
 FACTOR, QUANTILE, PERIOD = "factor", "quantile", "period"
 # Viability thresholds and the |IC| level that is reported.
@@ -39,14 +40,23 @@ def clean_factor(factor: DataFrame, order: str, value: str = FACTOR) -> DataFram
     return rows.groupBy(DATE, INSTRUMENT).agg(F.max_by(FACTOR, order).alias(FACTOR))
 
 
-def price_paths(returns: DataFrame, ret: str = "ret", held: str | None = None) -> DataFrame:
+def price_paths(returns: DataFrame, ret: str = "ret", held: str | None = None, block: Column | None = None) -> DataFrame:
     """Price path compounded from returns, starting again at 1.0 after every gap.
 
     A row without return (or without ``held`` contract) has no price, and the first row after it
-    ignores its own return.
+    ignores its own return. ``block``, a non-decreasing function of the date, splits long histories without changing the result.
     """
     spec = Window.partitionBy(INSTRUMENT).orderBy(DATE)
     gap = F.col(ret).isNull() if held is None else F.col(ret).isNull() | F.col(held).isNull()
+    if block is not None:
+        # Gaps so far number the runs; within a run the first row after the gap grows by nothing.
+        marked = returns.withColumn("_gap", gap)
+        scans = {"_run": total(F.col("_gap").cast("int")), "_after": previous(F.col("_gap"), DATE)}
+        runs = running(marked, scans, [INSTRUMENT], DATE, block)
+        first = F.coalesce("_after", F.lit(True))
+        growth = F.when(~F.col("_gap"), F.when(first, 1.0).otherwise(1 + F.col(ret)))
+        paths = running(runs, {"_price": product(growth)}, [INSTRUMENT, "_run"], DATE, block)
+        return paths.select(INSTRUMENT, DATE, F.when(~F.col("_gap"), F.col("_price")).alias("price"))
     runs = returns.withColumn("_gap", gap).withColumn("_run", F.sum(F.col("_gap").cast("int")).over(spec))
     inside = Window.partitionBy(INSTRUMENT, "_run", "_gap").orderBy(DATE)
     growth = F.when(F.row_number().over(inside) == 1, 1.0).otherwise(1 + F.col(ret))

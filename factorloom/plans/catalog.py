@@ -8,6 +8,7 @@ from factorloom.plans import (  # noqa: F401
     model_queries,
     portfolio_queries,
     rotation_queries,
+    scan_queries,
     screening_queries,
     streaming_queries,
 )
