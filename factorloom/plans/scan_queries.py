@@ -61,13 +61,13 @@ _SPAN, _REACH = 20, 1000
     s AS (SELECT *, sum(price * g) OVER w / g AS num, sum(g) FILTER (WHERE price IS NOT NULL) OVER w / g AS den FROM p
           WINDOW w AS (PARTITION BY flag, b ORDER BY i ROWS UNBOUNDED PRECEDING)),
     e AS (SELECT flag, b + 1 AS b, num AS num0, den AS den0 FROM s WHERE i = {_REACH} - 1)
-    SELECT flag, seq, {r(f'(coalesce(num, 0) + coalesce(num0, 0) * pow({_SPAN - 1} / {_SPAN + 1}.0::DOUBLE, i + 1)) / nullif(coalesce(den, 0) + coalesce(den0, 0) * pow({_SPAN - 1} / {_SPAN + 1}.0::DOUBLE, i + 1), 0)', 'mean', 4)}
+    SELECT flag, seq, {r(f'(coalesce(num, 0) + coalesce(num0, 0) * pow({_SPAN - 1} / {_SPAN + 1}.0::DOUBLE, i + 1)) / nullif(coalesce(den, 0) + coalesce(den0, 0) * pow({_SPAN - 1} / {_SPAN + 1}.0::DOUBLE, i + 1), 0)', 'mean', 3)}
     FROM s LEFT JOIN e USING (flag, b)""",
 )
 def decayed_mean(spark, sf_dir):
     """Exponential mean of the known prices of three long histories."""
     rows = number_rows(_ticks(spark, sf_dir), _blocks(), "flag", "seq")
-    return rounded(scans.decayed_means(rows, {"mean": ("price", _SPAN)}, ["flag"]).select("flag", "seq", "mean"), 4)
+    return rounded(scans.decayed_means(rows, {"mean": ("price", _SPAN)}, ["flag"]).select("flag", "seq", "mean"), 3)
 
 
 @query("ingest_forward_fill_blocked", QUERIES["ingest_forward_fill"].sql)
