@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from factorloom.functions.numeric import rounded
-from factorloom.operators import book, ic, models, splits
+from factorloom.functions.numeric import correlation, rounded
+from factorloom.operators import book, factors, gram, ic, labels, models, splits, xsection
 from factorloom.plans.oracle import CALENDAR, average_rank, r, rank_ic
 from factorloom.plans.panel import FACTORS, PANEL, long_panel, panel
 from factorloom.plans.registry import query
 from factorloom.plans.screening_queries import DAILY5, SUMMARY_COLUMNS, summary_sql
 from factorloom.sources.shared import stored
+from factorloom.sources.tables import bars
 
 BASE = f"{PANEL}, {CALENDAR}"
 
@@ -180,26 +181,36 @@ def model_book_metrics(spark, sf_dir):
 
 # --- models on MLlib ------------------------------------------------------------------
 #
-# Their numbers have no SQL form, so each query returns what can be stated without them: the rows that must have a
-# finite score, and the properties of the importances.
+# Their numbers have no SQL form, so they learn a planted label, a step of one factor that depends on the date's place in nothing else. SQL
+# states the rows, and that predictions follow the label on dates that the model never saw; a broken model does not.
 
-
-def _train(spark, sf_dir):
-    rows = panel(spark, sf_dir).where(F.col("label_1d").isNotNull())
-    return rows.where(F.col("datetime") < F.lit("1999-01-01").cast("date")), rows
+_DRIVER = "KSFT"
+_KNOWN = "label_1d IS NOT NULL AND KSFT IS NOT NULL"
+_LATER = "datetime >= DATE '1999-01-01'"
+_STEP = "CASE WHEN KSFT > 0.6 THEN 1.0 WHEN KSFT > 0.3 THEN 0.5 ELSE 0.0 END"
 
 
-def _scored(predictions, *keys: str):
-    finite_score = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < float("inf"))
-    return predictions.select(*keys, "datetime", "instrument", F.coalesce(finite_score, F.lit(False)).alias("scored"))
+def _train(spark, sf_dir):
+    rows = panel(spark, sf_dir).where(_KNOWN).withColumn("planted", F.expr(_STEP).cast("double"))
+    rows = stored(rows, "planted")
+    return rows.where(f"NOT {_LATER}"), rows
 
 
 def _model_query(name: str) -> None:
-    @query(f"model_{name}", f"WITH {PANEL} SELECT datetime, instrument, true AS scored FROM panel WHERE label_1d IS NOT NULL")
+    @query(
+        f"model_{name}",
+        f"""WITH {PANEL} SELECT datetime, count(*) AS n, true AS scored, true AS follows FROM panel WHERE {_KNOWN} AND {_LATER} GROUP BY 1""",
+    )
     def run(spark, sf_dir):
         train, rows = _train(spark, sf_dir)
-        fitted = models.MODELS[name](train, FACTORS, "label_1d")
-        return _scored(models.predict(fitted, rows, FACTORS))
+        predictions = models.predict(models.MODELS[name](train, FACTORS, "planted"), rows.where(_LATER), FACTORS, ("planted",))
+        finite_score = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < float("inf"))
+        pooled = correlation(F.col("prediction"), F.col("planted"))
+        # One row: the correlation over all later dates.
+        follows = bool(predictions.agg(F.coalesce(pooled > 0.7, F.lit(False))).first()[0])
+        return predictions.groupBy("datetime").agg(
+            F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce(finite_score, F.lit(False))).alias("scored"), F.lit(follows).alias("follows")
+        )
 
 
 for _name in models.MODELS:
@@ -208,30 +219,104 @@ for _name in models.MODELS:
 _NAMES = ", ".join(f"('{f}')" for f in FACTORS)
 
 
-@query("model_feature_importance", f"SELECT feature, true AS not_negative, 1.0::DOUBLE AS total FROM (VALUES {_NAMES}) t(feature) WHERE (SELECT count(*) FROM lineitem) > 0")
+def _scored(predictions, *keys: str):
+    finite_score = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < float("inf"))
+    return predictions.select(*keys, "datetime", "instrument", F.coalesce(finite_score, F.lit(False)).alias("scored"))
+
+
+_IMPORTANT = f"""SELECT feature, feature = '{_DRIVER}' AS largest, true AS not_negative, (SELECT count(*) FROM panel WHERE {_KNOWN}) AS n
+    FROM (VALUES {_NAMES}) t(feature)"""
+
+
+def _ranked_importance(table, rows):
+    """``feature``, whether it is the most important one, and how many rows were there."""
+    most = F.max("importance").over(Window.partitionBy(F.lit(0)))
+    return table.select(
+        "feature", (F.col("importance") == most).alias("largest"), (F.col("importance") >= -0.05).alias("not_negative"), F.lit(rows.count()).cast("bigint").alias("n")
+    )
+
+
+@query("model_feature_importance", f"WITH {PANEL} {_IMPORTANT}")
 def feature_importance(spark, sf_dir):
-    """Importances of all features: none negative, and they sum to one."""
-    train, _ = _train(spark, sf_dir)
-    table = models.feature_importance(models.boosted_regressor(train, FACTORS, "label_1d"), FACTORS)
-    total = F.round(F.sum("importance").over(Window.partitionBy()), 6)
-    return table.select("feature", (F.col("importance") >= 0).alias("not_negative"), total.alias("total"))
+    """Importances of the features for a planted label: none negative, the driver's the largest."""
+    train, rows = _train(spark, sf_dir)
+    table = models.feature_importance(models.boosted_regressor(train, FACTORS, "planted"), FACTORS)
+    return _ranked_importance(table, rows)
 
 
-@query("model_permutation_importance", f"SELECT feature, true AS known FROM (VALUES {_NAMES}) t(feature) WHERE (SELECT count(*) FROM lineitem) > 0")
+@query("model_permutation_importance", f"WITH {PANEL} {_IMPORTANT}")
 def permutation_importance(spark, sf_dir):
-    """Drop of the pooled IC for every feature; a rank correlation falls by two at most."""
+    """Drop of the pooled IC for every feature: the driver's is the largest, and no shuffle helps by more than chance."""
     train, rows = _train(spark, sf_dir)
-    fitted = models.elastic_net(train, FACTORS, "label_1d", alpha=0.0001)
-    drops = models.permutation_importance(fitted, stored(rows, "rows"), FACTORS, "label_1d")
-    return drops.select("feature", (F.abs("importance") <= 2).alias("known"))
+    fitted = models.elastic_net(train, FACTORS, "planted", alpha=0.0001)
+    return _ranked_importance(models.permutation_importance(fitted, rows, FACTORS, "planted"), rows)
+
 
+# --- all windows from moment matrices ---------------------------------------------------
 
-@query("model_walk_forward", f"WITH {BASE}, {ROWS} SELECT DISTINCT datetime, instrument, true AS scored FROM wr WHERE role = 'oos'")
+_TWO = ("KMID", "ROC5")
+_TWO_SQL = f"""{ROWS}, tf AS (SELECT window_id, role, datetime, instrument, label_1d AS y, coalesce(KMID, 0) AS a, coalesce(ROC5, 0) AS b FROM wr),
+ce AS (SELECT window_id, count(*) AS n, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_,
+       avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM tf WHERE role = 'train' GROUP BY 1),
+be AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM ce)"""
+
+
+@query(
+    "model_two_factor_windows",
+    f"""WITH {BASE}, {_TWO_SQL} SELECT window_id, role, datetime, instrument, n, {r('my + wa * (a - ma) + wb * (b - mb)', 'prediction')}
+    FROM tf JOIN be USING (window_id) WHERE role <> 'train'""",
+)
+def two_factor_windows(spark, sf_dir):
+    """Least squares on two factors in every window, from the windows' moment matrices."""
+    rows = stored(panel(spark, sf_dir), "panel")
+    days = gram.window_days(_windows(rows))
+    rows = rows.where(F.col("label_1d").isNotNull())
+    fitted = stored(gram.window_models(rows, days, _TWO, "label_1d", {"line": (0.0, 0.0)}), "lines")
+    found = gram.window_predictions(rows, days, _TWO, "label_1d", fitted).join(fitted.select("window_id", "n"), "window_id")
+    return rounded(found.select("window_id", "role", "datetime", "instrument", "n", "prediction"))
+
+
+def prepared_library(spark, sf_dir):
+    """All 158 factors and the label, one row per bar: per date winsorised, imputed by the median and ranked."""
+    labelled = labels.with_forward_returns(bars(spark, sf_dir), (1,))
+    table = factors.factor_table(labelled, keep=("instrument", "datetime", "label_1d"))
+    long = xsection.preprocess(stored(xsection.to_long(table, factors.factor_names(), ["label_1d"]), "library"))
+    return stored(xsection.to_wide(long, factors.factor_names(), ["label_1d"]), "prepared")
+
+
+#: Model: penalty, and the share of it that is absolute.
+LINEAR = {"ridge": (0.01, 0.0), "elastic_net": (0.01, 0.2), "lasso": (0.001, 1.0)}
+
+
+@query(
+    "model_walk_forward",
+    f"""WITH {BASE}, {ROWS}, o AS (SELECT DISTINCT datetime, instrument FROM wr WHERE role = 'oos')
+    SELECT model, datetime, instrument, true AS scored FROM o, (VALUES {', '.join(f"('{m}')" for m in LINEAR)}) t(model)""",
+)
 def walk_forward(spark, sf_dir):
-    """An elastic net for each of the windows; every row of every out-of-sample range has a score."""
-    rows = stored(_window_rows(spark, sf_dir), "windows")
-    predictions = models.walk_forward(rows, FACTORS, "label_1d", models.elastic_net)
-    return _scored(splits.concatenated_signals(predictions.where("role = 'oos'")))
+    """Three linear models of all 158 factors in each of the windows; every row of every out-of-sample range has a score."""
+    prepared = prepared_library(spark, sf_dir)
+    rows = prepared.where(F.col("label_1d").isNotNull())
+    predictions = gram.walk_forward(rows, _windows(prepared), factors.factor_names(), "label_1d", LINEAR)
+    return _scored(splits.concatenated_signals(predictions.where("role = 'oos'"), by=("model",)), "model")
+
+
+#: A label made of two factors, which linear models of all factors must find again.
+_PLANTED = "2 * coalesce(RANK20, 0) - coalesce(KSFT, 0)"
+
+
+@query(
+    "model_walk_forward_planted",
+    f"""WITH {BASE}, {ROWS} SELECT model, window_id, role, count(*) AS n, true AS follows
+    FROM wr, (VALUES {', '.join(f"('{m}')" for m in LINEAR)}) t(model) WHERE role <> 'train' GROUP BY ALL""",
+)
+def walk_forward_planted(spark, sf_dir):
+    """The same models on a label made of two of the 158 factors: predictions of all windows follow it closely."""
+    prepared = prepared_library(spark, sf_dir)
+    rows = prepared.where(F.col("label_1d").isNotNull()).withColumn("planted", F.expr(_PLANTED))
+    predictions = gram.walk_forward(rows, _windows(prepared), factors.factor_names(), "planted", LINEAR)
+    close = F.abs(correlation(F.col("prediction"), F.col("planted")) - 1) < 0.02
+    return predictions.groupBy("model", "window_id", "role").agg(F.count(F.lit(1)).alias("n"), F.coalesce(close, F.lit(False)).alias("follows"))
 
 
 # --- choice ---------------------------------------------------------------------------
