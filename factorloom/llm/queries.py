@@ -130,8 +130,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEAR = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS words
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
   FROM documents),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(words[p:p + 3], ' ')) AS s
       FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS p FROM d WHERE len(words) > 0)),
