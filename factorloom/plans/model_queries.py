@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.numeric import correlation, rounded
-from factorloom.operators import book, factors, gram, ic, labels, models, splits, xsection
+from factorloom.operators import book, factors, gram, ic, labels, models, ranking, splits, xsection
 from factorloom.plans.oracle import CALENDAR, average_rank, r, rank_ic
 from factorloom.plans.panel import FACTORS, PANEL, long_panel, panel
 from factorloom.plans.registry import query
@@ -216,6 +216,22 @@ def _model_query(name: str) -> None:
 for _name in models.MODELS:
     _model_query(_name)
 
+
+@query(
+    "model_pairwise_ranker",
+    f"""WITH {PANEL}, v AS (SELECT datetime, {_STEP} AS planted FROM panel WHERE {_KNOWN} AND {_LATER}),
+    s AS (SELECT datetime, planted, count(*) AS n FROM v GROUP BY 1, 2)
+    SELECT a.datetime, sum(a.n * b.n)::BIGINT AS n_pairs, true AS concordant FROM s a JOIN s b ON a.datetime = b.datetime AND a.planted > b.planted GROUP BY 1""",
+)
+def pairwise_ranker(spark, sf_dir):
+    """A linear scorer trained on pairs of names: on later dates nine in ten pairs of different labels are in the right order."""
+    train, rows = _train(spark, sf_dir)
+    model = ranking.pairwise_scorer(train, FACTORS, "planted", min_names=5)
+    later = ranking.predict(model, rows.where(_LATER), ("planted",))
+    found = ranking.concordance(later, "planted")
+    return found.select("datetime", "n_pairs", (F.col("concordance") > 0.9).alias("concordant"))
+
+
 _NAMES = ", ".join(f"('{f}')" for f in FACTORS)
 
 
