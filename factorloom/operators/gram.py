@@ -63,6 +63,7 @@ def _rows(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 def segment_moments(rows: DataFrame, windows: list[dict], features: Sequence[str], label: str) -> DataFrame:
     """``line, segment, values``: line ``line`` of each segment's moment matrix of (1, features, label), summed over all tasks."""
     features, width = list(features), len(features) + 2
+    rows = rows if windows else rows.where("false")
     cuts = np.array(sorted({d for w in windows for d in (w["train_start"], w["train_end"] + 1)}))
     used = [any(w["train_start"] <= cut <= w["train_end"] for w in windows) for cut in cuts]
     schema = "slot int, line int, segment int, values array<double>"

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factorloom.functions.calendar import date_index
+from factorloom.functions.calendar import date_index, join_dates
 from factorloom.functions.numeric import rounded
-from factorloom.operators import ingest, rotation
+from factorloom.operators import ingest, labels, rotation
+from factorloom.plans.label_queries import QUINTILES, quantile_bin_sql
 from factorloom.plans.oracle import BARS, HISTORY, frame, full, r
 from factorloom.plans.registry import query
 from factorloom.sources import tables
+from factorloom.sources.shared import stored
 
 BASKETS = BARS.replace("l_suppkey AS instrument", "s_nationkey::BIGINT AS instrument").replace(
     "FROM lineitem)", "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"
@@ -140,15 +142,18 @@ def _filled_sql(source: str, name: str, by: str, budget: str, out: str) -> str:
       FROM {name}_o o LEFT JOIN {name}_c USING ({by}))"""
 
 
-CAPPED_SQL = f"""{BASKETS}, sco AS (SELECT * FROM (SELECT datetime, instrument, close / lag(close, 20) OVER h - 1 AS score FROM bars WINDOW {HISTORY}) WHERE score IS NOT NULL),
-    tp AS (SELECT datetime, instrument, greatest(score, 0) AS score FROM sco QUALIFY row_number() OVER (PARTITION BY datetime ORDER BY score DESC, instrument) <= 4),
+#: From scores, ``sco``, to weights, ``alo``.
+ALLOCATED = f"""tp AS (SELECT datetime, instrument, greatest(score, 0) AS score FROM sco QUALIFY row_number() OVER (PARTITION BY datetime ORDER BY score DESC, instrument) <= 4),
     sh AS (SELECT *, score / total + 1e-9::DOUBLE AS share, instrument IN (1, 2) AS grp FROM (SELECT *, sum(score) OVER (PARTITION BY datetime) AS total FROM tp) WHERE total > 1e-9),
     {_filled_sql('sh', 'al', 'datetime', '1.0::DOUBLE', 'w_alone')},
     ov AS (SELECT *, sum(CASE WHEN grp THEN w_alone ELSE 0 END) OVER (PARTITION BY datetime) > 0.2::DOUBLE AS crowded FROM al),
     {_filled_sql('ov', 'spl', 'datetime, grp', 'CASE WHEN grp THEN 0.2::DOUBLE ELSE 0.8::DOUBLE END', 'w_split')},
-    w AS (SELECT datetime, instrument, CASE WHEN crowded THEN w_split ELSE w_alone END AS w FROM spl)
-    SELECT datetime, instrument, {r('w / sum(w) OVER (PARTITION BY datetime)', 'weight')} FROM w
-    UNION ALL SELECT datetime, instrument, 1.0::DOUBLE FROM sco WHERE instrument = {FALLBACK} AND datetime NOT IN (SELECT datetime FROM sh)"""
+    w AS (SELECT datetime, instrument, CASE WHEN crowded THEN w_split ELSE w_alone END AS w FROM spl),
+    alo AS (SELECT datetime, instrument, w / sum(w) OVER (PARTITION BY datetime) AS weight FROM w
+      UNION ALL SELECT datetime, instrument, 1.0::DOUBLE FROM sco WHERE instrument = {FALLBACK} AND datetime NOT IN (SELECT datetime FROM sh))"""
+
+CAPPED_SQL = f"""{BASKETS}, sco AS (SELECT * FROM (SELECT datetime, instrument, close / lag(close, 20) OVER h - 1 AS score FROM bars WINDOW {HISTORY}) WHERE score IS NOT NULL),
+    {ALLOCATED} SELECT datetime, instrument, {r('weight', 'weight')} FROM alo"""
 
 
 @query("rotation_capped_allocation", f"WITH {CAPPED_SQL}")
@@ -157,3 +162,54 @@ def capped_allocation(spark, sf_dir):
     features = rotation.rotation_features(tables.basket_bars(spark, sf_dir))
     scores = features.where(F.col("roc_20").isNotNull()).select("datetime", "instrument", F.col("roc_20").alias("score"))
     return rounded(rotation.capped_allocation(scores, [1, 2], [FALLBACK]))
+
+
+# --- a model per rebalance date ---------------------------------------------------------
+#
+# Bars are months here, so windows, purge and horizon are shorter than for daily bars. Two features without a penalty have a closed form.
+
+_TRAIN_ROWS, _PURGE, _HORIZON = 36, 3, 3
+_TWO = ("roc_20", "rsi_14")
+SCORED = f"""px AS (SELECT *, close / lag(close) OVER h - 1 AS ret, greatest(close - lag(close) OVER h, 0) AS up, greatest(lag(close) OVER h - close, 0) AS down FROM bars WINDOW {HISTORY}),
+pf AS (SELECT instrument, datetime, close / lag(close, 20) OVER h - 1 AS a,
+    100 - 100 / (1 + ({full('avg(coalesce(up, 0))', 'close', 'w14', 14)}) / (({full('avg(coalesce(down, 0))', 'close', 'w14', 14)}) + 1e-9)) AS b,
+    (lead(close, {_HORIZON}) OVER h / close - 1) / (CASE WHEN count(ret) OVER n >= {_HORIZON} THEN stddev_samp(ret) OVER n END * sqrt({_HORIZON}.0::DOUBLE) + 1e-9) AS y
+  FROM px WINDOW {HISTORY}, {frame('w14', 14)}, n AS (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN 1 FOLLOWING AND {_HORIZON} FOLLOWING)),
+pk AS (SELECT * FROM pf WHERE a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL),
+pe AS (SELECT datetime, {QUINTILES.format('y')} AS edges FROM pk GROUP BY 1),
+pt AS (SELECT pk.*, {quantile_bin_sql('y', 'edges', 5)}::DOUBLE AS t, date_idx FROM pk JOIN pe USING (datetime) JOIN cal USING (datetime)),
+rd AS (SELECT cal.* FROM cal JOIN (SELECT max(datetime) AS datetime FROM cal GROUP BY date_trunc('quarter', datetime)) USING (datetime) WHERE date_idx > {_TRAIN_ROWS + _PURGE}),
+pm AS (SELECT rd.datetime, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb, covar_pop(a, t) AS at_, covar_pop(b, t) AS bt, avg(a) AS ma, avg(b) AS mb, avg(t) AS mt
+  FROM rd JOIN pt ON pt.date_idx BETWEEN rd.date_idx - {_TRAIN_ROWS} AND rd.date_idx - {_PURGE} GROUP BY 1),
+pw AS (SELECT *, (at_ * bb - bt * ab) / (aa * bb - ab * ab) AS wa, (bt * aa - at_ * ab) / (aa * bb - ab * ab) AS wb FROM pm),
+sco AS (SELECT datetime, instrument, CASE WHEN a IS NULL OR b IS NULL THEN -999 ELSE mt + wa * (a - ma) + wb * (b - mb) END AS score FROM pf JOIN pw USING (datetime))"""
+
+
+def _trained_scores(spark, sf_dir):
+    bars = stored(tables.basket_bars(spark, sf_dir), "baskets")
+    label = labels.risk_adjusted_return(bars, _HORIZON)
+    rows = rotation.rotation_features(bars).join(label, ["instrument", "datetime"])
+    windows = rotation.training_windows(bars, _TRAIN_ROWS, _PURGE, "quarter")
+    return rotation.trained_scores(rows, windows, _TWO, "risk_adjusted", alpha=0.0)
+
+
+@query("rotation_trained_scores", f"WITH {GRID}, {SCORED} SELECT datetime, instrument, {r('score', 'score', 5)} FROM sco")
+def trained_scores(spark, sf_dir):
+    """Each rebalance date's assets, scored by a model of the window before it."""
+    return rounded(_trained_scores(spark, sf_dir), 5)
+
+
+@query(
+    "rotation_trained_returns",
+    f"""WITH {GRID}, {SCORED}, {ALLOCATED}, wts AS (SELECT date_idx, instrument, weight FROM alo JOIN cal USING (datetime)), {_in_force(0)},
+    nr AS (SELECT date_idx, instrument, lead(close) OVER h / close - 1 AS ret FROM tr WINDOW {HISTORY})
+    SELECT inf.datetime, {r('sum(weight * coalesce(ret, 0))', 'ret', 5)} FROM inf JOIN nr ON inf.date_idx = nr.date_idx AND inf.instrument = nr.instrument GROUP BY 1""",
+)
+def trained_returns(spark, sf_dir):
+    """From a model per rebalance date over capped weights to the portfolio's next returns."""
+    grid = _grid(spark, sf_dir)
+    calendar = date_index(grid)
+    weights = rotation.capped_allocation(stored(_trained_scores(spark, sf_dir), "scores"), [1, 2], [FALLBACK])
+    weights = join_dates(weights, calendar).select("date_idx", "instrument", "weight")
+    in_force = rotation.weights_in_force(weights, calendar.select("date_idx"), lag=0)
+    return rounded(rotation.portfolio_returns(in_force, rotation.next_returns(grid)), 5)
