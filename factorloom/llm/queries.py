@@ -185,11 +185,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 
 @query("op10_exact_dedup", _EXACT)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents enter a new index; the result is stored, so the index can go afterwards."""
+    """All documents enter a new index, in two batches by a hash of their id; the result is stored, so the index can go afterwards."""
     table = f"exact_dedup_{uuid.uuid4().hex}"
-    out = stored(exact_dedup.duplicates(spark, documents(spark, sf_dir), table), "exact-dedup")
-    spark.sql(f"DROP TABLE {table}")
-    return out
+    docs = documents(spark, sf_dir)
+    later = F.coalesce(F.xxhash64("doc_id") % 2 != 0, F.lit(False))
+    try:
+        return stored(exact_dedup.duplicates(spark, [docs.where(~later), docs.where(later)], table), "exact-dedup")
+    finally:
+        exact_dedup.drop_index(spark, table)
 
 
 def crc32_sql(text: str) -> str:

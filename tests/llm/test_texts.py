@@ -183,31 +183,63 @@ def brute_exact(rows):
     return out
 
 
+EXACT = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def test_exact_equals_brute_force(spark):
-    rows = ROWS + [(300, "a b"), (299, "ab "), (298, "a  b"), (297, "a b "), (310, "a b ")]
-    table = f"exact_test_{uuid.uuid4().hex}"
-    got = exact_dedup.duplicates(spark, documents(spark, rows, digest="x", kept=1), table).collect()
-    assert Counter(tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for r in got) == brute_exact(rows)
-    spark.sql(f"DROP TABLE {table}")
+    rows = ROWS + [(300, "a b"), (299, "ab "), (298, "a  b"), (297, "a b "), (310, "a b ")]
+    for parts in ([rows], [rows[::2], rows[1::2]], [rows[::3], [], rows[1::3], rows[2::3]]):
+        table = f"exact_test_{uuid.uuid4().hex}"
+        batches = [documents(spark, part, digest="x", kept=1, batch="y", _best=2) for part in parts]
+        got = exact_dedup.duplicates(spark, batches, table).collect()
+        exact_dedup.drop_index(spark, table)
+        assert Counter(tuple(r[c] for c in EXACT) for r in got) == brute_exact(rows)
+
+
+def _index(spark, table):
+    return sorted((r.keep_id, r.n_points, r.group_size) for r in exact_dedup.current(spark, table).collect())
 
 
-def test_index_takes_only_new_digests(spark):
+def test_known_digests_gain_rows_and_better_documents(spark):
     table = f"exact_test_{uuid.uuid4().hex}"
-    exact_dedup.append_new(exact_dedup.digests(documents(spark, [(1, "a"), (2, "b")])), table)
-    exact_dedup.append_new(exact_dedup.digests(documents(spark, [(3, "a "), (4, "c"), (5, "c")])), table)
-    exact_dedup.append_new(exact_dedup.digests(documents(spark, [])), table)
+    batches = {"x": [(1, "a"), (2, "b")], "y": [(3, "a "), (4, "c"), (5, "c")], "z": [], "w": [(0, "b"), (9, "c")], "v": [(6, "a ")]}
+    for name, rows in batches.items():
+        exact_dedup.append_new(exact_dedup.digests(documents(spark, rows)), table, name)
+    # The index took every digest once, and nothing was rewritten.
     assert sorted(r.keep_id for r in spark.table(table).collect()) == [1, 2, 4]
-    rows = exact_dedup.digests(documents(spark, [(9, "b")]))
-    assert exact_dedup.resolve(rows, spark.table(table)).first().keep_id == 2
-    plan = rows.join(spark.table(table).select("digest").hint("merge"), "digest", "left_anti")
-    assert "SelectedBucketsCount" in plan._jdf.queryExecution().toString()
-    spark.sql(f"DROP TABLE {table}")
+    want = [(0, 1, 2), (3, 2, 3), (4, 1, 3)]
+    assert _index(spark, table) == want
+    for name, rows in batches.items():  # every batch once more, as after a failure
+        exact_dedup.append_new(exact_dedup.digests(documents(spark, rows)), table, name)
+    assert _index(spark, table) == want
+    exact_dedup.drop_index(spark, table)
+
+
+def test_batch_interrupted_between_its_tables_is_completed(spark):
+    table = f"exact_test_{uuid.uuid4().hex}"
+    exact_dedup.append_new(exact_dedup.digests(documents(spark, [(1, "a")])), table, "x")
+    rows = exact_dedup.digests(documents(spark, [(2, "a"), (3, "b")]))
+    exact_dedup.append_new(rows.where("doc_id = 2"), table, "y")  # only what the changes get
+    exact_dedup.append_new(rows, table, "y")
+    assert _index(spark, table) == [(1, 1, 2), (3, 1, 1)]
+    exact_dedup.drop_index(spark, table)
+
+
+def test_new_batches_meet_the_buckets_in_a_sort_merge_anti_join(spark):
+    table = f"exact_test_{uuid.uuid4().hex}"
+    rows = exact_dedup.digests(documents(spark, [(1, "a"), (2, "b")]))
+    exact_dedup.append_new(rows, table, "x")
+    plan = exact_dedup.representatives(rows).join(spark.table(table).select("digest").hint("merge"), "digest", "left_anti")
+    text = plan._jdf.queryExecution().toString()
+    assert "SelectedBucketsCount" in text and "SortMergeJoin" in text and "LeftAnti" in text
+    exact_dedup.drop_index(spark, table)
 
 
 def test_exact_of_nothing_and_of_one_large_group(spark):
     for rows, n in (([], 0), ([(i, "same  text") for i in range(3000)] + [(5000, "other")], 3001)):
         table = f"exact_test_{uuid.uuid4().hex}"
-        got = exact_dedup.duplicates(spark, documents(spark, rows), table)
+        docs = documents(spark, rows)
+        got = exact_dedup.duplicates(spark, [docs.where("doc_id % 3 > 0"), docs.where("doc_id % 3 = 0")], table)
         assert got.count() == n and got.where("kept").count() == min(n, 2)
         assert got.where(F.col("group_size") == 3000).count() == max(0, n - 1)
-        spark.sql(f"DROP TABLE {table}")
+        exact_dedup.drop_index(spark, table)
