@@ -3,8 +3,9 @@
 No merge of a sentencepiece model crosses from another character into a space, nor touches a line break that no piece holds. So a
 text falls into pre-tokens whose lengths add up. Tier one is a table of the lengths of frequent pre-tokens, broadcast; its size is
 bounded by ``frequent``. Tier two is a bounded cache in each Python worker, which encodes what it misses. Pre-tokens are never
-shuffled: only each task's ``frequent`` most common ones are, to choose the table, and the table only saves time. For a
-``.json`` file whole texts go through its own library.
+shuffled. Which ones are frequent is judged from whole texts of a random sample of about ``SAMPLED`` documents, whatever the
+size of the table: that choice saves time and has no part in the counts, which are exact for every pre-token of every text. For
+a ``.json`` file whole texts go through its own library.
 
 Defined cases: a null text counts as empty and has no tokens; texts are counted whole, of any length; rows are independent, so
 repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -28,6 +29,9 @@ from factorloom.llm.shared import map_rows
 SPACE = "▁"
 CACHED_TOKENS = 300_000
 CACHED_LENGTH = 40
+#: Documents that the choice of the frequent pre-tokens looks at, and the tasks that do.
+SAMPLED = 2_000
+SAMPLE_TASKS = 8
 SEGMENTS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -93,10 +97,10 @@ def counter(path: str, table: dict[str, int]) -> Callable[[str], int]:
 
 
 def frequent_lengths(docs: DataFrame, path: str, frequent: int) -> dict[str, int]:
-    """Lengths of at most ``frequent`` common pre-tokens of all documents.
+    """Lengths of at most ``frequent`` common pre-tokens of a sample of documents.
 
-    Each task keeps at most eight times as many candidates and passes on its most common ones, so what is shuffled and what reaches
-    the driver is bounded per task and in total.
+    Each of a fixed number of tasks keeps at most eight times as many candidates and hands its most common ones to the driver, so
+    what they hold and what the driver adds up is bounded.
     """
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +115,13 @@ def frequent_lengths(docs: DataFrame, path: str, frequent: int) -> dict[str, int
             [pa.array([t for t, _ in common], pa.string()), pa.array([n for _, n in common], pa.int64())], ["token", "n"]
         )
 
-    counts = docs.select("text").mapInArrow(top, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    chosen = counts.orderBy(F.desc("n"), "token").limit(frequent).select("token").toLocalIterator()
-    return {r.token: encoded_length(path, r.token) for r in chosen}
+    share = min(1.0, SAMPLED / max(docs.count(), 1))
+    sampled = docs.select("text").sample(share, seed=7).repartition(SAMPLE_TASKS)
+    counts: Counter[str] = Counter()
+    for r in sampled.mapInArrow(top, "token string, n long").toLocalIterator():
+        counts[r.token] += r.n
+    chosen = sorted(counts, key=lambda t: (-counts[t], t))[:frequent]
+    return {token: encoded_length(path, token) for token in chosen}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, frequent: int = 20_000) -> DataFrame:
