@@ -157,17 +157,18 @@ def next_returns(grid: DataFrame) -> DataFrame:
 def covariance_matrices(grid: DataFrame, held: DataFrame, window: int) -> DataFrame:
     """Sample covariance of each pair of held assets over the ``window`` dates up to each rebalance.
 
-    A matrix of the study's fixed asset list: its pairs are the result.
+    A matrix of the study's fixed asset list: its pairs are the result. Returns of two assets meet once per date, and a frame
+    slides over each pair's dates, so the rows made are dates times pairs, however much the windows overlap.
     """
     spec = Window.partitionBy(INSTRUMENT).orderBy("date_idx")
     returns = with_date_index(grid).withColumn("ret", div(F.col("close"), F.lag("close").over(spec)) - 1)
-    steps = held.withColumn("_at", F.explode(F.sequence(F.col("date_idx") - (window - 1), F.col("date_idx"))))
-    sample = steps.join(returns.select(F.col("date_idx").alias("_at"), INSTRUMENT, "ret"), ["_at", INSTRUMENT])
-    a = sample.select("date_idx", "_at", F.col(INSTRUMENT).alias("asset_a"), F.col("ret").alias("_a"))
-    b = sample.select("date_idx", "_at", F.col(INSTRUMENT).alias("asset_b"), F.col("ret").alias("_b"))
-    return a.join(b, ["date_idx", "_at"]).groupBy("date_idx", "asset_a", "asset_b").agg(
-        F.covar_samp("_a", "_b").alias("covariance")
-    )
+    held_at = held.select("date_idx", INSTRUMENT, F.lit(True).alias("_held"))
+    returns = returns.select("date_idx", INSTRUMENT, "ret").join(held_at, ["date_idx", INSTRUMENT], "left")
+    a = returns.select("date_idx", F.col(INSTRUMENT).alias("asset_a"), F.col("ret").alias("_a"), F.col("_held").alias("_held_a"))
+    b = returns.select("date_idx", F.col(INSTRUMENT).alias("asset_b"), F.col("ret").alias("_b"), F.col("_held").alias("_held_b"))
+    frame = Window.partitionBy("asset_a", "asset_b").orderBy("date_idx").rangeBetween(-(window - 1), 0)
+    found = a.join(b, "date_idx").withColumn("covariance", F.covar_samp("_a", "_b").over(frame))
+    return found.where("_held_a AND _held_b").select("date_idx", "asset_a", "asset_b", "covariance")
 
 
 # --- a model per rebalance date -------------------------------------------------------
