@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factorloom.plans.oracle import BARS
 from factorloom.plans.registry import query
-from factorloom.sources.shared import shared_folder
-from factorloom.sources.tables import table
+from factorloom.sources import sinks
+from factorloom.sources.shared import shared_folder, stored
+from factorloom.sources.tables import bars, table
 from factorloom.streaming import incremental
 
 DELIVERIES = 3
@@ -40,3 +42,16 @@ def coverage(spark, sf_dir):
     _run(spark, sf_dir, out, coverage_dir=f"{out}/coverage", key="user_id")
     merged = incremental.coverage(spark, f"{out}/coverage", "user_id")
     return merged.select("user_id", F.to_date("last_time").alias("last_date"), "n_events")
+
+
+@query("sink_upserted_bars", f"WITH {BARS} SELECT instrument, datetime, close, volume FROM bars")
+def upserted_bars(spark, sf_dir):
+    """A table with outdated bars of 1995 and none of 1996 on, brought up to date by an increment that is merged twice."""
+    current = stored(bars(spark, sf_dir).select("instrument", "datetime", "close", "volume"), "bars")
+    path = shared_folder(spark, "upserted")
+    year = F.year("datetime")
+    outdated = F.when(year == 1995, -F.col("close")).otherwise(F.col("close"))
+    sinks.write_by_year(current.where(year < 1996).withColumn("close", outdated), path)
+    for _ in range(2):
+        sinks.upsert_by_year(current.where(year >= 1995), path)
+    return spark.read.parquet(path).drop("year")

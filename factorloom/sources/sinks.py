@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.frames import DATE, INSTRUMENT
+from factorloom.sources.shared import stored
 
 
 def write_by_year(df: DataFrame, path: str, date: str = DATE, key: str = INSTRUMENT) -> None:
@@ -20,6 +23,24 @@ def write_by_year(df: DataFrame, path: str, date: str = DATE, key: str = INSTRUM
     )
 
 
+def upsert_by_year(increment: DataFrame, path: str, keys: Sequence[str] = (INSTRUMENT, DATE), date: str = DATE, key: str = INSTRUMENT) -> None:
+    """Merge rows into a table of ``write_by_year``: a row replaces the stored one of its keys, or is added.
+
+    Only the years that occur in the increment are read and written again; the others' files are untouched. All tasks have written
+    before the commit puts new files in the place of a year's old ones, and merging an increment again changes nothing, so a call
+    that failed earlier may be repeated. The commit itself moves one year after the other: a driver lost in that moment can leave
+    a year without its files, as with any overwrite of plain directories.
+    ``increment`` has one row per key, no missing key or date, and the table's columns.
+    """
+    spark, keys = increment.sparkSession, list(keys)
+    fresh = stored(increment.withColumn("year", F.year(date)), "increment")
+    years = sorted(r.year for r in fresh.select("year").distinct().collect())
+    kept = spark.read.parquet(path).where(F.col("year").isin(years)).join(fresh.select(*keys), keys, "left_anti")
+    merged = stored(kept.unionByName(fresh), "merged")
+    ordered = merged.hint("rebalance", "year").sortWithinPartitions("year", key, date)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+
+
 def write_by_instrument(df: DataFrame, table: str, buckets: int, key: str = INSTRUMENT, order: str = DATE) -> None:
     """One table bucketed and sorted by instrument: later history windows and key joins need no shuffle.
 
