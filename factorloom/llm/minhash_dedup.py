@@ -7,10 +7,15 @@ of the signature name buckets. With 64 bands of 7 values, a pair at similarity 0
 Documents with equal sets are one node. In each bucket the node whose buckets are largest is the centre of a star, and every other
 node is compared with it: as many pairs as members, never all pairs. Nodes that are not in the centre's component yet go on to
 further rounds with further centres, until in every bucket all nodes outside one component have been a centre: then every pair of a
-bucket was compared, or was already connected. Nothing is capped, so no link between bucket members is lost.
+bucket was compared, or was already connected. Nothing is capped, so no link between bucket members is lost. A centre of a
+further round is one in all its buckets and then has met all that it could link with, so no pair is compared twice there.
 
-A comparison first counts the equal bits of two sketches of one bit per bin. Pairs more than six standard deviations below what the
-similarity leads to expect are none, which is wrong in one of a billion cases; the others are decided on the full sets.
+Before the further rounds the shingles that only one of the waiting nodes has are counted. Two sets have no more in common than the
+rest of either, so this bounds the similarity of a pair, and a node whose rest is too small for any link waits no longer. Edited
+copies of one text that are just too far apart to link are mostly told apart by this, without comparing them.
+
+A comparison first counts the bins in which two sketches of four bits per bin agree. Pairs more than six standard deviations below what
+the similarity leads to expect are none, which is wrong in one of a billion cases; the others are decided on the full sets.
 
 Defined cases: a null or empty text has an empty set and links with nothing; a text with fewer words than a shingle is one
 shingle; rows with equal sets are linked; a null ``doc_id`` is never the smallest of a component unless all are null, and such a row
@@ -37,7 +42,7 @@ from factorloom.llm.shared import content_key, map_rows, stored
 from factorloom.llm.word_hashes import WordHashes, mix, windows
 
 BINS, BANDS, BAND_ROWS = 512, 64, 7
-SKETCH_WORDS = BINS // 64
+PLANES, PLANE_WORDS = 4, BINS // 64
 
 
 def shingles(names: np.ndarray, size: int) -> np.ndarray:
@@ -71,9 +76,10 @@ def signature(hashes: np.ndarray, bins: int) -> np.ndarray:
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """One bit of each bin's value and number."""
-    bits = mix(values, np.arange(len(values), dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Bits of a hash of each bin's value and number: one plane after the other, each with a bit of every bin."""
+    mixed = mix(values, np.arange(len(values), dtype=np.uint64))
+    planes = [(mixed >> np.uint64(p)) & np.uint64(1) for p in range(PLANES)]
+    return np.packbits(np.array(planes, np.uint8), axis=1).tobytes()
 
 
 def band_names(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -90,7 +96,7 @@ def lower_words(text: str | None) -> list[bytes]:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, content_key, n_shingles, digest, bands, bits``; the last three are null for an empty set."""
+    """``doc_id, content_key, n_shingles, digest, bands``; the last two are null for an empty set."""
     source = docs.select("doc_id", content_key(), "text")
 
     def per_task() -> Callable[..., Iterator[tuple]]:
@@ -99,17 +105,17 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
         def one(doc_id, key, text):
             found = shingles(hashes.of(lower_words(text)), size)
             if not len(found):
-                yield doc_id, key, 0, None, None, None
+                yield doc_id, key, 0, None, None
                 return
             values = signature(found, BINS)
             names = band_names(values[: BANDS * BAND_ROWS], BANDS, BAND_ROWS)
             digest = hashlib.blake2b(found.astype("<u8").tobytes(), digest_size=16).digest()
-            yield doc_id, key, len(found), digest, names.astype("<i8").tobytes(), sketch(values)
+            yield doc_id, key, len(found), digest, names.astype("<i8").tobytes()
 
         return one
 
     fields = [source.schema["doc_id"], source.schema["content_key"], StructField("n_shingles", LongType())]
-    fields += [StructField(n, BinaryType()) for n in ("digest", "bands", "bits")]
+    fields += [StructField(n, BinaryType()) for n in ("digest", "bands")]
     return map_rows(source, per_task, StructType(fields))
 
 
@@ -126,18 +132,23 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 def _likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches agree as far as the similarity demands.
 
-    Two bins agree with the similarity's probability, and else by chance in half of all cases.
+    Two bins agree with the similarity's probability, and else by chance in one of ``2 ** PLANES`` cases.
     """
-    share = (1 + percent / 100) / 2
+    share = percent / 100 + (1 - percent / 100) / 2**PLANES
     least = math.floor(BINS * share - 6 * math.sqrt(BINS * share * (1 - share)))
     left, right = (bits.select(F.col("node").alias(n), F.col("words").alias(f"words_{n}")) for n in ("a", "b"))
     both = pairs.join(right, "b").join(left, "a")
-    differ = [F.bit_count(F.col("words_a")[i].bitwiseXOR(F.col("words_b")[i])) for i in range(SKETCH_WORDS)]
+
+    def unequal(word: int) -> Column:
+        places = range(word, PLANES * PLANE_WORDS, PLANE_WORDS)
+        return reduce(Column.bitwiseOR, [F.col("words_a")[i].bitwiseXOR(F.col("words_b")[i]) for i in places])
+
+    differ = [F.bit_count(unequal(word)) for word in range(PLANE_WORDS)]
     return both.where(BINS - reduce(add, differ) >= least).select("a", "b")
 
 
 def _candidate_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """``node, hashes`` of nodes that share a bucket, from the text of one document each."""
+    """``node, hashes, bits`` of nodes that share a bucket, from the text of one document each."""
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(
         "node", F.col("first_doc.doc_id").alias("first_id"), F.col("first_doc.content_key").alias("first_key")
     )
@@ -149,11 +160,12 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, size:
         hashes = WordHashes()
 
         def one(node, text):
-            yield node, shingles(hashes.of(lower_words(text)), size).astype("<u8").tobytes()
+            found = shingles(hashes.of(lower_words(text)), size)
+            yield node, found.astype("<u8").tobytes(), sketch(signature(found, BINS))
 
         return one
 
-    schema = StructType([StructField("node", LongType()), StructField("hashes", BinaryType())])
+    schema = StructType().add("node", "long").add("hashes", "binary").add("bits", "binary")
     # Repeated rows of the first document would give their node twice; the join has dealt the rows by their key already.
     once = texts.dropDuplicates(["content_key", "node"]).select("node", "text")
     return map_rows(once, per_task, schema)
@@ -177,8 +189,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(both, per_task, StructType().add("a", "long").add("b", "long").add("linked", "boolean"))
 
 
+def _with_common(waiting: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``n_common``, how many shingles of a node another waiting node has as well; without nodes too far from all others.
+
+    Only the shingles found once go back to their nodes; frequent ones shrink before the shuffle.
+    """
+    names = sets.join(waiting.select("node").distinct(), "node", "left_semi").select("node", F.explode(_numbers("hashes")).alias("hash"))
+    own = names.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = own.groupBy("node").agg(F.count(F.lit(1)).alias("n_own"))
+    counted = waiting.join(own, "node", "left").withColumn("n_common", F.col("n_shingles") - F.coalesce("n_own", F.lit(0)))
+    return counted.drop("n_own").where(100 * F.col("n_common") >= percent * F.col("n_shingles"))
+
+
 def _centres(waiting: DataFrame, round_number: int) -> DataFrame:
-    """Rows of ``waiting`` that are centres in this round.
+    """The nodes that are centres of their buckets in this round.
 
     All but the component with most waiting nodes must still be compared; of the others the most central go first, eight times as
     many in each round as in the last.
@@ -187,7 +211,11 @@ def _centres(waiting: DataFrame, round_number: int) -> DataFrame:
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top")).select("bucket", F.col("top.component").alias("rest"))
     others = waiting.join(largest, "bucket").where(F.col("component") != F.col("rest")).drop("rest")
     order = Window.partitionBy("bucket").orderBy(F.desc("score"), "node")
-    return others.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 8 ** (round_number - 1)).drop("place")
+    first = others.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 8 ** (round_number - 1))
+    return first.select("node").distinct()
+
+
+_COMPARED = ("node", "n_shingles", "n_common", "component")
 
 
 def node_components(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -200,23 +228,18 @@ def node_components(nodes: DataFrame, docs: DataFrame, size: int, percent: int)
     members = stored(members.join(scores, "node").select("bucket", "node", "n_shingles", "score"), "members")
     sets = stored(_candidate_sets(docs, members, nodes, size), "sets")
 
-    best = members.groupBy("bucket").agg(F.max(F.struct("score", "node", "n_shingles")).alias("c"))
-    centres = stored(best.select("bucket", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("n_centre")), "centres")
-    pairs = members.join(centres, "bucket").where(F.col("node") != F.col("centre"))
-    pairs = _possible(pairs, percent)
-    # A node that was a centre of a bucket has been compared with all of it, so it leaves the bucket's waiting rows.
-    done = centres.select("bucket", F.col("centre").alias("node"))
-    waiting = members.select("bucket", "node", "n_shingles", "score", F.col("node").alias("component")).join(done, ["bucket", "node"], "left_anti")
+    bits = stored(sets.select("node", _numbers("bits").alias("words")), "bits")
     labels = members.select("node").distinct().select("node", F.col("node").alias("component"))
-    bits = stored(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", _numbers("bits").alias("words")), "bits")
-    tested = None
+    waiting = members.select("bucket", "node", "n_shingles", "score", F.col("n_shingles").alias("n_common"), F.col("node").alias("component"))
+    best = members.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("node"))
+    centres = stored(members.join(best, ["bucket", "node"], "left_semi").select("bucket", "node"), "centres")
     number = 1
     while True:
-        likely = _likely(pairs, bits, percent)
-        new = likely if tested is None else likely.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = stored(_verified(new, sets, percent), "compared")
-        tested = found if tested is None else tested.unionByName(found)
-        links = found.where("linked")
+        # A centre is compared with all nodes of its bucket in other components, so it waits there no longer.
+        centre = waiting.join(centres, centres.columns, "left_semi").select("bucket", *(F.col(c).alias(f"{c}_c") for c in _COMPARED))
+        pairs = _possible(waiting.join(centre, "bucket").where("component <> component_c"), percent)
+        waiting = waiting.join(centres, centres.columns, "left_anti")
+        links = stored(_verified(_likely(pairs, bits, percent), sets, percent), "compared").where("linked")
         if not links.isEmpty():
             merged = components(
                 links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
@@ -227,16 +250,12 @@ def node_components(nodes: DataFrame, docs: DataFrame, size: int, percent: int)
             labels, waiting = stored(_relabelled(labels, merged), "labels"), _relabelled(waiting, merged)
         several = waiting.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
         waiting = stored(waiting.join(stored(several, "buckets"), "bucket", "left_semi"), "waiting")
+        if number == 1:
+            waiting = stored(_with_common(waiting.drop("n_common"), sets, percent).select(*waiting.columns), "waiting")
         number += 1
-        chosen = stored(_centres(waiting, number), "centres")
-        if chosen.isEmpty():
+        centres = stored(_centres(waiting, number), "centres")
+        if centres.isEmpty():
             return labels
-        centre = chosen.select(
-            "bucket", F.col("node").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("component").alias("centre_component")
-        )
-        against = waiting.join(centre, "bucket").where(F.col("component") != F.col("centre_component"))
-        pairs = _possible(against, percent)
-        waiting = waiting.join(chosen.select("bucket", "node"), ["bucket", "node"], "left_anti")
 
 
 def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
@@ -245,9 +264,10 @@ def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs whose set sizes allow the similarity."""
-    fits = 100 * F.least("n_shingles", "n_centre") >= percent * F.greatest("n_shingles", "n_centre")
-    return pairs.where(fits).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    """Distinct pairs whose sizes and shared shingles allow the similarity: they have no more in common than the smaller rest."""
+    most = F.least("n_common", "n_common_c")
+    fits = 100 * most >= percent * (F.col("n_shingles") + F.col("n_shingles_c") - most)
+    return pairs.where(fits).select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -260,7 +280,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content_key")).alias("first_doc"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"),
-        F.first("bits").alias("bits"),
     )
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     labels = node_components(nodes, docs, size, percent)
@@ -268,8 +287,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     labelled = labelled.withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_digest = stored(labelled.join(least, "component").select("digest", "component_id"), "components")
-    linked = rows.where("digest is not null").drop("bands", "bits").join(by_digest, "digest").drop("digest")
-    alone = rows.where("digest is null").drop("bands", "bits", "digest").withColumn("component_id", F.col("doc_id"))
+    linked = rows.where("digest is not null").drop("bands").join(by_digest, "digest").drop("digest")
+    alone = rows.where("digest is null").drop("bands", "digest").withColumn("component_id", F.col("doc_id"))
     out = linked.unionByName(alone.select(*linked.columns))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -211,3 +211,16 @@ def test_window_names_depend_on_every_word():
             other[100 + i] ^= np.uint64(1)
             changed = np.flatnonzero(windows(other, size) != out)
             assert changed.tolist() == list(range(100 + i - size + 1, 100 + i + 1))
+
+
+def test_a_large_group_about_the_threshold(spark):
+    """Edited copies of one text, most of them too far apart to link, some edited in the same places, beside shorter and longer texts."""
+    rng = random.Random(11)
+    text = prose(7, 150, 5000)
+    shared = edited(text, rng, 6)
+    rows = [(i, edited(text if i % 3 else shared, rng, i % 11)) for i in range(300)]
+    rows += [(400 + i, " ".join(text.split(" ")[: 30 + i])) for i in range(0, 120, 4)]
+    rows += [(600 + i, edited(text, rng, 9) + " " + prose(i, 1500)) for i in range(5)]
+    got = near(spark, rows)
+    assert got == brute_near(rows, 4)
+    assert 20 < len({c for _, _, c, _ in got}) < 200
