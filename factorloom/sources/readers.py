@@ -52,14 +52,27 @@ def with_export_date(df: DataFrame) -> DataFrame:
 def scan_export_csv(spark: SparkSession, directory: str, fields: list[str], encoding: str = "UTF-8") -> DataFrame:
     """Read per-symbol CSV files whose headers drift: order may differ and columns may be absent.
 
-    A file's first line is its header and joins on the file's path, so cells may hold any text, column names included. Cells
+    A file's first line is its header. Each header says once where the fields stand, and this joins its rows on the file's path, so
+    cells and whole lines may hold any text, the header's own included; every row splits its line once. Cells
     may be quoted, with commas and doubled quotes inside, but not with line ends. ``encoding`` may be one of Spark's, or any
     that extends ASCII and that Python knows, such as ``GBK``: such files are read byte by byte and decoded line by line.
     """
+    first = _lines(spark, directory, encoding, False).where("block = 0")
+    # Lines of a file's first block have rising numbers, so the smallest is its header.
+    headers = first.groupBy("path").agg(F.min_by("line", "place").alias("header")).withColumn("names", _cells("header"))
+    places = F.array(*(F.nullif(F.array_position("names", f), F.lit(0)).cast("int") for f in fields))
+    rows = _lines(spark, directory, encoding, True).where(F.trim("line") != "").withColumn("cells", _cells("line"))
+    placed = rows.select("path", "cells").join(headers.select("path", places.alias("places")), "path")
+    cell = [F.nullif(F.try_element_at("cells", F.col("places")[i]), F.lit("")).alias(f) for i, f in enumerate(fields)]
+    return placed.select(*cell)
+
+
+def _lines(spark: SparkSession, directory: str, encoding: str, after_header: bool) -> DataFrame:
+    """``line, path, block, place`` of text files; where asked for, without each file's first line, which Spark's reader skips."""
     native = encoding.upper() in ("UTF-8", "US-ASCII", "ISO-8859-1")
     lines = (
         spark.read.option("encoding", encoding if native else "ISO-8859-1")
-        .option("header", False)
+        .option("header", after_header)
         .option("sep", "\u0001")
         .option("quote", "")
         .schema("line string")
@@ -71,21 +84,14 @@ def scan_export_csv(spark: SparkSession, directory: str, fields: list[str], enco
             F.monotonically_increasing_id().alias("place"),
         )
     )
-    if not native:
-
-        @F.pandas_udf(T.StringType())
-        def decoded(line: pd.Series) -> pd.Series:
-            return line.str.encode("latin-1").str.decode(encoding)
-
-        lines = lines.withColumn("line", decoded("line"))
-    # Rows of a file's first block have rising numbers, so the smallest is its header.
-    headers = lines.where("block = 0").groupBy("path").agg(F.min_by("line", "place").alias("header"))
-    rows = lines.join(headers, "path").where((F.col("line") != F.col("header")) & (F.trim("line") != ""))
-    rows = rows.select(_cells("line").alias("cells"), _cells("header").alias("names"))
-    cell = [
-        F.nullif(F.try_element_at("cells", F.nullif(F.array_position("names", f), F.lit(0)).cast("int")), F.lit("")).alias(f) for f in fields
-    ]
-    return rows.select(*cell)
+    if native:
+        return lines
+
+    @F.pandas_udf(T.StringType())
+    def decoded(line: pd.Series) -> pd.Series:
+        return line.str.encode("latin-1").str.decode(encoding)
+
+    return lines.withColumn("line", decoded("line"))
 
 
 def _cells(line: str) -> Column:

@@ -32,6 +32,28 @@ def test_csv_headers_may_drift(spark, tmp_path):
     }
 
 
+def test_csv_line_equal_to_its_header_is_a_row(spark, tmp_path):
+    """Only the first line is the header: a later line of the same text, blank lines, short lines and files without rows."""
+    (tmp_path / "a.csv").write_text("\nsymbol,note\nA,1\nsymbol,note\n\nB\n")
+    (tmp_path / "b.csv").write_text('note,"symbol",symbol\n"x, ""y""",C,D\n')
+    (tmp_path / "c.csv").write_text("symbol,note\n")
+    (tmp_path / "d.csv").write_text("")
+    got = readers.scan_export_csv(spark, str(tmp_path), ["symbol", "note", "absent"]).collect()
+    assert sorted(tuple(r) for r in got if r.note) == [("A", "1", None), ("C", 'x, "y"', None), ("symbol", "note", None)]
+    assert [tuple(r) for r in got if not r.note] == [("B", None, None)]
+
+
+def test_csv_header_of_a_file_in_many_blocks(spark, tmp_path, request):
+    """Only the first block starts with the header; the others start with rows."""
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.files.maxPartitionBytes"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    (tmp_path / "a.csv").write_text("symbol,n\n" + "".join(f"S{i},{i}\n" for i in range(3000)))
+    raw = readers.scan_export_csv(spark, str(tmp_path), ["n", "symbol"])
+    assert raw.select(F.spark_partition_id()).distinct().count() > 1
+    got = raw.collect()
+    assert sorted(int(r.n) for r in got) == list(range(3000)) and all(r.symbol == f"S{r.n}" for r in got)
+
+
 def test_factor_pool_round_trip_and_year_pruning(spark, tmp_path):
     table = factors.rolling_factors(bars(spark, SF), [factors.trend], (5,)).withColumn("label_1d", F.lit(0.0))
     path = str(tmp_path / "pool")
