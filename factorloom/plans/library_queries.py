@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from factorloom.functions.numeric import rounded
 from factorloom.operators import factors, ic, labels, screening
-from factorloom.operators.xsection import to_long
 from factorloom.plans.factor_queries import BAR_SHAPE, PRICE_LEVEL, SQL, STAGED, family_sql, window_frames
 from factorloom.plans.oracle import r, rank_ic
 from factorloom.plans.registry import query
@@ -36,17 +33,18 @@ long AS (SELECT * FROM fr UNPIVOT INCLUDE NULLS (value FOR factor IN ({', '.join
 DAILY = f"{LONG}, {rank_ic('ic0', 'long', 'datetime, factor', min_count=2)}, daily AS (SELECT * FROM ic0 WHERE ic IS NOT NULL)"
 
 
-def library(spark, sf_dir):
-    """``(datetime, instrument, label, factor, value)`` of all factors, stored: the rings read it several times."""
-    labelled = labels.with_forward_returns(bars(spark, sf_dir), (1,))
-    table = factors.factor_table(labelled, keep=("instrument", "datetime", "label_1d")).withColumnRenamed("label_1d", "label")
-    long = to_long(table, factors.factor_names(), ["label"])
-    return stored(long, "library")
+def library(spark, sf_dir, strata=False):
+    """``(instrument, datetime, label)`` and a column for each factor; with ``strata`` also the size stratum, found on the bars."""
+    labelled = labels.with_forward_returns(bars(spark, sf_dir), (1,)).withColumnRenamed("label_1d", "label")
+    keep = ("instrument", "datetime", "label")
+    if strata:
+        labelled, keep = screening.with_size_stratum(labelled), (*keep, "stratum")
+    return factors.factor_table(labelled, keep=keep)
 
 
 @query("library_ic_daily", f"WITH {DAILY} SELECT datetime, factor, {r('ic', 'ic')}, n FROM daily")
 def library_ic_daily(spark, sf_dir):
-    return rounded(ic.daily_rank_ic(library(spark, sf_dir), 2))
+    return rounded(ic.daily_rank_ic(library(spark, sf_dir), 2, factors.factor_names()))
 
 
 @query(
@@ -56,7 +54,7 @@ def library_ic_daily(spark, sf_dir):
     FROM s LEFT JOIN sp ON s.factor = sp.factor LEFT JOIN mono ON s.factor = mono.factor""",
 )
 def library_profile(spark, sf_dir):
-    return rounded(screening.profile(library(spark, sf_dir)))
+    return rounded(screening.profile(library(spark, sf_dir), factors=factors.factor_names()))
 
 
 @query(
@@ -64,13 +62,14 @@ def library_profile(spark, sf_dir):
     f"WITH {DAILY}, {summary_sql('daily', 's')}, {FILTER_SQL} SELECT factor, {r('ic_mean', 'ic_mean')}, {r('coverage', 'coverage')}, retained FROM flt",
 )
 def library_filter(spark, sf_dir):
-    summary = ic.ic_summary(ic.daily_rank_ic(library(spark, sf_dir), 2))
+    summary = ic.ic_summary(ic.daily_rank_ic(library(spark, sf_dir), 2, factors.factor_names()))
     return rounded(screening.cross_section_filter(summary, min_coverage=0.9).drop("reason"))
 
 
 @query("library_stability", f"WITH {DAILY}, {STABILITY_SQL} SELECT factor, {STABILITY_COLUMNS} FROM stab")
 def library_stability(spark, sf_dir):
-    return rounded(screening.stability(library(spark, sf_dir), rolling_days=24))
+    table = stored(library(spark, sf_dir, strata=True), "library")
+    return rounded(screening.stability(table, rolling_days=24, factors=factors.factor_names()))
 
 
 @query(
@@ -79,6 +78,6 @@ def library_stability(spark, sf_dir):
 )
 def library_composite_signals(spark, sf_dir):
     """Composites of all factors; their values sum over factors as large as prices times rows, hence few digits."""
-    long = library(spark, sf_dir)
-    weights = screening.signal_weights(ic.ic_summary(ic.daily_rank_ic(long, 2)))
-    return rounded(screening.composite_signals(long, weights).drop("label"), 2)
+    table, names = stored(library(spark, sf_dir), "library"), factors.factor_names()
+    weights = screening.signal_weights(ic.ic_summary(ic.daily_rank_ic(table, 2, names)))
+    return rounded(screening.composite_columns(table, names, weights).drop("label"), 2)
