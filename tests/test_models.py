@@ -60,3 +60,25 @@ def test_walk_forward_predicts_later_dates_only(panel):
     merged = splits.concatenated_signals(predictions)
     assert merged.count() == 16 * 40
     assert _mean_ic(merged, panel) > 0.7
+
+
+def test_model_queries_score_every_labelled_row(spark, tmp_path):
+    """Early and late dates alike, also where a bar has no price range and so no driver."""
+    from factorloom.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(5)
+    lines = []
+    for s in range(6):
+        for m in range(48):
+            for i in range(3):
+                # One name trades without prices in some months.
+                price = None if s == 5 and m % 7 == 0 else float(rng.uniform(100, 900))
+                lines.append((s * 1000 + m, i + 1, i, s, dt.date(1997 + m // 12, m % 12 + 1, 1 + i), 1.0, price))
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    from factorloom.plans.panel import panel as bars_panel
+
+    expected = bars_panel(spark, str(tmp_path)).where("label_1d IS NOT NULL").select("datetime", "instrument")
+    found = QUERIES["model_elastic_net"].run(spark, str(tmp_path))
+    assert found.where("scored").select("datetime", "instrument").exceptAll(expected).isEmpty()
+    assert found.count() == expected.count() > 200
