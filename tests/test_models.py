@@ -82,3 +82,54 @@ def test_model_queries_score_every_labelled_row(spark, tmp_path):
     found = QUERIES["model_elastic_net"].run(spark, str(tmp_path))
     assert found.where("scored").select("datetime", "instrument").exceptAll(expected).isEmpty()
     assert found.count() == expected.count() > 200
+
+
+def test_permutation_importance_scores_and_ranks_in_one_pass(panel, monkeypatch):
+    """The label is ranked once and all features are scored together; rows without a label move values but do not count."""
+    calls = []
+    monkeypatch.setattr(models, "predict", lambda *a, f=models.predict: calls.append(a) or f(*a))
+    fitted = models.elastic_net(panel, FEATURES, "label")
+    some = panel.withColumn("label", F.when(F.col("instrument") != "S07", F.round("label")))
+    got = {r.feature: r.importance for r in models.permutation_importance(fitted, some, FEATURES, "label", 2).collect()}
+    assert len(calls) == 1
+
+    def pooled(rows):
+        scored = models.predict(fitted, rows, FEATURES, ("label",)).where("label IS NOT NULL").toPandas()
+        return scored["prediction"].rank().corr(scored["label"].rank())
+
+    base = pooled(some)
+    for feature in FEATURES:
+        moved = [models.shuffled_values(some, FEATURES, f"{models.SEED}/{i}").withColumn(feature, F.col(f"_s_{feature}")) for i in range(2)]
+        assert got[feature] == pytest.approx(sum(base - pooled(m) for m in moved) / 2, abs=1e-12)
+
+
+def _windowed(panel):
+    two = panel.crossJoin(panel.sparkSession.range(2).withColumnRenamed("id", "window_id"))
+    return two.withColumn("role", F.when(F.col("datetime") < F.date_add(F.lit("2024-01-10"), F.col("window_id").cast("int") * 5), "train").otherwise("oos"))
+
+
+def test_lines_of_all_factors_meet_rows_that_do_not_move(panel):
+    rows = _windowed(panel)
+    found = models.single_factor_columns(rows, FEATURES, "label")
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.toPandas()
+    assert len(got) == (21 + 16) * 40
+    data = rows.toPandas()
+    for w in (0, 1):
+        train = data[(data.window_id == w) & (data.role == "train") & data.f1.notna()]
+        slope, start = np.polyfit(train.f1, train.label, 1)
+        later = data[(data.window_id == w) & (data.role == "oos")].merge(got[got.window_id == w], on=["datetime", "instrument"], suffixes=("", "_p"))
+        np.testing.assert_allclose(later.f1_p, start + slope * later.f1, atol=1e-9)
+    long = models.single_factor_regressions(rows, FEATURES, "label")
+    merged = splits.concatenated_signals(found, FEATURES).unpivot(["datetime", "instrument"], FEATURES, "model", "prediction")
+    expected = splits.concatenated_signals(long, by=("model",)).select(*merged.columns)
+    assert merged.exceptAll(expected).isEmpty() and merged.count() == expected.count() == 21 * 40 * 3
+
+
+def test_wide_ranks_by_several_keys_equal_long_ones(panel):
+    predictions = models.single_factor_columns(_windowed(panel), FEATURES, "label").persist()
+    keys = ["role", "window_id", "datetime"]
+    wide = {tuple(r)[:4]: (r.ic, r.n) for r in ic.column_rank_correlation(predictions, keys, FEATURES, "label", 5).collect()}
+    long = predictions.unpivot([*keys, "instrument", "label"], FEATURES, "factor", "value")
+    expected = {tuple(r)[:4]: (r.ic, r.n) for r in ic.rank_correlation(long, [*keys, "factor"], min_count=5).collect()}
+    assert wide == expected and len(wide) == (21 + 16) * 3
