@@ -82,3 +82,12 @@ def test_large_groups_sum_without_rounding():
     a, b = (cells.doubled_ranks(rng.standard_normal(200_000)) for _ in range(2))
     exact = sum(int(x) * int(y) for x, y in zip(a, b)) - len(a) * (len(a) + 1) ** 2
     assert cells.rank_moment(a, b) == exact
+
+
+def test_wide_rows_are_made_in_one_shuffle(spark):
+    """Long rows are dealt once and added up where they are, also where a date, a name or a factor is missing."""
+    rows = [("d1", 1, "a", 1.0), ("d1", 1, "b", None), ("d1", None, "a", 2.0), (None, 1, "b", 3.0), ("d2", 1, None, 4.0)]
+    long = spark.createDataFrame(rows, "datetime string, instrument int, factor string, value double")
+    wide = xsection.to_wide(long, ["a", "b"])
+    assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in wide.collect()} == {("d1", 1, 1.0, None), ("d1", None, 2.0, None), (None, 1, None, 3.0), ("d2", 1, None, None)}
