@@ -130,3 +130,32 @@ def test_rank_correlation_equals_pandas(frame, pooled):
         rho = part["x"].rank().corr(part["y"].rank())
         assert got[g][1] == len(part)
         assert got[g][0] is None if np.isnan(rho) else got[g][0] == pytest.approx(rho, abs=1e-12)
+
+
+def test_slices_that_are_not_crowded_are_not_sketched(spark, monkeypatch):
+    from factorloom.functions import ranks
+
+    names = []
+    monkeypatch.setattr(ranks, "stored", lambda df, name: names.append(name) or df)
+    cells = spark.range(500).select(F.col("id").cast("double").alias("x")).withColumn("_slice", value_slice(F.col("x")))
+    assert divided_slices(cells, [], "x", 1000).count() == 500 and "cuts" not in names
+
+
+def test_strength_bins_compute_their_input_once(spark, monkeypatch):
+    from factorloom.operators import tearsheet
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(3)
+    rows = [(dt.date(2024, 1, 1 + i % 4), float(rng.standard_normal()), float(rng.standard_normal())) for i in range(200)]
+    df = spark.createDataFrame(rows, "datetime date, factor double, ret double")
+    found = {r.bin: r for r in tearsheet.strength_bins(df.mapInArrow(count, df.schema), "ret", 1, 2).collect()}
+    assert seen.value == 200 and set(found) == {"All", "bin_1", "bin_2"}
+    x, y = df.toPandas()["factor"], df.toPandas()["ret"]
+    assert found["All"].rank_ic == pytest.approx(x.rank().corr(y.rank()), abs=1e-12)
+    assert found["All"].win_pct == pytest.approx((y > 0).mean() * 100)
