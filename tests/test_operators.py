@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.bins import with_width_bin
-from factorloom.functions.numeric import clip, correlation, finite
+from factorloom.functions.numeric import clip, correlation, finite, round_double
 from factorloom.functions.rolling import Rolling
 from factorloom.operators import (
     book, factors, history, ic, ingest, labels, pit, quality, rotation, screening, splits, tearsheet, xsection,
@@ -332,3 +332,26 @@ def test_winsorise_and_impute_in_one_step_equals_two_steps(spark):
         once = xsection.winsorise_and_impute(long, *edges).orderBy("datetime", "instrument").toPandas()["value"]
         twice = xsection.impute_median(xsection.winsorise(long, *edges)).orderBy("datetime", "instrument").toPandas()["value"]
         np.testing.assert_allclose(once, twice, rtol=1e-12)
+
+
+# --- rounding and window lists ---------------------------------------------------------
+
+
+@pytest.mark.parametrize("digits", [0, 2, 6])
+def test_round_double_equals_round(spark, digits):
+    """Ties, neighbours of ties, signed zeros, large numbers and missing values get the value that ``F.round`` gives."""
+    ties = [(k + 0.5) / 10**digits for k in (0, 1, 2, 7, 1004, 10**9 + 1)] + [1.005, 2.675, 0.285, 1.0000005]
+    near = [np.nextafter(x, to) for x in ties for to in (-np.inf, np.inf)]
+    other = [0.0, -1e-9, 1 / 3, 2.0**40 / 10**digits, 1e15 + 0.5, 1e300, float("nan"), float("inf")]
+    rows = [(float(sign * x),) for x in [*ties, *near, *other] for sign in (1, -1)] + [(None,)]
+    df = spark.createDataFrame(rows, "x double")
+    both = df.select(F.round("x", digits).cast("string").alias("a"), round_double(F.col("x"), digits).cast("string").alias("b")).collect()
+    assert [r.b for r in both] == [r.a for r in both]
+
+
+def test_window_lists_are_collected_in_the_last_window(spark):
+    """The windows before would copy the lists with every row."""
+    table = factors.rolling_factors(_bars(spark, days=5), [factors.extreme_age, factors.trend])
+    steps = [line for line in table._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in line]
+    assert len(steps) > 2
+    assert ["collect_list" in step for step in steps] == [True] + [False] * (len(steps) - 1)

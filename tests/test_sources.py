@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.operators import factors
-from factorloom.sources import readers, sinks
+from factorloom.sources import readers, sinks, tables
 from factorloom.sources.tables import bars
 from factorloom.streaming import incremental
 
@@ -105,3 +105,19 @@ def test_stream_keeps_rows_of_any_age(spark, tmp_path):
 def test_symbol_files_missing_directory_fails(spark, tmp_path):
     with pytest.raises(Exception):
         readers.scan_symbol_files(spark, str(tmp_path / "none")).collect()
+
+
+def test_line_order_puts_the_digits_of_its_parts_together_without_text(spark):
+    rows = [("1995-03-01", 7, 1, 12, 1234.565), ("2024-12-31", 999_999_999_999, 7, 91_999_999_999, 999_999.99), ("1960-01-01", 1, 1, 1, 0.0)]
+    rows += [(None, 7, 1, 12, 1.0), ("1995-03-01", 7, 1, 12, None)]
+    lines = spark.createDataFrame(rows, "l_shipdate string, l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double")
+    ordered = lines.select(tables._line_order().alias("line"))
+    assert ordered.schema["line"].dataType.simpleString() == "decimal(38,0)"
+    assert [None if r.line is None else int(r.line) for r in ordered.collect()] == [
+        int("109190" + "000000000007" + "1" + "00000000012" + "00123457"),
+        int("120088" + "999999999999" + "7" + "91999999999" + "99999999"),
+        int("096347" + "000000000001" + "1" + "00000000001" + "00000000"),
+        None,
+        None,
+    ]
+    assert "lpad" not in ordered._jdf.queryExecution().optimizedPlan().toString()
