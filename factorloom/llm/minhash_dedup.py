@@ -5,14 +5,15 @@ signature, and an empty bin takes the value of the first filled bin in a fixed r
 of the signature name buckets. With 64 bands of 7 values, a pair at similarity 0.8 shares no bucket in one of three million cases.
 
 Documents with equal sets are one node. In each bucket the node whose buckets are largest is the centre of a star, and every other
-node is compared with it: as many pairs as members, never all pairs. Nodes that are not in the centre's component yet go on to
-further rounds with further centres, until in every bucket all nodes outside one component have been a centre: then every pair of a
-bucket was compared, or was already connected. Nothing is capped, so no link between bucket members is lost. A centre of a
-further round is one in all its buckets and then has met all that it could link with, so no pair is compared twice there.
+node is compared with it: as many pairs as members, never all pairs.
 
-Before the further rounds the shingles that only one of the waiting nodes has are counted. Two sets have no more in common than the
-rest of either, so this bounds the similarity of a pair, and a node whose rest is too small for any link waits no longer. Edited
-copies of one text that are just too far apart to link are mostly told apart by this, without comparing them.
+Then only nodes of one star that still lie in different components can add a link. Each is written as its differences from the centre,
+the shingles that one of the two has and the other lacks. What two nodes differ in is what they differ in from the centre, less twice
+what these differences share; so a similarity demands a number of shared differences, and none only where both link with the
+centre, which connects them. Edited copies of one text that are just too far apart have few differences in common, though they
+share nearly all else. A node's differences are ordered, those that fewest nodes of the star share first: two nodes meet at a
+shared difference only if behind it both have as many left as they must share. The first one that linked nodes share passes this, so
+nothing is lost: every pair of a bucket was compared, is connected, or cannot link. Nothing is capped.
 
 A comparison first counts the bins in which two sketches of four bits per bin agree. Pairs more than six standard deviations below what
 the similarity leads to expect are none, which is wrong in one of a billion cases; the others are decided on the full sets.
@@ -189,33 +190,91 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(both, per_task, StructType().add("a", "long").add("b", "long").add("linked", "boolean"))
 
 
-def _with_common(waiting: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``n_common``, how many shingles of a node another waiting node has as well; without nodes too far from all others.
+def _stars(members: DataFrame) -> DataFrame:
+    """``centre, n_centre, node, n_shingles``, each bucket's members with its centre: the node whose buckets are largest."""
+    top = F.max_by(F.struct("node", "n_shingles"), F.struct("score", "node")).alias("top")
+    centres = members.groupBy("bucket").agg(top).select("bucket", F.col("top.node").alias("centre"), F.col("top.n_shingles").alias("n_centre"))
+    rows = members.join(stored(centres, "centres"), "bucket").where("node <> centre")
+    return rows.select("centre", "n_centre", "node", "n_shingles").distinct()
 
-    Only the shingles found once go back to their nodes; frequent ones shrink before the shuffle.
+
+def _open(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """``centre, node, component, inside`` of stars whose nodes lie in several components; inside is that of the centre.
+
+    The centre itself was compared with all of them.
     """
-    names = sets.join(waiting.select("node").distinct(), "node", "left_semi").select("node", F.explode(_numbers("hashes")).alias("hash"))
-    own = names.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
-    own = own.groupBy("node").agg(F.count(F.lit(1)).alias("n_own"))
-    counted = waiting.join(own, "node", "left").withColumn("n_common", F.col("n_shingles") - F.coalesce("n_own", F.lit(0)))
-    return counted.drop("n_own").where(100 * F.col("n_common") >= percent * F.col("n_shingles"))
+    of_centre = labels.select(F.col("node").alias("centre"), F.col("component").alias("component_c"))
+    rows = stars.select("centre", "node").join(labels, "node").join(of_centre, "centre")
+    rows = stored(rows.select("centre", "node", "component", (F.col("component") == F.col("component_c")).alias("inside")), "waiting")
+    several = rows.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("centre")
+    return rows.join(stored(several, "several"), "centre", "left_semi")
 
 
-def _centres(waiting: DataFrame, round_number: int) -> DataFrame:
-    """The nodes that are centres of their buckets in this round.
+def _differences(waiting: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``weight, differences`` added to nodes: the shingles that either the node or its centre has.
 
-    All but the component with most waiting nodes must still be compared; of the others the most central go first, eight times as
-    many in each round as in the last.
+    Two nodes link where ``2 * (100 + percent)`` times the differences they share reach the sum of their weights.
     """
-    sizes = waiting.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top")).select("bucket", F.col("top.component").alias("rest"))
-    others = waiting.join(largest, "bucket").where(F.col("component") != F.col("rest")).drop("rest")
-    order = Window.partitionBy("bucket").orderBy(F.desc("score"), "node")
-    first = others.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 8 ** (round_number - 1))
-    return first.select("node").distinct()
+    own = sets.select("node", F.col("hashes").alias("set_node"))
+    of_centre = sets.select(F.col("node").alias("centre"), F.col("hashes").alias("set_centre"))
+    both = waiting.join(own, "node").join(of_centre, "centre").select(*waiting.columns, "set_node", "set_centre")
+
+    def per_task() -> Callable[..., Iterator[tuple]]:
+        def one(*values):
+            *row, set_node, set_centre = values
+            x, y = np.frombuffer(set_node, "<u8"), np.frombuffer(set_centre, "<u8")
+            found = np.setxor1d(x, y, assume_unique=True)
+            yield *row, (100 + percent) * len(found) - (100 - percent) * len(x), found.tobytes()
 
+        return one
 
-_COMPARED = ("node", "n_shingles", "n_common", "component")
+    schema = StructType([*waiting.schema, StructField("weight", LongType()), StructField("differences", BinaryType())])
+    return map_rows(both, per_task, schema)
+
+
+def _across(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``, the pairs within stars that lie in different components and share a difference early enough to link."""
+    rows = stored(_differences(_open(stars, labels), sets, percent), "differences")
+    each = rows.select("centre", "node", "component", "inside", "weight", F.explode(_numbers("differences")).alias("hash"))
+    # Differences are counted before they are joined, so a frequent one shrinks before the shuffle.
+    shared = each.groupBy("centre", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    of_node = Window.partitionBy("centre", "node")
+    rarest_last = of_node.orderBy(F.desc("n"), F.desc("hash"))
+    ranked = each.join(stored(shared, "shared"), ["centre", "hash"]).withColumn("left", F.row_number().over(rarest_last).cast("long"))
+    share = 2 * (100 + percent)
+    ranked = ranked.withColumn("spare", share * F.count(F.lit(1)).over(of_node) - F.col("weight")).drop("n")
+    ranked = stored(ranked, "ranked")
+    # Nodes inside the centre's component only wait for those outside it, the others for any.
+    outside = ~F.col("inside")
+    bounds = ranked.groupBy("centre").agg(
+        F.min("weight").alias("least"),
+        F.max("spare").alias("most"),
+        F.min(F.when(outside, F.col("weight"))).alias("least_outside"),
+        F.max(F.when(outside, F.col("spare"))).alias("most_outside"),
+    )
+    least = F.when(outside, F.col("least")).otherwise(F.col("least_outside"))
+    most = F.when(outside, F.col("most")).otherwise(F.col("most_outside"))
+    early = ranked.join(bounds, "centre").where((share * F.col("left") >= F.col("weight") + least) & (F.col("weight") <= most))
+    # Stored, so that a frequent difference can be split where it meets itself.
+    early = stored(early.select("centre", "hash", "node", "component", "weight", "left"), "early")
+    other = early.select("centre", "hash", *(F.col(c).alias(f"{c}_o") for c in ("node", "component", "weight", "left")))
+    fits = share * F.least("left", "left_o") >= F.col("weight") + F.col("weight_o")
+    met = early.join(other, ["centre", "hash"]).where("node < node_o and component <> component_o").where(fits)
+    return met.select(F.col("node").alias("a"), F.col("node_o").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame, compared: DataFrame) -> DataFrame:
+    """The components ``labels`` after the links among the compared pairs."""
+    links = stored(compared, "compared").where("linked")
+    if links.isEmpty():
+        return labels
+    merged = components(
+        links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
+        .join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+        .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    ).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    out = labels.join(merged, "component", "left").withColumn("component", F.coalesce("now", "component"))
+    return stored(out.drop("now").select("node", "component"), "labels")
 
 
 def node_components(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -230,44 +289,11 @@ def node_components(nodes: DataFrame, docs: DataFrame, size: int, percent: int)
 
     bits = stored(sets.select("node", _numbers("bits").alias("words")), "bits")
     labels = members.select("node").distinct().select("node", F.col("node").alias("component"))
-    waiting = members.select("bucket", "node", "n_shingles", "score", F.col("n_shingles").alias("n_common"), F.col("node").alias("component"))
-    best = members.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("node"))
-    centres = stored(members.join(best, ["bucket", "node"], "left_semi").select("bucket", "node"), "centres")
-    number = 1
-    while True:
-        # A centre is compared with all nodes of its bucket in other components, so it waits there no longer.
-        centre = waiting.join(centres, centres.columns, "left_semi").select("bucket", *(F.col(c).alias(f"{c}_c") for c in _COMPARED))
-        pairs = _possible(waiting.join(centre, "bucket").where("component <> component_c"), percent)
-        waiting = waiting.join(centres, centres.columns, "left_anti")
-        links = stored(_verified(_likely(pairs, bits, percent), sets, percent), "compared").where("linked")
-        if not links.isEmpty():
-            merged = components(
-                links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
-                .join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
-                .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            ).select(F.col("node").alias("component"), F.col("component").alias("now"))
-            merged = stored(merged, "merged")
-            labels, waiting = stored(_relabelled(labels, merged), "labels"), _relabelled(waiting, merged)
-        several = waiting.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        waiting = stored(waiting.join(stored(several, "buckets"), "bucket", "left_semi"), "waiting")
-        if number == 1:
-            waiting = stored(_with_common(waiting.drop("n_common"), sets, percent).select(*waiting.columns), "waiting")
-        number += 1
-        centres = stored(_centres(waiting, number), "centres")
-        if centres.isEmpty():
-            return labels
-
-
-def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
-    out = rows.join(merged, "component", "left")
-    return out.withColumn("component", F.coalesce("now", "component")).drop("now")
-
-
-def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs whose sizes and shared shingles allow the similarity: they have no more in common than the smaller rest."""
-    most = F.least("n_common", "n_common_c")
-    fits = 100 * most >= percent * (F.col("n_shingles") + F.col("n_shingles_c") - most)
-    return pairs.where(fits).select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b")).distinct()
+    stars = stored(_stars(members), "stars")
+    fits = 100 * F.least("n_shingles", "n_centre") >= percent * F.greatest("n_shingles", "n_centre")
+    pairs = stars.where(fits).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    labels = _merged(labels, _verified(_likely(pairs, bits, percent), sets, percent))
+    return _merged(labels, _verified(_across(stars, labels, sets, percent), sets, percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

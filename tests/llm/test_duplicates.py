@@ -83,6 +83,48 @@ def test_links_between_a_star_and_its_outsiders(spark):
     assert {c for _, _, c, _ in near(spark, rows)} == {31}
 
 
+def test_near_copies_about_the_threshold_meet_seldom(spark, monkeypatch):
+    """Copies of one origin that are just too far apart to link: after the stars fewer pairs than texts, and no link is lost."""
+    rng = random.Random(11)
+    text, verified, compared = prose(7, 150, 1000), minhash_dedup._verified, []
+
+    def counting(pairs, *others):
+        compared.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(minhash_dedup, "_verified", counting)
+    rows = [(i, edited(text, rng, rng.randrange(1, 9))) for i in range(240)]
+    # Half of the texts share edits, so some links run between nodes that do not link with the centre.
+    rows += [(1000 + i, edited(rows[i][1], rng, rng.randrange(1, 4))) for i in range(0, 240, 2)]
+    expected = brute_near(rows, 4)
+    assert 20 < len({c for _, _, c, _ in expected}) < 300
+    assert near(spark, rows) == expected
+    assert sum(compared[1:]) < len(rows)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_pairs_across_components_hold_every_link(spark, percent):
+    """Random sets about a few centres, in components drawn at random: whatever links within a star meets."""
+    rng = np.random.default_rng(percent)
+    base = rng.integers(1, 2**63, 40, dtype=np.uint64)
+    sets = {n: np.unique(np.concatenate([rng.permutation(base)[: rng.integers(20, 40)], rng.choice(base + np.uint64(1), 6)])) for n in range(60)}
+    sets[58], sets[59] = np.append(sets[57], np.uint64(0)), sets[57][1:]
+    part = {n: n if n % 3 else 0 for n in sets}
+    star = [(c, len(sets[c]), n, len(sets[n])) for c in (0, 1) for n in sets if n > 1]
+    got = minhash_dedup._across(
+        spark.createDataFrame(star, "centre long, n_centre long, node long, n_shingles long"),
+        spark.createDataFrame(list(part.items()), "node long, component long"),
+        spark.createDataFrame([(n, bytearray(np.sort(x).astype("<u8").tobytes())) for n, x in sets.items()], "node long, hashes binary"),
+        percent,
+    )
+    linked = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))
+    across = {(a, b) for a in sets for b in sets if 1 < a < b and part[a] != part[b] and linked(a, b)}
+    # Pairs that need no shared difference link through the centre.
+    apart = {(a, b) for a, b in across if not any(linked(a, c) and linked(b, c) for c in (0, 1))}
+    assert apart <= {(r.a, r.b) for r in got.collect()}
+    assert len(apart) > 0 or percent == 100
+
+
 def test_near_of_nothing_and_of_copies(spark):
     assert near(spark, []) == Counter()
     assert near(spark, [(1, ""), (2, None), (3, " ")]) == Counter({(i, 0, i, True): 1 for i in (1, 2, 3)})
