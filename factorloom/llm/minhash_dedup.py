@@ -254,8 +254,8 @@ def _across(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     )
     least = F.when(outside, F.col("least")).otherwise(F.col("least_outside"))
     most = F.when(outside, F.col("most")).otherwise(F.col("most_outside"))
-    early = ranked.join(bounds, "centre").where((share * F.col("left") >= F.col("weight") + least) & (F.col("weight") <= most))
-    # Stored, so that a frequent difference can be split where it meets itself.
+    # What is joined with a frequent key is stored, so that its rows can be split.
+    early = ranked.join(stored(bounds, "bounds"), "centre").where((share * F.col("left") >= F.col("weight") + least) & (F.col("weight") <= most))
     early = stored(early.select("centre", "hash", "node", "component", "weight", "left"), "early")
     other = early.select("centre", "hash", *(F.col(c).alias(f"{c}_o") for c in ("node", "component", "weight", "left")))
     fits = share * F.least("left", "left_o") >= F.col("weight") + F.col("weight_o")
