@@ -39,7 +39,8 @@ def library(spark, sf_dir, strata=False):
     keep = ("instrument", "datetime", "label")
     if strata:
         labelled, keep = screening.with_size_stratum(labelled), (*keep, "stratum")
-    return factors.factor_table(labelled, keep=keep)
+    # The bars are read again for every pass over the factors.
+    return factors.factor_table(stored(labelled, "bars"), keep=keep)
 
 
 @query("library_ic_daily", f"WITH {DAILY} SELECT datetime, factor, {r('ic', 'ic')}, n FROM daily")
@@ -68,7 +69,7 @@ def library_filter(spark, sf_dir):
 
 @query("library_stability", f"WITH {DAILY}, {STABILITY_SQL} SELECT factor, {STABILITY_COLUMNS} FROM stab")
 def library_stability(spark, sf_dir):
-    table = stored(library(spark, sf_dir, strata=True), "library")
+    table = library(spark, sf_dir, strata=True)
     return rounded(screening.stability(table, rolling_days=24, factors=factors.factor_names()))
 
 

@@ -1,13 +1,16 @@
 """Measures of the columns of a wide table equal those of the long table, whatever a task may hold."""
 
 import datetime as dt
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from factorloom.functions import cells
 from factorloom.operators import ic, screening, xsection
+from factorloom.sources.shared import CLEANUP, stored
 
 NAMES = [f"f{i}" for i in range(10)]
 
@@ -91,3 +94,81 @@ def test_wide_rows_are_made_in_one_shuffle(spark):
     wide = xsection.to_wide(long, ["a", "b"])
     assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {tuple(r) for r in wide.collect()} == {("d1", 1, 1.0, None), ("d1", None, 2.0, None), (None, 1, None, 3.0), ("d2", 1, None, None)}
+
+
+def test_packed_values_are_the_same_and_smaller():
+    values = np.random.default_rng(1).standard_normal((3, 1000)) * 100
+    values[1, :3] = np.nan, -0.0, 5e-324
+    packed = cells.pack(values)
+    assert len(packed) < 0.95 * values.nbytes
+    assert cells.unpack(pa.py_buffer(packed), 3, 1000).tobytes() == values.tobytes()
+
+
+def test_shuffle_carries_packed_cells(table):
+    """A row of the shuffle is a cell's share of a task, not a row of the table or a part of one."""
+    plan = ic.column_rank_correlation(table, "datetime", NAMES)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    (row,) = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert "_kept" in row
+
+
+def test_columns_of_a_family_share_a_pass(monkeypatch):
+    names = ["K", "A5", "B5", "A10", "B10"]
+    assert cells.passes(names, 0) == cells.passes(names, 10) == [names]
+    monkeypatch.setattr(cells, "PASS_VALUES", 20)
+    assert cells.passes(names, 10) == [["K", "A5"], ["A10", "B5"], ["B10"]]
+    assert cells.passes(names, 10**9) == [["K"], ["A5"], ["A10"], ["B5"], ["B10"]]
+
+
+def test_passes_find_what_one_finds(table, monkeypatch):
+    monkeypatch.setattr(cells, "PASS_VALUES", 600)
+    kept = []
+    monkeypatch.setattr(cells, "stored", lambda df, name: kept.append(name) or stored(df, name))
+    _same(ic.daily_rank_ic(table, 2, NAMES), ic.daily_rank_ic(_long(table), 2), ["datetime", "factor"])
+    assert len(kept) > 1
+    _same(screening.profile(table, factors=NAMES), screening.profile(_long(table)), ["factor"])
+    _same(screening.stability(table, rolling_days=2, factors=NAMES), screening.stability(_long(table), rolling_days=2), ["factor"])
+
+
+def test_stability_stores_no_rows_of_the_table(table, monkeypatch):
+    """Dates and strata are ranked from one reading: what is stored has a row per cell and factor."""
+    sizes = {}
+
+    def noted(df, name, compression=None):
+        out = stored(df, name, compression)
+        sizes[name] = len(out.columns)
+        return out
+
+    for module in (ic, screening, cells):
+        monkeypatch.setattr(module, "stored", noted)
+    screening.stability(table, rolling_days=2, factors=NAMES).collect()
+    assert sizes == {"correlations": 6}
+
+
+def test_prepared_ranks_are_stored_as_whole_numbers(table, monkeypatch):
+    kept = []
+
+    def noted(df, name, compression=None):
+        kept.append(df)
+        return stored(df, name, compression)
+
+    monkeypatch.setattr(xsection, "stored", noted)
+    xsection.preprocess_columns(table, NAMES, ["label"])
+    (ranks,) = kept
+    assert {t for c, t in ranks.dtypes if c in NAMES} == {"int"}
+    # From the cells of a date straight to rows.
+    assert ranks._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_shuffles_go_when_their_result_is_stored(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    rows = stored(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "kept")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert rows.count() == 7 and spark.conf.get(CLEANUP) == "false"
