@@ -79,6 +79,6 @@ def library_stability(spark, sf_dir):
 )
 def library_composite_signals(spark, sf_dir):
     """Composites of all factors; their values sum over factors as large as prices times rows, hence few digits."""
-    table, names = stored(library(spark, sf_dir), "library"), factors.factor_names()
+    table, names = stored(library(spark, sf_dir), "library", "zstd"), factors.factor_names()
     weights = screening.signal_weights(ic.ic_summary(ic.daily_rank_ic(table, 2, names)))
     return rounded(screening.composite_columns(table, names, weights).drop("label"), 2)
